@@ -100,7 +100,7 @@ class SampleTables:
         per_day = (
             self.bars.join(self.securities.select("symbol", "industry"), "symbol")
             .groupBy(F.col("industry").alias("sector_id"), "trade_date")
-            .agg(F.round(F.avg("close"), 4).alias("close"), F.sum("amount").alias("amount"))
+            .agg(F.avg("close").alias("close"), F.sum("amount").alias("amount"))
         )
         w = Window.partitionBy("sector_id").orderBy("trade_date")
         return per_day.select(
@@ -118,7 +118,7 @@ class SampleTables:
             asof.alias("asof_date"),
             F.struct(
                 key.alias("order_key"),
-                (F.col("o_totalprice") / 20000.0 - 5.0).alias("roe"),
+                (F.col("o_totalprice") / 10000.0 - 25.0).alias("roe"),
                 (key % 97 - 40).cast("double").alias("revenue_yoy"),
                 F.when(key % 7 != 0, (key % 131 - 60).cast("double")).alias("profit_yoy"),
                 ((key % 53).cast("double") + 0.5).alias("gross_margin"),
@@ -157,7 +157,7 @@ def _series():
 
 def _index(bars: DataFrame, code: str) -> DataFrame:
     return bars.groupBy("trade_date").agg(
-        *[F.round(F.avg(c), 4).alias(c) for c in ("open", "high", "low", "close")],
+        *[F.avg(c).alias(c) for c in ("open", "high", "low", "close")],
         F.sum("volume").alias("volume"),
         F.round(F.sum("amount"), 2).alias("amount"),
     ).select(F.lit(code).alias("index_code"), "*")
@@ -189,26 +189,26 @@ SQL_TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "calendar": ((), """
         SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE) AS trade_date FROM lineitem"""),
     "index_bars": (("bars", "securities"), f"""
-        SELECT '{BENCHMARK_INDEX}' AS index_code, trade_date, round(avg(open), 4) AS open, round(avg(high), 4) AS high,
-               round(avg(low), 4) AS low, round(avg(close), 4) AS close, sum(volume) AS volume,
+        SELECT '{BENCHMARK_INDEX}' AS index_code, trade_date, avg(open) AS open, avg(high) AS high,
+               avg(low) AS low, avg(close) AS close, sum(volume) AS volume,
                round(sum(amount), 2) AS amount
         FROM bars GROUP BY trade_date
         UNION ALL
-        SELECT '{GROWTH_INDEX}', trade_date, round(avg(open), 4), round(avg(high), 4), round(avg(low), 4),
-               round(avg(close), 4), sum(volume), round(sum(amount), 2)
+        SELECT '{GROWTH_INDEX}', trade_date, avg(open), avg(high), avg(low),
+               avg(close), sum(volume), round(sum(amount), 2)
         FROM bars WHERE symbol IN (SELECT symbol FROM securities WHERE board = '{GROWTH_REGION}')
         GROUP BY trade_date"""),
     "sector_daily": (("bars", "securities"), """
         SELECT sector_id, sector_id AS sector_name, trade_date, close,
                (close / nullif(lag(close) OVER (PARTITION BY sector_id ORDER BY trade_date), 0) - 1) * 100 AS pct_chg,
                amount
-        FROM (SELECT industry AS sector_id, trade_date, round(avg(close), 4) AS close, round(sum(amount), 2) AS amount
+        FROM (SELECT industry AS sector_id, trade_date, avg(close) AS close, round(sum(amount), 2) AS amount
               FROM bars JOIN securities USING (symbol) GROUP BY 1, 2)"""),
     "financials": ((), f"""
         SELECT symbol, CAST(report_date AS DATE) AS report_date, asof_date, roe, revenue_yoy, profit_yoy, gross_margin, debt_ratio
         FROM (SELECT {_CODE.format('CAST(floor(o_custkey / 15) AS BIGINT)')} AS symbol,
                      CAST(o_orderdate AS DATE) - CAST(30 + o_orderkey % 2 AS INTEGER) AS report_date,
-                     CAST(o_orderdate AS DATE) AS asof_date, o_orderkey, o_totalprice / 20000.0 - 5.0 AS roe,
+                     CAST(o_orderdate AS DATE) AS asof_date, o_orderkey, o_totalprice / 10000.0 - 25.0 AS roe,
                      CAST(o_orderkey % 97 - 40 AS DOUBLE) AS revenue_yoy,
                      CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 131 - 60 AS DOUBLE) END AS profit_yoy,
                      CAST(o_orderkey % 53 AS DOUBLE) + 0.5 AS gross_margin,

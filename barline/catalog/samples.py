@@ -135,13 +135,13 @@ for _c in ("high", "low", "close", "adj_close"):
 @query(f"{FINAL_SPEC} {LABEL_SPEC} label_bigloss_5~ label_bigloss_20~ label_rank_score~ sample_status label_version".replace(
            "label_win_3", "label_win_3~").replace("label_win_5", "label_win_5~").replace("label_win_10", "label_win_10~").replace(
            "label_win_20", "label_win_20~").replace("label_win_40", "label_win_40~"),
-       f"{TRAINING_PARTS}, {finalize_sql('live', 'fin')} SELECT * REPLACE (CAST(list_days AS INTEGER) AS list_days) FROM fin", USES)
+       f"{TRAINING_PARTS}, {finalize_sql('live', 'fin')} SELECT * REPLACE (CAST(trunc(list_days) AS INTEGER) AS list_days) FROM fin", USES)
 def training_samples(t):
     return samples.training_samples(t.bars, t.securities, t.index_bars, t.sector_daily, t.financials)
 
 
 @query(FINAL_SPEC,
-       f"{FEATURES}, {finalize_sql('feats', 'fin')} SELECT * REPLACE (CAST(list_days AS INTEGER) AS list_days) FROM fin", USES)
+       f"{FEATURES}, {finalize_sql('feats', 'fin')} SELECT * REPLACE (CAST(trunc(list_days) AS INTEGER) AS list_days) FROM fin", USES)
 def finalize_samples(t):
     return finalize.finalize_samples(feature_frame(t))
 
@@ -152,7 +152,7 @@ LAST = "(SELECT max(trade_date) FROM bars)"
 @query(FINAL_SPEC + " sample_status",
        f"{FEATURES}, el AS (SELECT *, 'predict_ready' AS sample_status FROM feats WHERE coalesce(list_days, 0) >= 120 "
        f"AND NOT coalesce(is_st, false) AND NOT coalesce(is_suspended, false)), {finalize_sql('el', 'fin')} "
-       f"SELECT * REPLACE (CAST(list_days AS INTEGER) AS list_days) FROM fin WHERE trade_date = {LAST}", USES)
+       f"SELECT * REPLACE (CAST(trunc(list_days) AS INTEGER) AS list_days) FROM fin WHERE trade_date = {LAST}", USES)
 def prediction_frame(t):
     return prediction_context(t).where("is_target")
 
@@ -173,7 +173,7 @@ SCALED = ", ".join(
 PACKAGED = f"""
     {FEATURES}, el AS (SELECT * FROM feats WHERE coalesce(list_days, 0) >= 120
         AND NOT coalesce(is_st, false) AND NOT coalesce(is_suspended, false)), {finalize_sql('el', 'fin')},
-    tl AS (SELECT * FROM fin WHERE symbol IN (SELECT symbol FROM fin WHERE trade_date = {LAST})
+    tl AS (SELECT * REPLACE (trunc(list_days) AS list_days) FROM fin WHERE symbol IN (SELECT symbol FROM fin WHERE trade_date = {LAST})
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) <= 20),
     packed AS (SELECT symbol, trade_date, list([{SEQ_LIST}]) OVER {W} AS rows, [{TAB_LIST}] AS x_tab, [{MKT_LIST}] AS x_mkt,
         [{SCALED}] AS x_company_profile FROM tl)"""
@@ -215,7 +215,7 @@ def snapshot_gaps(t):
     )
 
 
-@query("symbol trade_date roe~ profit_yoy~ debt_ratio~",
+@query("symbol trade_date roe~8 profit_yoy~ debt_ratio~",
        f"g AS ({SNAP_GAPS}) SELECT symbol, trade_date, " + ", ".join(
            f"coalesce({c}, median({c}) OVER (PARTITION BY trade_date), median({c}) OVER (), 0) AS {c}" for c in MED)
        + " FROM g", "financials")

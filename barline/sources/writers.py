@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barline.sources.schemas import KEYS
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    Only a local session without a folder of its own gets a temporary one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; only a local session without one gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,9 +23,20 @@ def staged(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint that survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables inside the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], created: str = "created_at") -> DataFrame:
     """Rows of ``incoming`` win by key over ``current``; ``created`` keeps its first value.
 
@@ -156,7 +164,3 @@ def write_latest_and_archive(df: DataFrame, folder: str, stamp: str) -> None:
         F.count("*").alias("rows"), F.countDistinct("symbol").alias("symbols"), F.max("trade_date").alias("trade_date")
     ).withColumn("stamp", F.lit(stamp)).write.mode("overwrite").json(f"{folder}/manifest")
 
-
-def keep_newest(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order.desc())
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")

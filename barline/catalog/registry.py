@@ -88,10 +88,10 @@ def _spark_column(spec: str) -> Column:
 def _sql_column(spec: str) -> str:
     name, kind, places = _parts(spec)
     if kind == "double":
-        return f"round(CAST({name} AS DOUBLE), {places}) + 0.0 AS {name}"
+        return f'round(CAST("{name}" AS DOUBLE), {places}) + 0.0 AS "{name}"'
     if kind == "array":
         item = f"coalesce(CAST(CAST(round(x * 1e6) AS BIGINT) AS VARCHAR), '-')"
-        return f"array_to_string(list_transform({name}, lambda x: {item}), ',') AS {name}"
+        return f"array_to_string(list_transform(\"{name}\", lambda x: {item}), ',') AS \"{name}\""
     if kind == "plain":
-        return f"array_to_string(list_transform({name}, lambda x: coalesce(CAST(x AS VARCHAR), '-')), ',') AS {name}"
-    return name
+        return f"array_to_string(list_transform(\"{name}\", lambda x: coalesce(CAST(x AS VARCHAR), '-')), ',') AS \"{name}\""
+    return f'"{name}"'

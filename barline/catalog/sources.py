@@ -125,7 +125,7 @@ def normalize_index_bars(t):
     return out.unionByName(vendors.index_bars(lots, "lots", code, "1996-06-01"))
 
 
-@query("sector_id sector_name trade_date close~ pct_chg~ amount~2 source",
+@query("sector_id sector_name trade_date close~9 pct_chg~ amount~2 source",
        "SELECT sector_id, sector_name, trade_date, close, pct_chg, amount, 'sector_index' AS source FROM sector_daily", "sector_daily")
 def normalize_sector_daily(t):
     back = {v: k for k, v in vendors.SECTOR.items()}
@@ -363,7 +363,9 @@ def typed_export(t):
     return writers.typed(rows, schemas.SCHEMAS["daily_bars"])
 
 
-@query("trade_date symbol signal_score~ place", None)
+@query("trade_date symbol signal_score~ place", """
+    SELECT trade_date, symbol, coalesce(pct_chg, 0) AS signal_score, row_number() OVER (PARTITION BY trade_date
+        ORDER BY coalesce(pct_chg, 0) DESC, symbol) AS place FROM bars""", "bars")
 def write_predictions(t):
     """Written as Parquet, CSV and metadata, then read back in file order."""
     from pyspark.sql import Window
@@ -385,7 +387,11 @@ def write_latest_and_archive(t):
     return t.spark.read.parquet(f"{folder}/latest")
 
 
-@query("symbol trade_date bars_needed", None)
+@query("symbol trade_date bars_needed", """
+    n AS (SELECT symbol, trade_date, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS rn,
+        count(*) OVER (PARTITION BY symbol) AS total FROM bars)
+    SELECT symbol, trade_date, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS bars_needed
+    FROM n WHERE rn > total - 3 - 140""", "bars")
 def trailing_rows_for_rebuild(t):
     from barline.plans.samples import returns_to_refresh
 

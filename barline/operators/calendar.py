@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-_ALL = Window.partitionBy(F.lit(0)).orderBy("trade_date")
-
-
 def sorted_dates(calendar: DataFrame) -> Column:
     """The open dates as one sorted array (a scalar subquery, run once)."""
     return calendar.select("trade_date").distinct().agg(F.sort_array(F.collect_list("trade_date")).alias("d")).scalar()
@@ -33,7 +30,7 @@ def day_map(calendar: DataFrame) -> DataFrame:
 
 
 def positions(calendar: DataFrame) -> DataFrame:
-    return calendar.select("trade_date").distinct().select("trade_date", F.row_number().over(_ALL).alias("position"))
+    return calendar.select("trade_date").distinct().select("trade_date", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("trade_date")).alias("position"))
 
 
 def offset_dates(df: DataFrame, column: str, calendar: DataFrame, n: int = 1, out: str | None = None) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _day_end() -> Column:
+    return F.expr("INTERVAL '23:59:59' HOUR TO SECOND")
+
+
 def semi_join_symbols(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return df.join(wanted.select("symbol").distinct(), "symbol", "left_semi")
 
@@ -60,7 +64,7 @@ def symbol_news(requests: DataFrame, news: DataFrame, notices: DataFrame | None
     day, plus notices that mention it.  The range is turned into an equi-join on
     (symbol, day); per-day news are cut to ``limit`` before they meet the requests.
     """
-    end = F.col("trade_date").cast("timestamp_ntz") + F.expr("INTERVAL '23:59:59' HOUR TO SECOND")
+    end = F.col("trade_date").cast("timestamp_ntz") + _day_end()
     asked = requests.select("symbol", "trade_date").distinct().withColumn("__end", end)
     asked = asked.withColumn("__start", F.col("__end") - F.expr(f"INTERVAL {days} DAYS"))
     spread = asked.withColumn("day", F.explode(F.sequence(F.date_sub("trade_date", days), F.col("trade_date"))))
@@ -71,9 +75,12 @@ def symbol_news(requests: DataFrame, news: DataFrame, notices: DataFrame | None
             F.explode(F.array_distinct("mentioned_symbols")).alias("symbol"), F.lit(kind).alias("kind"),
             F.col(key).alias("item_id"), "publish_time", "title", F.to_date("publish_time").alias("day"),
         ).withColumn("symbol", F.upper("symbol"))
-        # more than ``limit`` items of one symbol and day never survive
-        w = Window.partitionBy("symbol", "day").orderBy(*newest)
-        rows = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= limit * 2).drop("__r")
+        # the range ends a second before midnight, so items after that second are ranked apart;
+        # of either part more than ``limit`` items of one symbol and day never survive
+        late = F.col("publish_time") > F.col("day").cast("timestamp_ntz") + _day_end()
+        w = Window.partitionBy("symbol", "day", "__late").orderBy(*newest)
+        rows = rows.withColumn("__late", late).withColumn("__r", F.row_number().over(w))
+        rows = rows.where(F.col("__r") <= limit).drop("__r", "__late")
         hit = (F.col("publish_time") >= F.col("__start")) & (F.col("publish_time") <= F.col("__end"))
         return spread.join(rows, ["symbol", "day"]).where(hit).select(
             "symbol", "trade_date", "kind", "item_id", "publish_time", "title"
@@ -85,7 +92,7 @@ def symbol_news(requests: DataFrame, news: DataFrame, notices: DataFrame | None
     daily = news.select(
         F.to_date("publish_time").alias("trade_date"), F.lit("news").alias("kind"), F.col("news_id").alias("item_id"),
         "publish_time", "title",
-    ).withColumn("__r", F.row_number().over(per_day)).where(F.col("__r") <= limit).drop("__r")
+    ).where(F.col("publish_time") <= end).withColumn("__r", F.row_number().over(per_day)).where(F.col("__r") <= limit).drop("__r")
     fallback = bare.select("symbol", "trade_date").join(daily, "trade_date").select(own.columns)
     items = own.unionByName(fallback)
     if notices is not None:

@@ -1,0 +1,148 @@
+"""Target, metric and model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barline.catalog.decisions import PREDS, predictions
+from barline.catalog.features import LABELS
+from barline.catalog.registry import query
+from barline.functions.columns import pct_rank_avg
+from barline.operators import evaluation as ev
+from barline.operators import labels, models, series, splits
+from barline.sources.schemas import HORIZONS
+
+USES = "bars securities index_bars"
+
+
+def scored_rows(t):
+    """Predictions next to the labels, one row per horizon."""
+    keys = ["symbol", "trade_date"]
+    df = predictions(t).join(labels.label_table(t.bars, t.index_bars), keys, "inner")
+    df = df.withColumns({"label_bigloss_3": F.col("label_bigloss_5"), "label_bigloss_10": F.col("label_bigloss_5"), "label_bigloss_40": F.col("label_bigloss_20")})
+    rows = ev.stacked(df, {
+        "prob": "p_win_prob_{k}", "target": "label_win_{k}", "score": "ret_mu_pred_{k}", "ret": "label_ret_{k}", "dd": "label_maxdd_{k}",
+        "loss": "label_bigloss_{k}", "dd_pred": "risk_dd_pred_{k}"}, keep=keys)
+    rows = rows.where(F.col("prob").isNotNull() & F.col("dd_pred").isNotNull())
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("prob")))
+    return rows.withColumn("logit", F.ln(p / (1 - p)))
+
+
+STACK = " UNION ALL ".join(
+    f"SELECT p.symbol, p.trade_date, {k} AS horizon, p_{k} AS prob, label_win_{k} AS target, mu_{k} AS score, label_ret_{k} AS ret, label_maxdd_{k} AS dd, "
+    f"label_bigloss_{5 if k <= 10 else 20} AS loss, -dd_{k} AS dd_pred FROM preds p JOIN lab l ON l.symbol = p.symbol AND l.trade_date = p.trade_date "
+    f"WHERE p_{k} IS NOT NULL AND dd_{k} IS NOT NULL" for k in HORIZONS)
+ROWS = f"{PREDS}, lab AS (WITH {LABELS}), st AS ({STACK})"
+
+
+@query("symbol trade_date " + " ".join(f"target_{k}~" for k in HORIZONS),
+       f"lab AS (WITH {LABELS}) SELECT symbol, trade_date, " + ", ".join(
+           f"label_ret_{k} - {ev.DRAWDOWN_W[k]} * greatest(-label_maxdd_{k}, 0) - {ev.BIGLOSS_W[k]} * label_bigloss_{ev.BIGLOSS_PROXY[k]} "
+           f"+ {ev.UPSIDE_W[k]} * greatest(label_ret_{k}, 0) AS target_{k}" for k in HORIZONS) + " FROM lab", USES)
+def risk_adjusted_target(t):
+    df = labels.label_table(t.bars, t.index_bars)
+    return df.withColumns({f"target_{k}": ev.risk_adjusted_target(k) for k in HORIZONS})
+
+
+@query("horizon rows acc~ bal_acc~ recall_pos~ recall_neg~ target_pos_rate~ pred_pos_rate~ prob_mean~ logit_mean~4 logit_std~4 acc_lift~", f"""
+    {ROWS}, a AS (SELECT horizon, count(*) AS rows, avg(CASE WHEN (prob >= 0.5) = (target >= 0.5) THEN 1.0 ELSE 0 END) AS acc,
+        count(CASE WHEN prob >= 0.5 AND target = 1 THEN 1 END) / sum(target)::DOUBLE AS recall_pos,
+        count(CASE WHEN prob < 0.5 AND target = 0 THEN 1 END) / sum(1 - target)::DOUBLE AS recall_neg, avg(target) AS target_pos_rate,
+        avg(CASE WHEN prob >= 0.5 THEN 1.0 ELSE 0 END) AS pred_pos_rate, avg(prob) AS prob_mean, avg(ln(cp / (1 - cp))) AS logit_mean,
+        stddev_pop(ln(cp / (1 - cp))) AS logit_std
+        FROM (SELECT *, greatest(1e-9, least(1 - 1e-9, prob)) AS cp FROM st) GROUP BY 1)
+    SELECT *, (recall_pos + recall_neg) / 2 AS bal_acc, acc - greatest(target_pos_rate, 1 - target_pos_rate) AS acc_lift FROM a""", USES)
+def classification_metrics(t):
+    return ev.classification_metrics(scored_rows(t))
+
+
+@query("horizon ret_mae~ dd_mae~",
+       f"{ROWS} SELECT horizon, avg(abs(score - ret)) AS ret_mae, avg(abs(dd_pred - dd)) AS dd_mae FROM st GROUP BY 1", USES)
+def regression_metrics(t):
+    return ev.regression_metrics(scored_rows(t), {"ret": ("score", "ret"), "dd": ("dd_pred", "dd")})
+
+
+@query("horizon avg_ret~ median_ret~ win_rate~ bigloss_rate~ avg_drawdown~ sharpe_like~ topk_utility~ equal_weight_utility~ utility_lift~", f"""
+    {ROWS}, top AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY trade_date, horizon ORDER BY score DESC, symbol) <= 10),
+    a AS (SELECT horizon, avg(ret) AS avg_ret, quantile_disc(ret, 0.5) AS median_ret, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win_rate,
+        avg(loss) AS bigloss_rate, avg(dd) AS avg_drawdown, avg(ret) / greatest(stddev_pop(ret), 1e-6) AS sharpe_like,
+        avg(ret) - 0.6 * avg(loss) - 0.4 * abs(avg(dd)) AS topk_utility FROM top GROUP BY 1),
+    e AS (SELECT horizon, avg(ret) - 0.6 * avg(loss) - 0.4 * abs(avg(dd)) AS equal_weight_utility FROM st GROUP BY 1)
+    SELECT *, topk_utility - equal_weight_utility AS utility_lift FROM a JOIN e USING (horizon)""", USES)
+def topk_metrics(t):
+    return ev.topk_metrics(scored_rows(t))
+
+
+@query("horizon brier~ ece~", f"""
+    {ROWS}, b AS (SELECT horizon, least(floor(prob * 10), 9) AS bin, count(*) AS n, avg(prob) AS c, avg(target) AS y FROM st GROUP BY 1, 2)
+    SELECT b.horizon, (SELECT avg(pow(prob - target, 2)) FROM st WHERE st.horizon = b.horizon) AS brier, sum(n * abs(c - y)) / sum(n) AS ece
+    FROM b GROUP BY b.horizon""", USES)
+def brier_ece(t):
+    return ev.brier_ece(scored_rows(t))
+
+
+GRID = """
+    g AS (SELECT unnest(range(0, 25)) AS step), m AS (SELECT horizon, step, round(0.2 + 0.025 * step, 6) AS threshold,
+        avg(CASE WHEN (prob >= round(0.2 + 0.025 * step, 6)) = (target = 1) THEN 1.0 ELSE 0 END) AS accuracy,
+        (avg(CASE WHEN target = 1 THEN CASE WHEN prob >= round(0.2 + 0.025 * step, 6) THEN 1.0 ELSE 0 END END)
+         + avg(CASE WHEN target = 0 THEN CASE WHEN prob < round(0.2 + 0.025 * step, 6) THEN 1.0 ELSE 0 END END)) / 2 AS balanced_accuracy
+        FROM st, g GROUP BY 1, 2, 3)"""
+
+
+@query("horizon threshold~ accuracy~ balanced_accuracy~",
+       f"{ROWS}, {GRID} SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY round(balanced_accuracy, 12) DESC, step) = 1", USES)
+def threshold_search(t):
+    return ev.threshold_search(scored_rows(t))
+
+
+@query("horizon threshold~ accuracy~ balanced_accuracy~",
+       f"{ROWS}, {GRID} SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY round(accuracy, 12) DESC, step) = 1", USES)
+def threshold_calibration(t):
+    return ev.threshold_search(scored_rows(t), "accuracy")
+
+
+@query("fold_count mean~ median~ worst~ best~", f"""
+    {ROWS}, d AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM st WHERE horizon = 10)),
+    f AS (SELECT trade_date, CAST(floor((i - greatest(1, floor(n * 0.5))) / ceil((n - greatest(1, floor(n * 0.5))) / 3.0)) AS INTEGER) + 1 AS fold
+        FROM d WHERE i >= greatest(1, floor(n * 0.5))),
+    p AS (SELECT fold, avg(CASE WHEN (prob >= 0.5) = (target = 1) THEN 1.0 ELSE 0 END) AS m FROM st JOIN f USING (trade_date) WHERE horizon = 10 GROUP BY 1)
+    SELECT count(*) AS fold_count, avg(m) AS mean, median(m) AS median, min(m) AS worst, max(m) AS best FROM p""", USES)
+def walk_forward_summary(t):
+    rows = scored_rows(t).where(F.col("horizon") == 10)
+    hit = F.avg(((F.col("prob") >= 0.5) == (F.col("target") >= 0.5)).cast("int"))
+    return ev.walk_forward_summary(rows, splits.walk_forward_folds(rows, 3), hit)[1]
+
+
+FEATURES = ("ret_5", "ret_20", "volatility_20", "amount_rank")
+
+
+def training_rows(t):
+    df = t.bars.withColumns(series.return_columns((1, 5, 20))).withColumns(series.volatility_columns(rows=(20,)))
+    df = df.withColumn("amount_rank", pct_rank_avg("amount", "trade_date"))
+    keys = ["symbol", "trade_date"]
+    return df.select(*keys, *FEATURES).join(labels.label_table(t.bars, t.index_bars, (5, 10)), keys)
+
+
+@query("symbol trade_date p_win_prob_5~ ret_mu_pred_10~ risk_dd_pred_10~", None)
+def fit_horizon_models(t):
+    rows = training_rows(t)
+    fitted = models.fit_horizon_models(rows, FEATURES, (5, 10))
+    return models.score_with_models(rows, fitted, FEATURES)
+
+
+@query("symbol trade_date p_win_prob_5~", """
+    SELECT symbol, trade_date, 1 / (1 + exp(-(adj_close / nullif(lag(adj_close, 5) OVER w, 0) - 1))) AS p_win_prob_5 FROM bars
+    WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)""", "bars")
+def batch_score(t):
+    import numpy as np
+    import pandas as pd
+
+    def load():
+        def score(batch):
+            return pd.DataFrame({"p_win_prob_5": 1 / (1 + np.exp(-batch["ret_5"]))})
+
+        return score
+
+    rows = t.bars.withColumns(series.return_columns((5,))).select("symbol", "trade_date", "ret_5")
+    out = models.batch_score(rows, load, "symbol string, trade_date date, p_win_prob_5 double")
+    return out.withColumn("p_win_prob_5", F.when(~F.isnan("p_win_prob_5"), F.col("p_win_prob_5")))

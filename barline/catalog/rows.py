@@ -8,6 +8,7 @@ from barline.catalog.registry import query
 from barline.catalog.sources import EXCHANGE, RAW_CODES, raw_codes
 from barline.functions import symbols
 from barline.operators import calendar, rows
+from barline.sources.sample_tables import SampleTables
 
 
 @query("seq symbol", f"{RAW_CODES} SELECT seq, code || '.' || {EXCHANGE} AS symbol FROM c UNION ALL "
@@ -30,13 +31,13 @@ def symbol_codes(t):
     return df.select("symbol", symbols.code(s).alias("code"), symbols.market_prefixed(s).alias("prefixed"), symbols.numeric_id(s).alias("numeric"))
 
 
-def broken_bars(t):
+def broken_bars(lineitem):
     """Line items as bars with planted faults; copies share symbol and date."""
     k = F.col("l_orderkey") % 11
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return t.raw("lineitem").select(
+    return lineitem.select(
         F.struct("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("seq"),
-        t.code(F.col("l_suppkey")).alias("symbol"), F.to_date("l_shipdate").alias("trade_date"),
+        SampleTables.code(F.col("l_suppkey")).alias("symbol"), F.to_date("l_shipdate").alias("trade_date"),
         F.when(k != 1, price).alias("open"), F.when(k == 2, price / 2).otherwise(price * 1.5).alias("high"),
         F.when(k == 3, price * 2).otherwise(price / 2).alias("low"), price.alias("close"),
         F.when(k == 4, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("volume"),
@@ -64,7 +65,7 @@ BROKEN = """
     {BROKEN} SELECT symbol, trade_date, l_orderkey AS order_key, l_linenumber AS line, l_partkey AS part, errors,
         clean AND rn = 1 AS is_valid, clean AND rn > 1 AS is_repeat FROM num""")
 def validate_bars(t):
-    out = rows.checked_bars(broken_bars(t))
+    out = rows.checked_bars(broken_bars(t.raw("lineitem")))
     return out.withColumns({"order_key": F.col("seq.l_orderkey"), "line": F.col("seq.l_linenumber"), "part": F.col("seq.l_partkey")})
 
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barline.functions.columns import change, div
+from barline.functions.columns import by_symbol, change, div
 from barline.sources.schemas import BENCHMARK_INDEX, GROWTH_INDEX
 
 GROWTH_REGION = "AMERICA"
@@ -34,35 +34,12 @@ class SampleTables:
 
     @cached_property
     def bars(self) -> DataFrame:
-        li = self.raw("lineitem").select(
-            self.code(F.col("l_suppkey")).alias("symbol"),
-            F.trunc("l_shipdate", "week").alias("trade_date"),
-            div(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
-            F.struct(
-                "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"
-            ).alias("seq"),
-            F.col("l_quantity").alias("qty"),
-            F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
-            F.round(F.col("l_discount") * 100).cast("long").alias("disc"),
-        )
-        bars = li.groupBy("symbol", "trade_date").agg(
-            F.min_by("price", "seq").alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", "seq").alias("close"),
-            F.sum("qty").alias("volume"),
-            (F.sum("cents") / F.lit(100.0)).alias("amount"),
-            (F.sum("disc") / F.count("*")).alias("turnover_rate"),
-        )
-        bars = bars.withColumn("pre_close", F.lag("close").over(_series()))
-        pct = (div(F.col("close"), F.col("pre_close")) - 1) * 100
-        return bars.select(
-            "symbol", "trade_date", "open", "high", "low", "close", "pre_close", "volume", "amount", "turnover_rate",
-            (div(F.col("high") - F.col("low"), F.col("pre_close")) * 100).alias("amplitude"),
-            pct.alias("pct_chg"),
-            F.col("close").alias("adj_close"),
-            (F.col("volume") <= 2).alias("is_suspended"),
-        )
+        return weekly_bars(self.raw("lineitem"))
+
+    def stream(self, name: str) -> DataFrame:
+        """The table as a file stream."""
+        schema = self.raw(name).schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.path)
 
     @cached_property
     def securities(self) -> DataFrame:
@@ -95,8 +72,6 @@ class SampleTables:
 
     @cached_property
     def sector_daily(self) -> DataFrame:
-        from pyspark.sql import Window
-
         per_day = (
             self.bars.join(self.securities.select("symbol", "industry"), "symbol")
             .groupBy(F.col("industry").alias("sector_id"), "trade_date")
@@ -149,10 +124,37 @@ class SampleTables:
         return days.where(F.weekday("trade_date") < 5)
 
 
-def _series():
-    from barline.functions.columns import by_symbol
-
-    return by_symbol()
+def weekly_bars(lineitem: DataFrame) -> DataFrame:
+    """Line items of a supplier and week as one bar."""
+    li = lineitem.select(
+        SampleTables.code(F.col("l_suppkey")).alias("symbol"),
+        F.trunc("l_shipdate", "week").alias("trade_date"),
+        div(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
+        F.struct(
+            "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"
+        ).alias("seq"),
+        F.col("l_quantity").alias("qty"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("disc"),
+    )
+    bars = li.groupBy("symbol", "trade_date").agg(
+        F.min_by("price", "seq").alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", "seq").alias("close"),
+        F.sum("qty").alias("volume"),
+        (F.sum("cents") / F.lit(100.0)).alias("amount"),
+        (F.sum("disc") / F.count("*")).alias("turnover_rate"),
+    )
+    bars = bars.withColumn("pre_close", F.lag("close").over(by_symbol()))
+    pct = (div(F.col("close"), F.col("pre_close")) - 1) * 100
+    return bars.select(
+        "symbol", "trade_date", "open", "high", "low", "close", "pre_close", "volume", "amount", "turnover_rate",
+        (div(F.col("high") - F.col("low"), F.col("pre_close")) * 100).alias("amplitude"),
+        pct.alias("pct_chg"),
+        F.col("close").alias("adj_close"),
+        (F.col("volume") <= 2).alias("is_suspended"),
+    )
 
 
 def _index(bars: DataFrame, code: str) -> DataFrame:

@@ -19,6 +19,7 @@ USES = "bars securities index_bars"
 
 def predictions(t):
     """Deterministic stand-in for model output, with the market and risk columns the rules read."""
+    t = t.stored()
     df = t.bars.withColumns(series.return_columns()).withColumns(series.volatility_columns(rows=(20,)))
     p = {f"p_win_prob_{k}": 1.0 / (1.0 + F.exp(-4.0 * F.col(f"ret_{s}"))) for k, s in SOURCE.items()}
     mu = {f"ret_mu_pred_{k}": 0.05 * F.col(f"ret_{s}") for k, s in SOURCE.items()}

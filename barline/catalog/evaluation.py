@@ -17,6 +17,7 @@ USES = "bars securities index_bars"
 
 def scored_rows(t):
     """Predictions next to the labels, one row per horizon."""
+    t = t.stored()
     keys = ["symbol", "trade_date"]
     df = predictions(t).join(labels.label_table(t.bars, t.index_bars), keys, "inner")
     df = df.withColumns({"label_bigloss_3": F.col("label_bigloss_5"), "label_bigloss_10": F.col("label_bigloss_5"), "label_bigloss_40": F.col("label_bigloss_20")})

@@ -80,6 +80,7 @@ RELATIVE = (
 
 @query("symbol trade_date " + " ".join(f"{c}~" for c in features.RELATIVE_OUT), RELATIVE, "bars securities index_bars")
 def relative_features(t):
+    t = t.stored()
     return features.relative_features(t.bars, t.index_bars, t.securities)
 
 
@@ -116,6 +117,7 @@ MARKET_SPEC = " ".join(c + ("~2" if c == "market_turnover" else "~") for c in fe
 
 @query(f"trade_date {MARKET_SPEC}", MARKET, "bars index_bars sector_daily")
 def market_features(t):
+    t = t.stored()
     return features.market_features(t.bars, t.index_bars, t.sector_daily)
 
 
@@ -129,6 +131,7 @@ REGIME = (
 @query("trade_date limit_count_spread~ limit_count_ratio~ sector_hotness_spread~ market_regime_score~", REGIME,
        "bars index_bars sector_daily")
 def market_regime_features(t):
+    t = t.stored()
     return features.market_features(t.bars, t.index_bars, t.sector_daily).withColumns(series.regime_columns())
 
 
@@ -159,6 +162,7 @@ PROFILE_USES = "bars index_bars financials securities"
 
 
 def profile_frame(t):
+    t = t.stored()
     return profiles.company_profiles(t.bars, t.index_bars, t.financials, t.securities)
 
 

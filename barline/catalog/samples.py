@@ -81,6 +81,7 @@ FEATURE_SPEC = (
 
 
 def feature_frame(t):
+    t = t.stored()
     return samples.build_all_features(t.bars, t.securities, t.index_bars, t.sector_daily, t.financials)
 
 
@@ -137,6 +138,7 @@ for _c in ("high", "low", "close", "adj_close"):
            "label_win_20", "label_win_20~").replace("label_win_40", "label_win_40~"),
        f"{TRAINING_PARTS}, {finalize_sql('live', 'fin')} SELECT * REPLACE (CAST(trunc(list_days) AS INTEGER) AS list_days) FROM fin", USES)
 def training_samples(t):
+    t = t.stored()
     return samples.training_samples(t.bars, t.securities, t.index_bars, t.sector_daily, t.financials)
 
 
@@ -158,6 +160,7 @@ def prediction_frame(t):
 
 
 def prediction_context(t):
+    t = t.stored()
     return samples.prediction_context(
         t.bars, t.securities, t.index_bars, t.sector_daily, t.financials, "2030-01-01"
     )
@@ -322,6 +325,7 @@ def stamp_versions(t):
        "ret5_vs_hs300, roe FROM bars b LEFT JOIN fv USING (symbol, trade_date) LEFT JOIN fr_ USING (symbol, trade_date) "
        "LEFT JOIN ff USING (symbol, trade_date)", USES)
 def join_feature_frames(t):
+    t = t.stored()
     keys = ["symbol", "trade_date"]
     parts = [
         features.volume_features(t.bars, t.securities),
@@ -337,6 +341,7 @@ def join_feature_frames(t):
 @query("symbol trade_date up_limit_count risk_on_flag~",
        f"fm AS (WITH {MARKET}) SELECT symbol, trade_date, up_limit_count, risk_on_flag FROM bars LEFT JOIN fm USING (trade_date)", USES)
 def join_date_context(t):
+    t = t.stored()
     market = features.market_features(t.bars, t.index_bars, t.sector_daily)
     return t.bars.select("symbol", "trade_date").join(market, "trade_date", "left")
 

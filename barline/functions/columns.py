@@ -6,7 +6,7 @@ zero denominator gives NULL under ANSI mode.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SYMBOL = "symbol"
@@ -70,6 +70,15 @@ def pct_rank_avg(col: Column | str, *keys: str | Column) -> Column:
     return F.when(known & c.isNotNull(), div(mean_rank, F.count(c).over(group)))
 
 
+def by_date(df: DataFrame) -> DataFrame:
+    """Mark a frame with one row per trading date as the side to broadcast.
+
+    Its size is bounded by the calendar (about 250 rows a year), not by the data, and
+    the other side keeps its partitioning by symbol.
+    """
+    return F.broadcast(df)
+
+
 def nan_to_null(col: Column) -> Column:
     """NaN and both infinities to NULL."""
     return F.when(~F.isnan(col) & (F.abs(col) != F.lit(float("inf"))), col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.columns import change, div, flag, pct_rank_avg
+from barline.functions.columns import by_date, change, div, flag, pct_rank_avg
 from barline.operators import series
 from barline.operators.asof import asof_backward
 from barline.sources.schemas import BENCHMARK_INDEX, GROWTH_INDEX
@@ -83,7 +83,7 @@ def relative_features(bars: DataFrame, index_bars: DataFrame, securities: DataFr
 def add_relative(work: DataFrame, index_bars: DataFrame) -> DataFrame:
     """Needs ``industry`` and the 5, 10 and 20 row returns."""
     ranks = industry_rank(industry_daily_mean(work)).drop("industry_ret_5")
-    out = work.join(index_returns(index_bars), "trade_date", "left")
+    out = work.join(by_date(index_returns(index_bars)), "trade_date", "left")
     out = out.withColumns({
         "ret5_vs_hs300": F.col("ret_5") - F.col("hs300_ret_5"),
         "ret10_vs_hs300": F.col("ret_10") - F.col("hs300_ret_10"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.columns import by_symbol, div
+from barline.functions.columns import by_date, by_symbol, div
 from barline.sources.schemas import BENCHMARK_INDEX, BIGLOSS_HORIZONS, HORIZONS
 
 
@@ -23,35 +23,45 @@ def win(ret: Column) -> Column:
     return F.coalesce(ret > 0, F.lit(False)).cast("int")
 
 
+_STRIDE = 8
+
+
 def forward_drawdowns(df: DataFrame, periods: Sequence[int] = HORIZONS) -> DataFrame:
     """``label_maxdd_k``: deepest fall below the running peak on open[+1], close[+1..+k].
 
-    The paths of all horizons are prefixes of the longest one, so a single pass
-    over it notes the depth reached at each horizon.  NULL where the series ends
-    earlier or the entry price is unknown.
+    The next closes come from one window node.  The peak at each step is the larger
+    of the peak at the last stride and the few closes since, so all steps are short
+    generated expressions: no array per row, no deep nesting.  NULL where the series
+    ends earlier or the entry is unknown; an unknown close ends the path.
     """
     far = max(periods)
-    path = F.collect_list(F.struct(F.col("close").alias("p"))).over(by_symbol().rowsBetween(1, far))
-    none = F.lit(None).cast("double")
-    start = F.struct(
-        F.lit(0).alias("i"), F.col("__entry").alias("peak"),
-        F.when(F.col("__entry").isNotNull(), F.lit(0.0)).alias("dd"),
-        *[none.alias(f"d{k}") for k in periods],
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        i = s["i"] + 1
-        peak = F.when(s["peak"].isNotNull() & x["p"].isNotNull(), F.greatest(s["peak"], x["p"]))
-        # least() skips an unknown step, as does the reduction over the path
-        dd = F.least(s["dd"], F.try_divide(x["p"], peak) - 1)
-        marks = [F.when(i == k, dd).otherwise(s[f"d{k}"]).alias(f"d{k}") for k in periods]
-        return F.struct(i.alias("i"), peak.alias("peak"), dd.alias("dd"), *marks)
-
-    out = df.withColumns({"__entry": entry_open(), "__path": path})
-    out = out.withColumn("__dd", F.aggregate("__path", start, step))
-    known = F.col("__entry").isNotNull()
-    out = out.withColumns({f"label_maxdd_{k}": F.when(known, F.col(f"__dd.d{k}")) for k in periods})
-    return out.drop("__entry", "__path", "__dd")
+    w = by_symbol()
+    out = df.withColumns({
+        "__peak": entry_open(), "__left": F.count("*").over(w.rowsBetween(1, far)), "__row": F.row_number().over(w),
+        **{f"__c{i}": F.lead("close", i).over(w) for i in range(1, far + 1)},
+    })
+    gap = F.min(F.when(F.col("close").isNull(), F.col("__row"))).over(w.rowsBetween(1, far))
+    out = out.withColumns({"__open": F.coalesce(gap - F.col("__row"), F.lit(far + 1)), "__known": F.col("__peak").isNotNull()})
+    for first in range(1, far + 1, _STRIDE):
+        block = range(first, min(first + _STRIDE, far + 1))
+        depth = {
+            f"__d{i}": F.when(
+                F.col("__open") > i,
+                F.try_divide(F.col(f"__c{i}"), F.greatest("__peak", *[f"__c{j}" for j in range(first, i + 1)])) - 1,
+            )
+            for i in block
+        }
+        # the depths read the peak before this stride; withColumns evaluates both against the old row
+        out = out.withColumns({**depth, "__peak": F.greatest("__peak", *[f"__c{j}" for j in block])})
+    # depth of the shorter horizon goes into the longer one
+    done, deepest = 0, F.lit(0.0)
+    for k in sorted(periods):
+        out = out.withColumn(f"__dd{k}", F.least(deepest, *[F.col(f"__d{i}") for i in range(done + 1, k + 1)]))
+        done, deepest = k, F.col(f"__dd{k}")
+    labels = [
+        F.when(F.col("__known") & (F.col("__left") >= k), F.col(f"__dd{k}")).alias(f"label_maxdd_{k}") for k in periods
+    ]
+    return out.select(*df.columns, *labels)
 
 
 def bigloss(maxdd: str, threshold: float = -0.05) -> Column:
@@ -89,7 +99,7 @@ def label_table(
         complete = complete & F.col(f"label_maxdd_{k}").isNotNull()
     work = work.where(complete)
     bench = benchmark_returns(index_bars, periods)
-    work = work.join(bench, "trade_date", "left")
+    work = work.join(by_date(bench), "trade_date", "left")
     out = [F.col("symbol"), F.col("trade_date")]
     for k in periods:
         ret = F.col(f"label_ret_{k}")

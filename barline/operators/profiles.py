@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.columns import div
+from barline.functions.columns import by_date, div
 from barline.operators import series
 from barline.operators.asof import asof_backward
 from barline.operators.features import index_returns
@@ -27,8 +27,7 @@ def with_rolling_profile(bars: DataFrame, index_bars: DataFrame, days: int = 120
     bench = index_returns(index_bars, (1,), prefix="bench")
     have = set(bars.columns)
     rets = {k: v for k, v in series.return_columns((1, 20, 60)).items() if k not in have}
-    # the calendar side has one row per trading date
-    work = bars.withColumns(rets).join(bench, "trade_date", "left")
+    work = bars.withColumns(rets).join(by_date(bench), "trade_date", "left")
     return work.withColumns({
         "market_cap_log": market_cap_estimate(),
         f"volatility_{days}": series.volatility_columns(rows=(days,))[f"volatility_{days}"],

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.columns import by_symbol, pct_rank_avg
+from barline.functions.columns import by_date, by_symbol, pct_rank_avg
 from barline.operators import series
 from barline.operators.asof import asof_backward
 from barline.operators.features import index_returns, market_features, with_price_features
@@ -59,7 +59,7 @@ def build_all_features(
     work = work.join(names, "symbol", "left").withColumn("industry_sw", F.col("industry"))
     ids = entity_ids(identity if identity is not None else securities).select("symbol", *ID_COLUMNS)
     work = work.join(ids, "symbol", "left")
-    work = work.join(index_returns(index_bars), "trade_date", "left")
+    work = work.join(by_date(index_returns(index_bars)), "trade_date", "left")
 
     work = work.withColumns({
         "turnover_rank_industry": pct_rank_avg("turnover_rate", "trade_date", "industry"),
@@ -74,7 +74,7 @@ def build_all_features(
     work = work.drop("industry", "industry_ret_5", "industry_ret_20", "hs300_ret_5", "hs300_ret_10")
 
     market = market_features(bars, index_bars, sector_daily).withColumns(series.regime_columns())
-    work = work.join(market, "trade_date", "left")
+    work = work.join(by_date(market), "trade_date", "left")
     if events is not None:
         work = work.join(events.drop("symbol"), "trade_date", "left")
     if profiles is not None:

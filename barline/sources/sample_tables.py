@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.columns import by_symbol, change, div
 from barline.sources.schemas import BENCHMARK_INDEX, GROWTH_INDEX
+from barline.sources.writers import staged
 
 GROWTH_REGION = "AMERICA"
 
@@ -36,6 +37,16 @@ class SampleTables:
     def bars(self) -> DataFrame:
         return weekly_bars(self.raw("lineitem"))
 
+    def stored(self) -> "SampleTables":
+        """The same tables over bars and securities written once, as a warehouse has them.
+
+        For compositions that read the bars many times; without it every reader
+        would build them again from the line items.
+        """
+        out = SampleTables(self.spark, self.path)
+        out.__dict__["bars"] = staged(self.bars)
+        return out
+
     def stream(self, name: str) -> DataFrame:
         """The table as a file stream."""
         schema = self.raw(name).schema

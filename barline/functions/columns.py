@@ -64,9 +64,10 @@ def pct_rank_avg(col: Column | str, *keys: str | Column) -> Column:
     known = F.lit(True)
     for k in part:
         known = known & k.isNotNull()
-    mean_rank = F.rank().over(group.orderBy(c.asc_nulls_last())) + (
-        F.count(c).over(Window.partitionBy(*part, c)) - 1
-    ) / F.lit(2.0)
+    ordered = group.orderBy(c.asc_nulls_last())
+    # the default frame of an ordered count reaches the last peer, so it is the rank of the
+    # last of equals; both ranks and the total come from one sort
+    mean_rank = (F.rank().over(ordered) + F.count(c).over(ordered)) / F.lit(2.0)
     return F.when(known & c.isNotNull(), div(mean_rank, F.count(c).over(group)))
 
 

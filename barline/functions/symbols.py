@@ -16,13 +16,14 @@ def _starts(code: Column, prefixes) -> Column:
 
 def normalize_symbol(raw: Column) -> Column:
     """``dddddd.SH`` / ``.SZ`` / ``.BJ``; NULL when no six-digit code can be read."""
+    clean = raw.rlike(r"^[0-9]{6}\.(SH|SZ|BJ)$")
     text = F.regexp_replace(F.upper(F.trim(raw)), "[^0-9A-Z.]", "")
     head = F.substring_index(text, ".", 1)
     tail = F.regexp_extract(text, r"^[^.]*\.(.*)$", 1)
     digits = F.regexp_replace(text, "[^0-9]", "")
     market = F.when(_starts(digits, BEIJING), "BJ").when(_starts(digits, SHANGHAI), "SH").otherwise("SZ")
     named = tail.isin("SH", "SZ", "BJ") & (F.length(head) == 6)
-    return F.when(named, F.concat_ws(".", head, tail)).when(F.length(digits) == 6, F.concat_ws(".", digits, market))
+    return F.when(clean, raw).when(named, F.concat_ws(".", head, tail)).when(F.length(digits) == 6, F.concat_ws(".", digits, market))
 
 
 def exchange(symbol: Column) -> Column:

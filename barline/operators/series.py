@@ -86,7 +86,7 @@ def oscillators(
     specs = {f"__{side}_{n}": (f"__{side}", 1.0 / n) for n in rsi_rows for side in ("up", "down")}
     if macd:
         specs |= {"__fast": (price, span_alpha(12)), "__slow": (price, span_alpha(26))}
-    work = ewm(_with_moves(df, price), specs)
+    work = ewm(_with_moves(df, price), specs, gaps={"__up": "__move", "__down": "__move"})
     work = work.withColumns({f"rsi_{n}": _rsi(n) for n in rsi_rows})
     if macd:
         work = work.withColumn("macd_dif", F.col("__fast") - F.col("__slow"))
@@ -152,11 +152,12 @@ def fill_columns(
     """Forward, then backward fill.  ``backfill`` looks ahead and can be turned off."""
     w = Window.partitionBy(*key).orderBy(order)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = {}
     for name in names:
         filled = F.last(name, ignorenulls=True).over(past)
-        out[name] = F.coalesce(filled, F.first(name, ignorenulls=True).over(ahead)) if backfill else filled
+        # only rows before the first known value are open here, and its value is the next one for all of them
+        out[name] = F.coalesce(filled, F.first(name, ignorenulls=True).over(whole)) if backfill else filled
     return out
 
 

@@ -1,7 +1,7 @@
 """Point-in-time feature rows, training samples and prediction packages.
 
-Order of work: everything per symbol first (one shuffle), then the as-of sweep
-(symbol again), then everything per date (one shuffle by date).  Dimensions and
+Order of work: the as-of sweep over the narrow bars and everything per symbol (one
+shuffle by symbol), then everything per date (one shuffle by date).  Dimensions and
 date-level context come in as joins on small keys.
 """
 
@@ -46,12 +46,12 @@ def build_all_features(
     identity: DataFrame | None = None,
 ) -> DataFrame:
     """One row per bar with price, volume, relative, fundamental, market, profile and identity columns."""
-    work = with_price_features(bars)
+    # the sweep goes first: it hashes the narrow bars by symbol, and all series windows reuse that
+    work = with_price_features(asof_backward(bars, financials, FINANCIAL_OUT))
     work = work.withColumns(series.volume_ratio_columns())
     work = work.withColumns(series.candle_columns())
     work = with_rolling_profile(work, index_bars)
     work = work.withColumn("first_trade_date", F.min("trade_date").over(Window.partitionBy("symbol")))
-    work = asof_backward(work, financials, FINANCIAL_OUT)
 
     names = securities.select(
         "symbol", "name", F.col("industry"), "board", "list_date", "is_st"

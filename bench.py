@@ -1,7 +1,7 @@
 """Headline queries at one data folder; prints one JSON line.
 
 BENCH_SF_DIR picks the folder, BENCH_CPUS the local cores.  Each query runs once to
-warm up and then three times into the noop sink; the median counts.
+warm up and then BENCH_RUNS times (default 1) into the noop sink; the median counts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ HEADLINE = (
     "label_table", "build_all_features", "training_samples", "topk_metrics", "decision_utility", "scan_topn_market", "validate_bars",
     "interval_join_symbol_news", "stream_bars_quarantine",
 )
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 
 def main() -> None:

@@ -1 +1,8 @@
 """Daily-bar analytics on Spark DataFrames: features, labels, splits, scoring and scans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the Python workers by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -40,8 +39,6 @@ YOUNG = (
 )
 _YOUNG = "[" + "".join("-".join(f"\\U{int(end, 16):08x}" for end in span.split("-")) for span in YOUNG.split()) + "]"
 
-LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
 #: Parts remembered per worker and table, and the longest one that is.
 REMEMBERED = 600_000
 REMEMBERED_CHARS = 48
@@ -124,8 +121,9 @@ class Memo(dict):
 class Counter:
     """Counts tokens of texts; made once per Python worker from the vocabulary's parts.
 
-    A single space between two other characters that are no white space always begins a
-    pre-token, so texts are cut there first and whole chunks are remembered as well.
+    A single space between two characters that are no white space always begins a pre-token,
+    and a single line feed between two such characters is one.  So texts are cut there first
+    and whole chunks are remembered as well; texts with other white space are matched as a whole.
     """
 
     def __init__(self, ranks: dict[int, int], specials: list[str]) -> None:
@@ -137,16 +135,21 @@ class Counter:
         ordered = sorted(specials, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, ordered))) if ordered else None
         self.tokens = Memo(lambda t: merged_length(t.encode("utf-8", "surrogatepass"), ranks), lambda t: len(t) <= REMEMBERED_CHARS)
-        self.chunks = Memo(self.chunk, lambda t: len(t) <= REMEMBERED_CHARS and "\n" not in t)
+        self.spaced = Memo(lambda word: self.matched(" " + word), lambda word: len(word) <= REMEMBERED_CHARS)
 
-    def chunk(self, text: str) -> int:
+    def matched(self, text: str) -> int:
         find = self.find if text.isascii() or not self.young(text) else self.find_young
         return sum(map(self.tokens.__getitem__, find(text)))
 
     def plain(self, text: str) -> int:
-        chunks = LONE_SPACE.split(text)
-        first, rest = chunks[0], chunks[1:]
-        return self.chunk(first) + sum(map(self.chunks.__getitem__, map(" ".__add__, rest)))
+        lines = text.split("\n")
+        total = len(lines) - 1
+        for line in lines:
+            words = line.split()
+            if not words or line.split(" ") != words:
+                return self.matched(text)
+            total += self.matched(words[0]) + sum(map(self.spaced.__getitem__, words[1:]))
+        return total
 
     def count(self, text: str) -> int:
         if self.special is None:

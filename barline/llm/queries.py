@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,7 +22,32 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), spark, public_tokenizers.path(TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts,)}
+def op7_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.chat import conversation_digests, formatted_turns
+
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
+    )
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return conversation_digests(formatted_turns(rows.unionByName(probe)))
+
+
+def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.quality import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op7_chat_turns, op8_secret_spans, op9_quality_rules)}
 SQL: dict[str, str] = {}
 
 

@@ -36,7 +36,7 @@ CORE = 0.75
 STEPS = 4
 LEAST_ROWS = 60
 #: Chance of a normal row to be rejected.
-CHANCE = 1e-7
+CHANCE = 3e-6
 
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "marks")
 #: Least standard deviation of each feature.
@@ -46,7 +46,7 @@ _UPPER, _MARK, _LETTER = (np.zeros(256, dtype=bool) for _ in range(3))
 _UPPER[65:91] = True
 _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
-_MARK[[33, 63, 33, 124, 126, 94, 95, 61, 43, 64, 91, 93, 123, 125]] = True
+_MARK[[33, 63, 124, 126, 94, 95, 61, 43, 64, 91, 93, 123, 125]] = True
 _FOLLOW = np.zeros(256, dtype=bool)
 _FOLLOW[128:192] = True
 _SYMBOL = np.zeros(256, dtype=bool)

@@ -47,7 +47,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op7_chat_turns, op8_secret_spans, op9_quality_rules)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.toxicity import fit, scored
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    out = scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("p_toxic", 6).alias("p_toxic"), "rejected")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
 SQL: dict[str, str] = {}
 
 

@@ -22,6 +22,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), spark, public_tokenizers.path(TOKENIZER))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barline.llm.chat import conversation_digests, formatted_turns
 
@@ -56,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("p_toxic", 6).alias("p_toxic"), "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op5_main_text, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
 SQL: dict[str, str] = {}
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline.llm import mixing
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -14,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.mixing import mixed
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    out = mixed(docs, narrow=True)
+    return out.select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("probability", 6).alias("probability"),
+        F.round("repeat_weight", 6).alias("repeat_weight"), "kept",
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,8 +75,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("p_toxic", 6).alias("p_toxic"), "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op5_main_text, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op4_token_counts, op5_main_text, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
+SQL: dict[str, str] = {"op1_mixing": mixing.sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import mixing
+from barline.llm import minhash, mixing
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,6 +41,12 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.minhash import components
+
+    return components(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barline.llm.chat import conversation_digests, formatted_turns
 
@@ -75,8 +81,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("p_toxic", 6).alias("p_toxic"), "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op4_token_counts, op5_main_text, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
-SQL: dict[str, str] = {"op1_mixing": mixing.sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op4_token_counts, op5_main_text, op6_near_duplicates, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
+SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op6_near_duplicates": minhash.sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import minhash, mixing
+from barline.llm import minhash, mixing, substrings
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -27,6 +27,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.substrings import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,8 +87,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("p_toxic", 6).alias("p_toxic"), "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op4_token_counts, op5_main_text, op6_near_duplicates, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
-SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op6_near_duplicates": minhash.sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op4_token_counts, op5_main_text, op6_near_duplicates, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
+SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op2_substring_dedup": substrings.sql(), "op6_near_duplicates": minhash.sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

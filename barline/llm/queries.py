@@ -33,6 +33,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.decontaminate import judged
+
+    out = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", "item_id", F.round("lcs_share", 6).alias("lcs_share"), F.round("cosine", 4).alias("cosine"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,7 +94,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("p_toxic", 6).alias("p_toxic"), "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op4_token_counts, op5_main_text, op6_near_duplicates, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_decontamination, op4_token_counts, op5_main_text, op6_near_duplicates, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
 SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op2_substring_dedup": substrings.sql(), "op6_near_duplicates": minhash.sql()}
 
 

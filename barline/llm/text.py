@@ -20,6 +20,9 @@ PIECE_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+_PUNCTUATION = np.zeros(256, dtype=bool)
+_PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 
 
 def _odd_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +111,8 @@ class Words:
         return out
 
 
-def words_of(column: pa.Array) -> Words:
-    """Words of every text of the column; NULL is an empty text."""
+def words_of(column: pa.Array, bare: bool = False) -> Words:
+    """Words of every text of the column; NULL is an empty text.  ``bare`` words end at ASCII punctuation too."""
     column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
@@ -121,7 +124,7 @@ def words_of(column: pa.Array) -> Words:
     bounds = np.frombuffer(buffers[1], dtype=np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(buffers[2], dtype=np.uint8)[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
-    inside = ~_SPACE[data]
+    inside = ~(_PUNCTUATION if bare else _SPACE)[data]
     edge = np.zeros(len(data) + 1, dtype=bool)  # a text begins or ends here
     edge[bounds] = True
     begins = inside.copy()

@@ -157,3 +157,30 @@ def conversation_digests(turns: DataFrame, template: Template = INSTRUCT) -> Dat
     return ordered.mapInArrow(
         run, f"conv_id {key_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, bad_turn long"
     )
+
+
+def sql(template: Template = INSTRUCT) -> str:
+    """The digests over ``conversations`` and the probe conversation -7 in SQL, from the same declarative template."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def escaped(column: str) -> str:
+        for c in template.controls:
+            pattern = rf"({re.escape(c[0])})(\\*{re.escape(c[1:])})"
+            column = rf"regexp_replace({column}, {quoted(pattern)}, '\1\\\2', 'g')"
+        return column
+
+    size = f"length({escaped('text')})"
+    whens = " ".join(f"WHEN {quoted(role)} THEN {len(before) + len(after)} + {size}" for role, before, after in template.around)
+    other = sum(map(len, template.other))
+    learned = ", ".join(map(quoted, sorted(template.learned)))
+    return f"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, CASE role {whens} ELSE {other} + length({escaped('role')}) + {size} END AS n FROM raw)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role IN ({learned})), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role IN ({learned})), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""

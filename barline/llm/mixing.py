@@ -75,23 +75,23 @@ def raked(cell_table: DataFrame, targets: Mapping[str, DataFrame], rounds: int =
         present = cell_table.select(F.col(m).alias("value")).distinct().join(targets[m], "value", "left").na.fill(0.0, ["target"])
         whole = present.agg(F.sum("target")).first()[0] or 1.0
         wanted[m] = written(present.select(F.col("value").alias(m), (F.col("target") / whole * total).alias("target")), f"target-{m}")
-    factors = {m: wanted[m].select(m, F.lit(1.0).alias(f"f_{m}")) for m in MARGINS}
+    factors = {m: wanted[m].select(m, F.lit(1.0).alias(f"__f_{m}")) for m in MARGINS}
     for _ in range(rounds):
         for m in MARGINS:
             weighed, product = cell_table, F.col("tokens").cast("double")
             for other in MARGINS:
                 if other != m:
-                    weighed, product = weighed.join(factors[other], other), product * F.col(f"f_{other}")
+                    weighed, product = weighed.join(factors[other], other), product * F.col(f"__f_{other}")
             sums = weighed.groupBy(m).agg(F.sum(product).alias("now"))
-            step = sums.join(wanted[m], m).select(m, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias(f"f_{m}"))
+            step = sums.join(wanted[m], m).select(m, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias(f"__f_{m}"))
             factors[m] = written(step, f"factor-{m}")
     return factors
 
 
 def weight() -> Column:
-    out = F.col(f"f_{MARGINS[0]}")
+    out = F.col(f"__f_{MARGINS[0]}")
     for m in MARGINS[1:]:
-        out = out * F.col(f"f_{m}")
+        out = out * F.col(f"__f_{m}")
     return out
 
 

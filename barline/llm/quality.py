@@ -40,7 +40,7 @@ CHANCE = 3e-6
 
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "marks")
 #: Least standard deviation of each feature.
-FLOORS = (0.7, 0.5, 0.6, 0.35, 0.08, 0.04, 0.06)
+FLOORS = (0.7, 0.5, 0.5, 0.35, 0.08, 0.04, 0.06)
 
 _UPPER, _MARK, _LETTER = (np.zeros(256, dtype=bool) for _ in range(3))
 _UPPER[65:91] = True
@@ -218,7 +218,8 @@ def mcd(stats: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """Base statistics, the squared distance ``outlyingness`` and the verdict ``kept`` of every row."""
-    stats = written(grouped(statistics(docs)), "quality")
+    # stored before the groups are named: both the group sizes and the rows are read from it
+    stats = written(grouped(written(statistics(docs), "statistics")), "quality")
     enough = stats.filter("grp <> 'rest'")
     params = mcd(enough.select("grp", "x"))
     d = len(FLOORS)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import minhash, mixing, substrings
+from barline.llm import chat, minhash, mixing, substrings
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -70,7 +70,8 @@ def op7_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
-    return conversation_digests(formatted_turns(rows.unionByName(probe)))
+    out = conversation_digests(formatted_turns(rows.unionByName(probe)))
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_decontamination, op4_token_counts, op5_main_text, op6_near_duplicates, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity)}
-SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op2_substring_dedup": substrings.sql(), "op6_near_duplicates": minhash.sql()}
+SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op2_substring_dedup": substrings.sql(), "op6_near_duplicates": minhash.sql(), "op7_chat_turns": chat.sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.llm.text import pieces
 
@@ -172,7 +173,7 @@ def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
             arrays = [*batch.columns, pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(over[:, 0] >= REJECT)]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "__severity", "__p_toxic", "__rejected"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(run, f"{fields}, __severity double, __p_toxic double, __rejected boolean")
+    added = T.StructType.fromDDL("__severity double, __p_toxic double, __rejected boolean")
+    out = docs.mapInArrow(run, T.StructType(docs.schema.fields + added.fields))
     own = [c for c in docs.columns if c not in ("severity", "p_toxic", "rejected")]
     return out.select(*[F.col(f"`{c}`") for c in own], *[F.col(f"__{c}").alias(c) for c in ("severity", "p_toxic", "rejected")])

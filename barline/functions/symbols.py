@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Code prefixes per exchange; Beijing is asked first.
-BEIJING = "430 830 831 832 833 835 836 837 838 839 870 871 872 873 920".split()
-SHANGHAI = "600 601 603 605 688 689 510 511 512 513 515".split()
+BEIJING = ["430", "830", "831", "832", "833", "835", "836", "837", "838", "839", "870", "871", "872", "873", "920"]
+SHANGHAI = ["600", "601", "603", "605", "688", "689", "510", "511", "512", "513", "515"]
 
 
 def _starts(code: Column, prefixes) -> Column:

@@ -22,8 +22,8 @@ from barline.operators.quantiles import attach
 from barline.sources.writers import staged
 
 # Compared columns and score weights.
-FUNDAMENTALS = "roe revenue_yoy profit_yoy gross_margin debt_ratio".split()
-BEHAVIOUR = "volatility_120 beta_120 turnover_mean_120 amount_mean_120 ret_20 ret_60".split()
+FUNDAMENTALS = ["roe", "revenue_yoy", "profit_yoy", "gross_margin", "debt_ratio"]
+BEHAVIOUR = ["volatility_120", "beta_120", "turnover_mean_120", "amount_mean_120", "ret_20", "ret_60"]
 W_INDUSTRY, W_SIZE, W_FUND, W_BEHAVE = 0.40, 0.20, 0.20, 0.20
 SAME_BOARD = 0.25
 SMALLEST_BLOCK = 512

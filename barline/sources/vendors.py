@@ -7,6 +7,7 @@ that is no number becomes NULL.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,16 +67,31 @@ def finalise_bars(df: DataFrame, source: str) -> DataFrame:
     return work.dropna(subset=["trade_date", "open", "high", "low", "close"])
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Vendor columns by declared name, and factors that bring a column to the declared unit."""
+
+    names: Mapping[str, str]
+    factors: Mapping[str, float] = field(default_factory=dict)
+
+    def read(self, df: DataFrame) -> DataFrame:
+        taken = {old: new for old, new in self.names.items() if old in df.columns and new not in df.columns}
+        scaled = {new: number(new, [new]) * self.factors[new] for new in taken.values() if new in self.factors}
+        return df.withColumnsRenamed(taken).withColumns(scaled)
+
+
+LAYOUTS = {
+    "labelled": Layout(LABELLED),
+    "share": Layout({"date": "trade_date", "turnover": "turnover_rate"}, {"turnover_rate": 100.0}),
+}
+
+
 def bars_labelled(df: DataFrame, source: str = "labelled") -> DataFrame:
-    return finalise_bars(renamed(df, LABELLED), source)
+    return finalise_bars(LAYOUTS["labelled"].read(df), source)
 
 
 def bars_turnover_share(df: DataFrame, source: str = "share") -> DataFrame:
-    """Layout with ``date`` and turnover as a share instead of percent."""
-    work = renamed(df, {"date": "trade_date"})
-    if "turnover" in work.columns and "turnover_rate" not in work.columns:
-        work = work.withColumn("turnover_rate", F.col("turnover").try_cast("double") * 100)
-    return finalise_bars(work, source)
+    return finalise_bars(LAYOUTS["share"].read(df), source)
 
 
 def bars_lots(df: DataFrame, source: str = "lots") -> DataFrame:

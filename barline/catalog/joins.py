@@ -115,9 +115,9 @@ SYMBOL_NEWS = """
     note AS (SELECT q.*, 'announcement' AS kind, CAST(event_id AS VARCHAR) AS item_id, CAST(ts AS TIMESTAMP) AS publish_time, props AS title
         FROM q JOIN events e ON lpad(CAST(user_id AS VARCHAR), 6, '0') || '.SZ' = symbol AND event_type = 'click'
         AND ts >= trade_date + INTERVAL '23:59:59' - INTERVAL 7 DAY AND ts <= trade_date + INTERVAL '23:59:59'),
-    u AS (SELECT * FROM own UNION ALL SELECT * FROM fb UNION ALL SELECT * FROM note)
-    SELECT *, CAST(row_number() OVER (PARTITION BY symbol, trade_date ORDER BY publish_time DESC, kind, item_id) AS INTEGER) AS item_rank FROM u
-    QUALIFY item_rank <= 8"""
+    u AS (SELECT * FROM own UNION ALL SELECT * FROM fb UNION ALL SELECT * FROM note),
+    places AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY symbol, trade_date ORDER BY kind = 'announcement', publish_time DESC, kind, item_id) <= 8)
+    SELECT *, CAST(row_number() OVER (PARTITION BY symbol, trade_date ORDER BY publish_time DESC, kind, item_id) AS INTEGER) AS item_rank FROM places"""
 
 
 @query("symbol trade_date kind item_id publish_time title item_rank", SYMBOL_NEWS)

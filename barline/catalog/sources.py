@@ -252,7 +252,7 @@ CALENDAR_ITEMS = """
         CAST(coalesce(importance, 0) AS DOUBLE) AS importance_score_raw, coalesce(time, '{clock}') AS order_time FROM eco {where}"""
 POOL = (
     ECONOMIC + ", pool AS (" + CALENDAR_ITEMS.format(cat="financial", mark="金融热点", region="全球", clock="08:00", where="")
-    + """ UNION ALL SELECT trade_date, item_id, 'domestic', 'daily_domestic', '[国内热点] ' || title, left(props, 256),
+    + """ UNION ALL SELECT trade_date, item_id, 'domestic', 'daily_domestic', '[国内热点] ' || title, props,
         trade_date + INTERVAL 19 HOUR + INTERVAL 1 MINUTE * least(place, 50), greatest(0.0, 10.0 - place),
         right('000000' || CAST(least(place, 51) AS VARCHAR), 6)
         FROM (SELECT CAST(ts AS DATE) AS trade_date, event_id AS item_id, event_type || ' ' || props AS title, props,
@@ -297,7 +297,7 @@ def market_news_candidates(t):
     SELECT trade_date, category, CAST(slot AS INTEGER) AS slot, source, title,
         md5(CAST(trade_date AS VARCHAR) || '|' || source || '|' || category || '|' || CAST(idx AS VARCHAR) || '|' || title) AS news_id,
         CASE WHEN ph THEN trade_date + INTERVAL 12 HOUR + INTERVAL 1 MINUTE * slot ELSE rp END AS publish_time,
-        CASE WHEN ph THEN CAST(trade_date AS VARCHAR) || ' ' || category || ' category placeholder event' ELSE left(rs, 512) END AS summary,
+        CASE WHEN ph THEN CAST(trade_date AS VARCHAR) || ' ' || category || ' category placeholder event' ELSE rs END AS summary,
         CASE WHEN ph THEN 0 ELSE ri END AS importance_score_raw, ph AS is_placeholder FROM f""", "news_calendar")
 def news_topk_with_padding(t):
     return news.daily_pick(t.news_calendar, news_pool(t))

@@ -58,10 +58,10 @@ def _named_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def symbol_news(requests: DataFrame, news: DataFrame, notices: DataFrame | None = None, days: int = 7, limit: int = 8) -> DataFrame:
-    """Newest ``limit`` items per request (symbol, trade_date).
+    """Up to ``limit`` items per request (symbol, trade_date), the newest first.
 
     News of the last ``days`` days that mention the symbol, else the news of the
-    day, plus notices that mention it.  The range is turned into an equi-join on
+    day, take the places first; notices that mention it fill those left.  The range is turned into an equi-join on
     (symbol, day); per-day news are cut to ``limit`` before they meet the requests.
     """
     end = F.col("trade_date").cast("timestamp_ntz") + _day_end()
@@ -97,8 +97,10 @@ def symbol_news(requests: DataFrame, news: DataFrame, notices: DataFrame | None
     items = own.unionByName(fallback)
     if notices is not None:
         items = items.unionByName(mentions(notices, "announcement", "announcement_id"))
-    w = Window.partitionBy("symbol", "trade_date").orderBy(*newest)
-    return items.withColumn("item_rank", F.row_number().over(w)).where(F.col("item_rank") <= limit)
+    asked_for = Window.partitionBy("symbol", "trade_date")
+    places = asked_for.orderBy(F.when(F.col("kind") == "news", 0).otherwise(1), *newest)
+    chosen = items.withColumn("__place", F.row_number().over(places)).where(F.col("__place") <= limit).drop("__place")
+    return chosen.withColumn("item_rank", F.row_number().over(asked_for.orderBy(*newest)))
 
 
 def training_coverage(samples: DataFrame, counts: DataFrame, industries: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ HOME_REGIONS = "中国|香港|澳门|台湾"
 DEFAULT_REGION = {"financial": "全球", "international": "海外"}
 DEFAULT_TIME = {"financial": "08:00", "international": "09:00"}
 NO_NEWS = "暂无足量热点，使用占位事件补齐"
-SUMMARY_LENGTH = 512
-LEAD_LENGTH = 256
+CLOCKS = ("HH:mm", "H:mm", "HH:mm:ss", "H:mm:ss")
 
 
 def _calendar_candidates(items: DataFrame, category: str) -> DataFrame:
@@ -32,7 +31,8 @@ def _calendar_candidates(items: DataFrame, category: str) -> DataFrame:
         F.lit("地区: "), shown, F.lit("; 公布: "), text("actual"), F.lit("; 预期: "), text("forecast"),
         F.lit("; 前值: "), text("previous"), F.lit("; 重要性: "), F.coalesce(F.col("importance"), F.lit(0)).cast("string"),
     )
-    stamp = F.try_to_timestamp(F.concat_ws(" ", F.col("trade_date").cast("string"), clock), F.lit("yyyy-MM-dd HH:mm"))
+    moment = F.concat_ws(" ", F.col("trade_date").cast("string"), F.trim(clock))
+    stamp = F.coalesce(*[F.try_to_timestamp(moment, F.lit(f"yyyy-MM-dd {form}")) for form in CLOCKS])
     default = F.try_to_timestamp(
         F.concat_ws(" ", F.col("trade_date").cast("string"), F.lit(DEFAULT_TIME[category])), F.lit("yyyy-MM-dd HH:mm")
     )
@@ -49,20 +49,21 @@ def _calendar_candidates(items: DataFrame, category: str) -> DataFrame:
 def _broadcast_candidates(items: DataFrame) -> DataFrame:
     """Evening-news rows (trade_date, item_id, title, content), in item order.
 
-    Score and minute depend on the place only among the first 50 of a date, so only
-    those are ranked; Spark limits each group before the shuffle.
+    The place of an item counts all items of its date, blank ones too; blank ones are left out afterwards.
+    Score and minute do not change after the 50th place, so only the first 50 of a date are
+    ranked (Spark limits each group before the shuffle) and all later ones share place 51.
     """
-    rows = items.where((F.trim(F.coalesce("title", F.lit(""))) != "") | (F.trim(F.coalesce("content", F.lit(""))) != ""))
     w = Window.partitionBy("trade_date").orderBy("item_id")
-    placed = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 50).select("trade_date", "item_id", "place")
+    placed = items.select("trade_date", "item_id").withColumn("place", F.row_number().over(w)).where(F.col("place") <= 50)
+    rows = items.where((F.trim(F.coalesce("title", F.lit(""))) != "") | (F.trim(F.coalesce("content", F.lit(""))) != ""))
     rows = rows.join(placed, ["trade_date", "item_id"], "left").withColumn("place", F.coalesce("place", F.lit(51)))
     title, content = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("content", F.lit("")))
     minute = F.least(F.col("place"), F.lit(50))
     when = F.timestamp_seconds(F.unix_seconds(F.col("trade_date").cast("timestamp")) + 19 * 3600 + minute * 60)
     return rows.select(
         "trade_date", "item_id", F.lit("domestic").alias("category"), F.lit("daily_domestic").alias("source"),
-        F.concat(F.lit(f"[{TITLE_MARK['domestic']}] "), F.when(title != "", title).otherwise(F.substring(content, 1, 40))).alias("title"),
-        F.substring(content, 1, LEAD_LENGTH).alias("summary"), content.alias("content"),
+        F.concat(F.lit(f"[{TITLE_MARK['domestic']}] "), F.when(title != "", title).otherwise(content)).alias("title"),
+        content.alias("summary"), content.alias("content"),
         when.cast("timestamp_ntz").alias("publish_time"),
         F.greatest(F.lit(0.0), F.lit(10.0) - F.col("place")).alias("importance_score_raw"),
         F.lpad(F.col("place").cast("string"), 6, "0").alias("order_time"),
@@ -103,7 +104,7 @@ def daily_pick(dates: DataFrame, pool: DataFrame) -> DataFrame:
         "trade_date", "category", "slot", "index", source.alias("source"), title.alias("title"),
         F.md5(F.concat_ws("|", day, source, F.col("category"), F.col("index").cast("string"), title)).alias("news_id"),
         F.when(empty, noon.cast("timestamp_ntz")).otherwise(F.col("publish_time")).alias("publish_time"),
-        F.substring(F.when(empty, filler).otherwise(F.coalesce("summary", F.lit(""))), 1, SUMMARY_LENGTH).alias("summary"),
+        F.when(empty, filler).otherwise(F.coalesce("summary", F.lit(""))).alias("summary"),
         F.when(empty, filler).otherwise(F.col("content")).alias("content"),
         F.when(empty, F.lit(0.0)).otherwise(F.col("importance_score_raw")).alias("importance_score_raw"),
         empty.alias("is_placeholder"),

@@ -148,7 +148,7 @@ def vector_column_stats(t):
     GROUP BY label""")
 def daily_vector_pool(t):
     vec = F.transform("embedding", lambda x: x.cast("double"))
-    return agg.daily_vector_pool(t.raw("embeddings").select("label", vec.alias("v")), "v", "label", 64)
+    return agg.daily_vector_pool(t.raw("embeddings").select("label", vec.alias("v")), "v", "label")
 
 
 def wins(t):

@@ -147,8 +147,8 @@ def text_embed(t):
 
 
 @query("trade_date length~ places", f"""
-    {HEAD} SELECT trade_date, CASE WHEN EXISTS (SELECT 1 FROM head h WHERE h.trade_date = c.trade_date) THEN 1.0 ELSE 0.0 END AS length, 256 AS places
-    FROM news_calendar c""", "news news_calendar")
+    SELECT trade_date, CASE WHEN EXISTS (SELECT 1 FROM news h WHERE h.source LIKE 'daily\\_%' ESCAPE '\\' AND CAST(h.publish_time AS DATE) = c.trade_date)
+    THEN 1.0 ELSE 0.0 END AS length, 256 AS places FROM news_calendar c""", "news news_calendar")
 def daily_event_vectors(t):
     out = events.daily_event_vectors(dated_news(t), t.news_calendar)
     norm = F.sqrt(F.aggregate("event_embedding", F.lit(0.0), lambda s, x: s + x * x))
@@ -157,9 +157,9 @@ def daily_event_vectors(t):
 
 @query("label pooled~", """
     m AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x
-        FROM embeddings) WHERE pos < 16 GROUP BY 1, 2)
+        FROM embeddings) GROUP BY 1, 2)
     SELECT label, sum(m) / sqrt(sum(m * m)) AS pooled FROM m GROUP BY 1""")
 def pooled_vector_sum(t):
     vec = F.transform("embedding", lambda x: x.cast("double"))
-    out = daily_vector_pool(t.raw("embeddings").select("label", vec.alias("v")), "v", "label", 16)
+    out = daily_vector_pool(t.raw("embeddings").select("label", vec.alias("v")), "v", "label")
     return out.select("label", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x).alias("pooled"))

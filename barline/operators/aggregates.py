@@ -69,20 +69,21 @@ def split_stats(df: DataFrame, length: int, by: str = "split") -> DataFrame:
     return out.join(dates, by)
 
 
-def missing_shares(df: DataFrame, columns: Sequence[str], top: int = 15) -> DataFrame:
-    """The ``top`` columns with the largest share of NULLs."""
+def missing_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Share of NULLs of every column, the largest first."""
     return _long(df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns]), columns, "missing_share").orderBy(
         F.col("missing_share").desc(), "column"
-    ).limit(top)
+    )
 
 
 def near_constant(df: DataFrame, columns: Sequence[str], most: int = 1) -> DataFrame:
-    """Columns with at most ``most`` distinct values, by exact minimum and maximum when ``most`` is 1."""
-    if most == 1:
-        spread = df.agg(*[(F.min(c) == F.max(c)).cast("int").alias(c) for c in columns])
-        return _long(spread, columns, "constant").where(F.coalesce("constant", F.lit(1)) == 1)
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
-    return _long(counts, columns, "distinct_values").where(F.col("distinct_values") <= most)
+    """Columns with at most ``most`` distinct values besides NULL, with their exact number.
+
+    Values are made distinct first and counted then, so no task holds the values of a column.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x"))
+    counts = cells.select("x.*").distinct().groupBy("column").agg(F.count("value").alias("distinct_values"))
+    return counts.where(F.col("distinct_values") <= most)
 
 
 def label_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -110,13 +111,13 @@ def vector_column_stats(df: DataFrame, column: str, floor: float = 1e-3, nested:
     return cells.groupBy("pos").agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("std"))
 
 
-def daily_vector_pool(df: DataFrame, column: str, by: str, size: int) -> DataFrame:
+def daily_vector_pool(df: DataFrame, column: str, by: str) -> DataFrame:
     """Mean vector per group, scaled to length 1.
 
     Averaged per position with map-side combining, so a group of any size costs
-    ``size`` partial sums per task.
+    one partial sum per position and task.  All positions count; widths come from the data.
     """
-    cells = df.select(by, F.posexplode(column).alias("pos", "x")).where(F.col("pos") < size)
+    cells = df.select(by, F.posexplode(column).alias("pos", "x"))
     means = cells.groupBy(by, "pos").agg(F.avg("x").alias("m"))
     packed = means.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("p"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))

@@ -164,11 +164,14 @@ def normalize_events(
     return work.select(*df.columns, "trade_date", "__e.*").withColumn("normalized_flag", F.lit(True))
 
 
+def daily_items(df: DataFrame) -> DataFrame:
+    return df.where(F.coalesce("source", F.lit("")).startswith("daily_"))
+
+
 def daily_head(df: DataFrame, n: int = NEWS_PER_DAY) -> DataFrame:
     """First ``n`` daily items per date by source, time and id; Spark cuts before the shuffle."""
     w = Window.partitionBy("trade_date").orderBy("source", "publish_time", "news_id")
-    rows = df.where(F.coalesce("source", F.lit("")).startswith("daily_"))
-    return rows.withColumn("item", F.row_number().over(w)).where(F.col("item") <= n)
+    return daily_items(df).withColumn("item", F.row_number().over(w)).where(F.col("item") <= n)
 
 
 def news_text() -> Column:
@@ -196,17 +199,17 @@ def encoder(encode: Callable[[pd.Series], "list[list[float]]"]) -> Callable[[Col
 
 
 def daily_event_vectors(
-    news: DataFrame, dates: DataFrame, encode: Callable[[Column], Column] | None = None, size: int = EVENT_DIM
+    news: DataFrame, dates: DataFrame, encode: Callable[[Column], Column] | None = None, size: int = EVENT_DIM, head: int | None = None
 ) -> DataFrame:
-    """Each date gets the pooled vector of its first items, or zeros.
+    """Each date gets the pooled vector of its daily items, or zeros; with ``head`` only of the first so many.
 
     ``encode`` is a plugged-in encoder of any width; its vectors are brought to ``size``.
     """
-    items = daily_head(news).withColumn("__t", news_text())
+    items = (daily_items(news) if head is None else daily_head(news, head)).withColumn("__t", news_text())
     if encode is None:
         items = with_hashed_terms(items, "__t", "__v", size)
     else:
         items = items.withColumn("__v", vectors.project(encode(F.col("__t")), size))
-    pooled = daily_vector_pool(items, "__v", "trade_date", size)
+    pooled = daily_vector_pool(items, "__v", "trade_date")
     out = dates.select("trade_date").distinct().join(pooled, "trade_date", "left")
     return out.select("trade_date", F.coalesce("vector", F.array_repeat(F.lit(0.0), size)).alias("event_embedding"))

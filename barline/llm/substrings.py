@@ -32,8 +32,8 @@ from barline.llm.text import pieces, windows, within, words_of
 
 DEPTH = 20
 #: Suffixes of a group that one task sorts, at about 40 bytes each; and bytes of text in a batch.
-GROUP = 4_000_000
-BATCH_BYTES = 16 << 20
+GROUP = 2_000_000
+BATCH_BYTES = 6 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -55,10 +55,12 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def steps(sorted_places: np.ndarray) -> np.ndarray:
-    """Ascending places as steps, in two bytes each if they fit."""
-    gaps = np.diff(sorted_places, prepend=0)
-    return gaps.astype(np.uint16 if len(gaps) == 0 or gaps.max() < 1 << 16 else np.uint32)
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Ascending numbers as steps, in two or four bytes each if they fit."""
+    gaps = np.diff(ascending, prepend=0)
+    if len(gaps) == 0 or gaps.min() >= 0 and gaps.max() < 1 << 16:
+        return gaps.astype(np.uint16)
+    return gaps.astype(np.uint32) if gaps.min() >= 0 and gaps.max() < 1 << 32 else gaps
 
 
 def places(gaps: np.ndarray) -> np.ndarray:
@@ -110,7 +112,7 @@ def _suffixes(groups: int):
                 mine = sent[by_group[bounds[g] : bounds[g + 1]]]
                 if len(mine):
                     inside, n = np.unique(text[mine], return_counts=True)
-                    rows.append((g, number, packed(names[mine], steps(at[mine]), ids[inside], w.offsets[inside].astype(np.uint32), n.astype(np.uint32))))
+                    rows.append((g, number, packed(names[mine], steps(at[mine]), steps(ids[inside]), steps(w.offsets[inside]), steps(np.cumsum(n)))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["grp", "batch", "data"])
 
     return run
@@ -126,8 +128,8 @@ def _group_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def solved(held: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
         parts = [unpacked(data) for _, data in held]
         at = [places(p[1]) for p in parts]
-        docs = np.concatenate([np.repeat(p[2], p[4]) for p in parts])
-        starts = np.concatenate([a - np.repeat(p[3], p[4]) for a, p in zip(at, parts)])
+        docs = np.concatenate([np.repeat(places(p[2]), p[4]) for p in parts])
+        starts = np.concatenate([a - np.repeat(places(p[3]), p[4]) for a, p in zip(at, parts)])
         source = np.repeat(np.arange(len(parts)), [len(a) for a in at])
         found = np.sort(repeats_in(np.concatenate([p[0] for p in parts]), docs, starts))
         bounds = np.searchsorted(source[found], np.arange(len(parts) + 1))

@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-#: Bytes of text handled at once inside a task; a longer single text is still one piece for its
-#: word positions, but its fingerprints are made in pieces of this size.
-PIECE_BYTES = 4 << 20
+#: Bytes of text handled at once inside a task.  A longer single text is still one piece for its word
+#: positions, but fingerprints are made for so many bytes at once.
+PIECE_BYTES, PRINT_BYTES = 4 << 20, 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -100,7 +100,7 @@ class Words:
         first = 0
         while first < len(out):
             begin = self.starts[first]
-            last = max(first + 1, int(np.searchsorted(self.ends, begin + PIECE_BYTES, side="right")))
+            last = max(first + 1, int(np.searchsorted(self.ends, begin + PRINT_BYTES, side="right")))
             stop = int(self.ends[last - 1] - begin)
             up, down = _tables().of_base(BYTE_BASE, stop + 1)
             sums = np.zeros(stop + 1, dtype=np.uint64)

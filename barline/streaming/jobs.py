@@ -18,7 +18,7 @@ from barline.operators.events import rule_event
 from barline.operators.rows import validate_bars
 from barline.plans.samples import returns_to_refresh
 from barline.sources.writers import bad_records
-from barline.streaming.tables import all_batches, current, write_batch
+from barline.streaming.tables import all_batches, current, earlier_batches, write_batch
 
 
 def _start(writer: DataStreamWriter, folder: str, processing_time: str | None) -> StreamingQuery:
@@ -30,15 +30,25 @@ def _start(writer: DataStreamWriter, folder: str, processing_time: str | None) -
 def bars_intake(
     stream: DataFrame, folder: str, prepare: Callable[[DataFrame], DataFrame] | None = None, order: str = "seq", processing_time: str | None = None
 ) -> StreamingQuery:
-    """Valid bars to ``bars`` (newest batch wins per symbol and date), the rest to ``bad_records``."""
+    """Valid bars to ``bars``, the rest to ``bad_records``.
+
+    The first valid row of a symbol and date stays; a repeat is quarantined, in its own batch or in a later
+    one, so the result does not hang on how the rows are dealt over files.
+    """
 
     def intake(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
         rows.persist()
         valid, bad = validate_bars(rows, order)
+        flat = bad.withColumn("error_text", F.array_join("reasons", ","))
+        known = earlier_batches(batch.sparkSession, f"{folder}/bars", batch_id)
+        if known is not None:
+            # only the keys of earlier bars are read, and only those of this batch's symbols and dates go on
+            seen = known.select("symbol", "trade_date").distinct()
+            again = valid.join(seen, ["symbol", "trade_date"], "left_semi").withColumn("error_text", F.lit("repeated_key"))
+            flat = flat.unionByName(again, allowMissingColumns=True)
+            valid = valid.join(seen, ["symbol", "trade_date"], "left_anti")
         write_batch(valid.drop(order), f"{folder}/bars", batch_id)
-        reasons = F.array_join("reasons", ",")
-        flat = bad.withColumn("error_text", reasons)
         write_batch(bad_records(flat, "daily_bars", F.col("error_text")), f"{folder}/bad_records", batch_id)
         rows.unpersist()
 
@@ -92,10 +102,12 @@ def refresh_trailing(
         fresh = prepare(batch) if prepare else batch
         write_batch(fresh, f"{folder}/bars", batch_id)
         spark = batch.sparkSession
+        touched = spark.read.parquet(f"{folder}/bars/batch={batch_id}").select(*keys)
+        # the history of untouched symbols is left out before rows are merged
         bars = all_batches(spark, f"{folder}/bars").where(F.col("batch") <= batch_id)
+        bars = bars.join(touched.select("symbol").distinct(), "symbol", "left_semi")
         values = [c for c in bars.columns if c not in keys and c != "batch"]
         bars = bars.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch").cast("long")).alias("r")).select(*keys, "r.*")
-        touched = spark.read.parquet(f"{folder}/bars/batch={batch_id}").select(*keys)
         first = touched.groupBy("symbol").agg(F.min("trade_date").alias("__first"))
         built = rebuild(returns_to_refresh(bars, touched, lookback))
         out = built.join(first, "symbol").where(F.col("trade_date") >= F.col("__first")).drop("__first")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,20 @@ def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     return newest.select(*keys, "r.*")
 
 
+def earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Rows of the batches before ``batch_id``, None when there is none; a batch that runs again does not see itself."""
+    if batch_id == 0:
+        return None
+    try:
+        log = all_batches(spark, path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
+    return log.where(F.col("batch").cast("long") < batch_id)
+
+
 def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str]) -> None:
-    """Fold all batches into one under a new path."""
-    write_batch(current(spark, path, keys), target, 0)
+    """Fold all batches into one under a new path, numbered as the newest, so that a running stream can go on there."""
+    newest = all_batches(spark, path).agg(F.max(F.col("batch").cast("long"))).first()[0]
+    write_batch(current(spark, path, keys), target, newest)

@@ -47,3 +47,26 @@ def test_intake_splits_rows(spark, tmp_path):
     jobs.bars_intake(stream, out).awaitTermination()
     assert [r["symbol"] for r in jobs.current_bars(spark, out).collect()] == ["000001.SZ"]
     assert tables.all_batches(spark, f"{out}/bad_records").first()["business_key"] == "000002.SZ"
+
+
+def test_repeats_in_later_batches_are_quarantined(spark, tmp_path):
+    day = dt.date(2024, 1, 2)
+    kind = "seq long, symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double"
+    for seq, close in ((1, 11.0), (2, 10.5), (3, 10.0)):
+        row = [(seq, "000001", day, 10.0, 12.0, 9.0, close, 5.0, 50.0), (seq + 10, f"00000{seq + 1}", day, 10.0, 12.0, 9.0, close, 5.0, 50.0)]
+        spark.createDataFrame(row, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.bars_intake(files, str(tmp_path / "out")).awaitTermination()
+    bars = {r["symbol"]: r["close"] for r in jobs.current_bars(spark, str(tmp_path / "out")).collect()}
+    assert bars == {"000001.SZ": 11.0, "000002.SZ": 11.0, "000003.SZ": 10.5, "000004.SZ": 10.0}
+    bad = [tuple(r) for r in tables.all_batches(spark, str(tmp_path / "out/bad_records")).select("business_key", "error_message").collect()]
+    assert bad == [("000001.SZ", "repeated_key")] * 2
+
+
+def test_compacted_table_serves_a_running_stream(spark, tmp_path):
+    path, target = str(tmp_path / "t"), str(tmp_path / "u")
+    for i in range(3):
+        tables.write_batch(spark.createDataFrame([("a", i)], "k string, v int"), path, i)
+    tables.compact(spark, path, target, ["k"])
+    tables.write_batch(spark.createDataFrame([("a", 7)], "k string, v int"), target, 3)
+    assert [tuple(r) for r in tables.current(spark, target, ["k"]).collect()] == [("a", 7)]

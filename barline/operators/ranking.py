@@ -19,6 +19,22 @@ def magnitude_bucket(x: Column, per_octave: int = 64) -> Column:
     return F.when(x == 0, F.lit(0).cast("long")).otherwise(F.signum(x).cast("long") * step)
 
 
+def fine_buckets(cells: DataFrame, value: str, keys: Sequence[str], parts: int = 64, levels: int = 2) -> DataFrame:
+    """Adds ``__b``, which never falls as ``value`` grows within a group of ``keys``.
+
+    Starts from magnitudes and cuts every bucket ``levels`` times into ``parts`` equal steps between
+    its own least and largest value, so values that crowd in a narrow range are spread as well.
+    """
+    keys = list(keys)
+    out = cells.withColumn("__b", magnitude_bucket(F.col(value)))
+    for _ in range(levels):
+        edges = out.groupBy(*keys, "__b").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+        share = div(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+        step = F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0)).cast("long")
+        out = out.join(edges, [*keys, "__b"]).withColumn("__b", F.col("__b") * parts + step).drop("__lo", "__hi")
+    return out
+
+
 def pct_rank_large(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
     """Same result as :func:`pct_rank_avg` for groups of any size.
 
@@ -30,10 +46,7 @@ def pct_rank_large(df: DataFrame, value: str, keys: Sequence[str], out: str) ->
     known = F.col(value).isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
-    cells = (
-        df.where(known).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-        .withColumn("__b", magnitude_bucket(F.col(value)))
-    )
+    cells = fine_buckets(df.where(known).groupBy(*keys, value).agg(F.count("*").alias("__n")), value, keys)
     group = Window.partitionBy(*keys)
     lower = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = cells.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn")).select(

@@ -6,19 +6,23 @@ from pyspark.sql import functions as F
 
 from barline.catalog.features import (
     FUNDAMENTAL,
+    IDS,
     LABEL_SPEC,
     LABELS,
     MARKET,
     PRICE,
+    PROFILE_USES,
     PROFILES,
     RELATIVE,
+    SIMILARITY,
     VOLUME,
     profile_frame,
 )
 from barline.catalog.ranks import avg_rank
 from barline.catalog.registry import query
 from barline.catalog.series import CANDLE_SQL, FILL_BACK, W
-from barline.operators import features, finalize, profiles, quantiles
+from barline.operators import features, finalize, profiles, quantiles, similarity
+from barline.operators.ranking import entity_ids
 from barline.plans import samples
 from barline.sources.schemas import (
     BOUNDED_COLUMNS,
@@ -142,6 +146,33 @@ def training_samples(t):
     return samples.training_samples(t.bars, t.securities, t.index_bars, t.sector_daily, t.financials)
 
 
+FULL = f"""
+    {TRAINING_PARTS}, stored AS (SELECT * REPLACE (beta_120 + 1 AS beta_120, volatility_120 * 2 AS volatility_120) FROM live), {finalize_sql('stored', 'fin')},
+    nb AS (WITH {SIMILARITY}, {IDS}, j AS (SELECT sim.*, coalesce(ids.symbol_id, 0) AS nid FROM sim LEFT JOIN ids ON ids.symbol = sim.neighbor_symbol)
+        SELECT symbol, list(nid ORDER BY sim_rank) AS neighbor_symbol_ids, list(sim_score ORDER BY sim_rank) AS neighbor_scores FROM j GROUP BY symbol),
+    ev AS (SELECT trade_date, CAST(count(*) AS DOUBLE) AS n, CAST(max(volume) AS DOUBLE) AS most FROM bars WHERE dayofweek(trade_date) <> 3 GROUP BY 1)
+    SELECT fin.symbol, fin.trade_date, beta_120, volatility_120, roe, label_rank_score, neighbor_symbol_ids, neighbor_scores,
+        coalesce(n, 0) AS event_1, coalesce(most, 0) AS event_2, coalesce(n, 0) + coalesce(most, 0) AS event_total, 256 AS event_places
+    FROM fin LEFT JOIN nb USING (symbol) LEFT JOIN ev USING (trade_date)"""
+
+
+@query("symbol trade_date beta_120~ volatility_120~ roe~ label_rank_score~ neighbor_symbol_ids[s] neighbor_scores[] event_1~2 event_2~2 event_total~2 event_places",
+       FULL, f"{USES} {PROFILE_USES}".replace("  ", " "))
+def training_samples_full(t):
+    """The whole build with stored profiles, neighbour lists and event vectors; the stored values differ from rolled ones."""
+    t = t.stored()
+    own = profile_frame(t)
+    stored = own.withColumns({"beta_120": F.col("beta_120") + 1, "volatility_120": F.col("volatility_120") * 2})
+    near = similarity.neighbor_lists(similarity.company_similarity(own), entity_ids(t.securities))
+    # no vector on Wednesdays, so that missing dates are met as well
+    events = t.bars.where(F.dayofweek("trade_date") != 4).groupBy("trade_date").agg(
+        F.array(F.count("*").cast("double"), F.max("volume").cast("double")).alias("event_embedding"))
+    out = samples.training_samples(t.bars, t.securities, t.index_bars, t.sector_daily, t.financials, events, stored, near)
+    vector = F.col("event_embedding")
+    return out.withColumns({
+        "event_1": vector[0], "event_2": vector[1], "event_total": F.aggregate(vector, F.lit(0.0), lambda s, x: s + x), "event_places": F.size(vector)})
+
+
 @query(FINAL_SPEC,
        f"{FEATURES}, {finalize_sql('feats', 'fin')} SELECT * REPLACE (CAST(trunc(list_days) AS INTEGER) AS list_days) FROM fin", USES)
 def finalize_samples(t):

@@ -18,7 +18,7 @@ from barline.operators.asof import asof_backward
 from barline.operators.features import index_returns, market_features, with_price_features
 from barline.operators.finalize import finalize_samples
 from barline.operators.labels import label_table
-from barline.operators.profiles import FINANCIAL_OUT, merge_profiles, with_rolling_profile
+from barline.operators.profiles import FINANCIAL_OUT, merge_profiles, profiles_usable, with_rolling_profile
 from barline.operators.quantiles import robust_scale
 from barline.operators.ranking import entity_ids, with_industry_ranks
 from barline.operators.similarity import pad_neighbors
@@ -45,12 +45,18 @@ def build_all_features(
     profiles: DataFrame | None = None,
     identity: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per bar with price, volume, relative, fundamental, market, profile and identity columns."""
+    """One row per bar with price, volume, relative, fundamental, market, profile and identity columns.
+
+    Stored ``profiles`` give the profile columns when they are usable (one boolean is read while the
+    plan is built); otherwise these are rolled from the bars.
+    """
+    stored = profiles is not None and bool(profiles_usable(profiles).first()["usable"])
     # the sweep goes first: it hashes the narrow bars by symbol, and all series windows reuse that
     work = with_price_features(asof_backward(bars, financials, FINANCIAL_OUT))
     work = work.withColumns(series.volume_ratio_columns())
     work = work.withColumns(series.candle_columns())
-    work = with_rolling_profile(work, index_bars)
+    if not stored:
+        work = with_rolling_profile(work, index_bars)
     work = work.withColumn("first_trade_date", F.min("trade_date").over(Window.partitionBy("symbol")))
 
     names = securities.select(
@@ -77,7 +83,7 @@ def build_all_features(
     work = work.join(by_date(market), "trade_date", "left")
     if events is not None:
         work = work.join(events.drop("symbol"), "trade_date", "left")
-    if profiles is not None:
+    if stored:
         work = merge_profiles(work, profiles)
     return work.withColumns({
         "list_date": F.coalesce("list_date", "first_trade_date"),

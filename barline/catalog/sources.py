@@ -30,10 +30,25 @@ def scan_calendar(t):
 
 
 @query("trade_date", """
-    SELECT CAST(d AS DATE) AS trade_date FROM (SELECT unnest(generate_series(DATE '2023-01-01', DATE '2025-12-31', INTERVAL 1 DAY)) AS d)
-    WHERE isodow(d) < 6 AND NOT EXISTS (SELECT 1 FROM calendar WHERE trade_date > DATE '2100-01-01')""", "calendar")
+    SELECT CAST(d AS DATE) AS trade_date FROM (SELECT unnest(generate_series((SELECT min(trade_date) FROM calendar), (SELECT max(trade_date) FROM calendar), INTERVAL 1 DAY)) AS d)
+    WHERE isodow(d) < 6""", "calendar")
 def scan_calendar_fallback(t):
-    return scans.trading_calendar(t.calendar.withColumn("is_open", F.col("trade_date") > F.lit("2100-01-01").cast("date")))
+    """No date of the calendar is open, so its weekdays stand in."""
+    return scans.trading_calendar(t.calendar.withColumn("is_open", F.lit(False)), None, None)
+
+
+@query("symbol trade_date close~ volume", """
+    SELECT symbol, trade_date, CASE WHEN strftime(trade_date, '%Y-%m') = '1996-03' THEN close * 2 ELSE close END AS close, volume FROM bars
+    WHERE trade_date BETWEEN DATE '1996-02-10' AND DATE '1996-04-20'""", "bars")
+def stored_table_range(t):
+    """Bars written typed by month, one month rebuilt, and a range read back."""
+    folder = writers.work_folder(t.spark, "stored")
+    schema = schemas.SCHEMAS["daily_bars"]
+    bars = writers.typed(t.bars.select(*[c for c in schema.names if c in t.bars.columns]), schema)
+    writers.write_table(bars, folder, "daily_bars", "overwrite")
+    march = bars.withColumn("trade_month", F.date_format("trade_date", "yyyy-MM")).where("trade_month = '1996-03'")
+    writers.rebuild_range(march.withColumn("close", F.col("close") * 2), folder)
+    return scans.read_range(t.spark, folder, "daily_bars", "1996-02-10", "1996-04-20", ["symbol", "trade_date", "close", "volume"])
 
 
 @query("symbol trade_date pct_chg~ volume", "SELECT symbol, trade_date, pct_chg, volume FROM bars", "bars")

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.sources.schemas import SCHEMAS
 
@@ -19,6 +20,13 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def read_range(spark: SparkSession, path: str, table: str, start: str, end: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A stored monthly table by date range: the months prune folders, the dates reach the Parquet reader."""
+    rows = spark.read.schema(T.StructType([*SCHEMAS[table].fields, T.StructField("trade_month", T.StringType())])).parquet(path)
+    out = scan_table(rows.where(F.col("trade_month").between(start[:7], end[:7])), start, end).drop("trade_month")
+    return out if columns is None else out.select(*columns)
+
+
 def scan_table(df: DataFrame, start: str | None = None, end: str | None = None, symbols: Iterable[str] | None = None) -> DataFrame:
     """Date range on trade_date, else on asof_date, and an optional symbol list.
 
@@ -41,18 +49,19 @@ def active_securities(df: DataFrame, active_only: bool = True) -> DataFrame:
     return out.where(F.col("symbol").isNotNull()).select("symbol").distinct()
 
 
-def weekdays(spark: SparkSession, start: str, end: str) -> DataFrame:
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("trade_date")
-    )
-    return days.where(F.weekday("trade_date") < 5)
+def weekdays(days: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Weekdays from ``start`` to ``end``; an open end is the first or last date of ``days``."""
+    ends = days.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
+    first, last = (F.lit(x).cast("date") if x else F.col(c) for x, c in ((start, "a"), (end, "b")))
+    spread = ends.select(F.explode(F.sequence(first, last)).alias("trade_date"))
+    return spread.where(F.weekday("trade_date") < 5)
 
 
-def trading_calendar(df: DataFrame, first: str = "2023-01-01", last: str = "2025-12-31") -> DataFrame:
-    """Open dates; the weekdays of the default range when there are none."""
+def trading_calendar(df: DataFrame, first: str | None = "2023-01-01", last: str | None = "2025-12-31") -> DataFrame:
+    """Open dates; when there are none, the weekdays of the default range or, with None, of the table's own dates."""
     opened = df.where(F.coalesce("is_open", F.lit(False))).select("trade_date").distinct()
     any_open = opened.agg((F.count("*") > 0).alias("any")).scalar()
-    return opened.unionByName(weekdays(df.sparkSession, first, last).where(~any_open))
+    return opened.unionByName(weekdays(df, first, last).where(~any_open))
 
 
 def projected(df: DataFrame, groups: Sequence[Sequence[str]]) -> DataFrame:

@@ -56,3 +56,17 @@ def test_oracle_on_the_small_tables():
     names = ["macd", "validate_bars", "pct_rank_large_groups", "company_similarity", "winsorize_by_chunk", "decision_utility", "leakage_check", "news_topk_with_padding"]
     done = subprocess.run([sys.executable, str(root / "scripts/check_oracle.py"), "--dir", SF, *names], capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stdout[-3000:]
+
+
+def test_stored_months_prune(spark, bars, tmp_path):
+    """A date range reads the folders of its months only, and only the wanted columns."""
+    from barline.sources import scans, writers
+
+    rows = bars.select("symbol", "trade_date", "open", "close", "volume")
+    writers.write_table(rows, str(tmp_path / "t"), "daily_bars", "overwrite")
+    got = scans.read_range(spark, str(tmp_path / "t"), "daily_bars", "2015-02-10", "2015-03-20", ["symbol", "trade_date", "close"])
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(trade_month" in plan and "PushedFilters: [IsNotNull(trade_date), GreaterThanOrEqual(trade_date" in plan
+    assert "volume" not in plan[plan.rindex("ReadSchema") :]
+    assert len(got.inputFiles()) >= 1
+    assert got.count() == rows.where("trade_date between date'2015-02-10' and date'2015-03-20'").count()

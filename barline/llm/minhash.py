@@ -10,7 +10,7 @@
 4. A band bucket is never expanded into pairs.  First all members are compared with the bucket's
    smallest one and linked pairs are joined by union-find.  Buckets that still hold several components
    go through further rounds, in which members of different components whose signatures agree
-   well enough to be above the threshold (six standard errors below it at least) are compared, until
+   well enough to be above the threshold (four standard errors below it at least) are compared, until
    no such pair is left.  So no link between candidates is lost, and copies cost one comparison each.
 5. Links are confirmed on the full sets: 100 * intersection >= 75 * union.
 
@@ -36,12 +36,12 @@ SHINGLE = 5
 BANDS, ROWS = 48, 5
 PLACES = BANDS * ROWS
 SIMILARITY = 0.75
-#: Share of equal one-byte signature places from which a pair is compared on full sets: 0.75 less six standard errors, plus chance agreement.
-LIKELY = 0.58
+#: Share of equal one-byte signature places from which a pair is compared on full sets: 0.75 less four standard errors (0.025 as measured).
+LIKELY = 0.65
 #: Members of a bucket that are compared with each other in one task.
 BLOCK = 1000
-#: Partners taken for one member and bucket per round; the next round takes eight times as many.
-FIRST_PARTNERS = 4
+#: Likeliest partners of other components that a member takes in a bucket: in the first rounds, and at last all.
+PARTNERS, ALL_PARTNERS = (4, 64), 1 << 40
 #: Random steps are made for at most so many elements at once.
 ELEMENTS = 1 << 18
 
@@ -116,7 +116,7 @@ def _sign(sets: list[np.ndarray], out: np.ndarray, places: int) -> None:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, whole (fingerprint of the words), bands (hash per band), sig (a byte per place)."""
+    """doc_id, n_shingles, whole (fingerprint of the words), bands (hash per band), marks (half of each), sig (a byte per place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = mixed(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -130,13 +130,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 [
                     batch.column(0), pa.array(sizes), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64))),
+                    pa.array([row.tobytes() for row in (bands >> np.uint64(32)).astype(np.uint32)], pa.binary()),
                     pa.array([row.tobytes() for row in bits.astype(np.uint8)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "whole_a", "whole_b", "bands", "sig"],
+                ["doc_id", "n_shingles", "whole_a", "whole_b", "bands", "marks", "sig"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, whole_a long, whole_b long, bands array<long>, sig binary"
+        run, "doc_id long, n_shingles long, whole_a long, whole_b long, bands array<long>, marks binary, sig binary"
     )
 
 
@@ -150,14 +151,13 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             values = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["doc_id", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    # a merge join at every size: the ids grow with the corpus
+    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
     return wanted.mapInArrow(run, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(_full_sets(docs, ids), "sets")
     both = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * shared >= round(100 * SIMILARITY) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
@@ -227,9 +227,10 @@ def connected(edges: DataFrame) -> DataFrame:
 def _further_pairs(members: DataFrame, partners: int) -> DataFrame:
     """Pairs (a, b) of one bucket and different components with likely signatures.
 
-    ``members``: key, doc_id, component, sig, n_shingles of the buckets with several components.  The
-    largest component of a bucket is compared only with the others; buckets are cut into blocks, so a
-    task holds two blocks at most.
+    ``members``: key, band, doc_id, component, marks, sig, n_shingles of the buckets with several components.
+    The largest component of a bucket is compared only with the others; buckets are cut into blocks, so a
+    task holds two blocks at most.  A pair counts in the first band that it shares, and of a bucket a document
+    takes its ``partners`` likeliest ones.
     """
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
@@ -243,57 +244,90 @@ def _further_pairs(members: DataFrame, partners: int) -> DataFrame:
     with_rest = F.transform(F.sequence(F.lit(0), rest_blocks - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.least(i, j).alias("x"), F.greatest(i, j).alias("y")))
     with_top = F.transform(F.sequence(F.lit(0), top_blocks - 1), lambda j: F.struct(F.lit(0).alias("kind"), i.alias("x"), j.alias("y")))
     from_top = F.transform(F.sequence(F.lit(0), rest_blocks - 1), lambda j: F.struct(F.lit(0).alias("kind"), j.alias("x"), i.alias("y")))
-    cells = placed.select("key", "doc_id", "component", "sig", "n_shingles", "rest", F.explode(F.when(F.col("rest") == 1, F.concat(with_rest, with_top)).otherwise(from_top)).alias("cell"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id", kind="stable")
-        ids, comp, size = (frame[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        sig = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint8).reshape(len(frame), PLACES)
-        rest = np.flatnonzero(frame["rest"].to_numpy() == 1)
-        columns = rest if frame["cell"].iloc[0]["kind"] == 1 else np.flatnonzero(frame["rest"].to_numpy() == 0)
-        pairs = []
-        for i in rest:
-            mine = columns[(comp[columns] != comp[i]) & (4 * np.minimum(size[columns], size[i]) >= 3 * np.maximum(size[columns], size[i]))]
-            if len(mine):
-                agree = (sig[mine] == sig[i]).mean(axis=1)
-                near = agree >= LIKELY
-                mine, agree = mine[near], agree[near]
-                if len(mine) > partners:
-                    mine = mine[np.argsort(-agree, kind="stable")[:partners]]
-                pairs += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in mine]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-    return cells.groupBy("key", F.col("cell.kind"), F.col("cell.x"), F.col("cell.y")).applyInPandas(run, "a long, b long").distinct()
+    cells = placed.select("key", "band", "doc_id", "component", "marks", "sig", "n_shingles", "rest", F.explode(F.when(F.col("rest") == 1, F.concat(with_rest, with_top)).otherwise(from_top)).alias("cell"))
+    cells = cells.select(F.xxhash64("key", "cell.kind", "cell.x", "cell.y").alias("group"), F.col("cell.kind").alias("kind"), "rest", "band", "doc_id", "component", "n_shingles", "marks", "sig")
+    ordered = cells.repartition(F.col("group")).sortWithinPartitions("group")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last group of a batch may go on in the next one
+            group = np.asarray(batch.column(0))
+            cut = int(np.searchsorted(group, group[-1]))
+            if cut:
+                yield _near_pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]), partners)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield _near_pairs(pa.Table.from_batches(held), partners)
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _near_pairs(rows: pa.Table, partners: int) -> pa.RecordBatch:
+    """The pairs of whole groups, all groups at once."""
+    group, kind, rest, band, ids, comp, size = (rows.column(c).to_numpy() for c in ("group", "kind", "rest", "band", "doc_id", "component", "n_shingles"))
+    marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), dtype=np.uint32).reshape(len(group), BANDS)
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(len(group), PLACES)
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    end = np.append(begin[1:], len(group))
+    lefts, rights = [], []
+    for a, b in zip(begin.tolist(), end.tolist()):
+        if b - a == 2:  # by far the most
+            lefts.append([a])
+            rights.append([a + 1])
+            continue
+        own = a + np.flatnonzero(rest[a:b] == 1)
+        others = own if kind[a] == 1 else a + np.flatnonzero(rest[a:b] == 0)
+        i, j = np.repeat(own, len(others)), np.tile(others, len(own))
+        wanted = comp[i] != comp[j]
+        if kind[a] == 1:
+            wanted &= i < j
+        i, j = i[wanted], j[wanted]
+        fits = 4 * np.minimum(size[i], size[j]) >= 3 * np.maximum(size[i], size[j])
+        lefts.append(i[fits])
+        rights.append(j[fits])
+    i, j = np.concatenate(lefts).astype(np.int64), np.concatenate(rights).astype(np.int64)
+    wanted = (comp[i] != comp[j]) & (4 * np.minimum(size[i], size[j]) >= 3 * np.maximum(size[i], size[j]))
+    i, j = i[wanted], j[wanted]
+    agree = np.concatenate([(sig[i[c : c + 20_000]] == sig[j[c : c + 20_000]]).mean(axis=1) for c in range(0, len(i), 20_000)] or [np.zeros(0)])
+    near = agree >= LIKELY
+    i, j, agree = i[near], j[near], agree[near]
+    here = np.concatenate([(marks[i[c : c + 20_000]] == marks[j[c : c + 20_000]]).argmax(axis=1) for c in range(0, len(i), 20_000)] or [np.zeros(0)]) == band[i]
+    i, j, agree = i[here], j[here], agree[here]
+    if len(i) > partners:
+        order = np.lexsort((ids[j], -agree, i))
+        i, j = i[order], j[order]
+        new = np.concatenate([[True], i[1:] != i[:-1]])
+        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+        i, j = i[rank < partners], j[rank < partners]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
 
 def _representative_components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """doc_id, component of the class representatives that are linked with another one."""
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
+    keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1"), "buckets")
-    members = written(keyed.join(buckets, "key").select("key", "doc_id", "pivot"), "members")
+    members = written(keyed.join(buckets, "key").select("key", "band", "doc_id", "pivot"), "members")
+    sets = written(_full_sets(docs, members.select("doc_id").distinct()), "sets")
     tested = written(members.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    edges = written(confirmed(docs, tested), "edges")
-    partners = FIRST_PARTNERS
+    edges = written(confirmed(tested, sets), "edges")
+    rounds = iter(PARTNERS)
     while True:
+        partners = next(rounds, ALL_PARTNERS)
         found = written(connected(edges), "components")
-        placed = members.select("key", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        placed = members.select("key", "band", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed_up = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        open_members = placed.join(mixed_up, "key").join(reps.select("doc_id", "sig", "n_shingles"), "doc_id")
-        # a pair already compared was no link, so it is not compared again; as many partners come on top
+        open_members = placed.join(mixed_up, "key").join(reps.select("doc_id", "marks", "sig", "n_shingles"), "doc_id")
+        # a pair already compared was no link, so it is not compared again
         fresh = written(_further_pairs(open_members, partners).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            if partners >= 1 << 40 or not _truncated(open_members, partners):
-                return found
-            partners = 1 << 62
-            continue
-        edges = written(edges.union(confirmed(docs, fresh)), "edges")
-        tested = written(tested.union(fresh), "pairs")
-        partners *= 8
-
-
-def _truncated(members: DataFrame, partners: int) -> bool:
-    """Whether some bucket is large enough for the last round to have left partners out."""
-    return not members.groupBy("key").count().filter(F.col("count") > partners).isEmpty()
+        if not fresh.isEmpty():
+            edges = written(edges.union(confirmed(fresh, sets)), "edges")
+            tested = written(tested.union(fresh), "pairs")
+        elif partners == ALL_PARTNERS:
+            return found
 
 
 def components(docs: DataFrame) -> DataFrame:

@@ -76,7 +76,16 @@ def sample_weights(t):
     return splits.sample_weights(won(t), "win")
 
 
-@query("symbol trade_date copy", None)
+BOOTSTRAP = f"""
+    wt AS (WITH {WEIGHTS}),
+    term AS (SELECT symbol, trade_date, weight, unnest(range(0, 60)) AS i FROM wt),
+    upto AS (SELECT symbol, trade_date, sum(exp(i * ln(weight) - weight - lgamma(i + 1))) OVER (PARTITION BY symbol, trade_date ORDER BY i) AS c FROM term),
+    drawn AS (SELECT symbol, trade_date, count(*) FILTER (c < (CAST('0x' || substr(md5('7|' || symbol || '|' || CAST(trade_date AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0) AS k
+        FROM upto GROUP BY 1, 2)
+    SELECT symbol, trade_date, CAST(unnest(range(1, k + 1)) AS INTEGER) AS copy FROM drawn"""
+
+
+@query("symbol trade_date copy", BOOTSTRAP, "bars")
 def weighted_bootstrap(t):
     return splits.weighted_bootstrap(splits.sample_weights(won(t), "win"), "weight")
 

@@ -222,11 +222,12 @@ def sample_weights(df: DataFrame, win: str, power: float = 1.5, floor: float = 1
 def weighted_bootstrap(df: DataFrame, weight: str, seed: int = 7, key: Sequence[str] = ("symbol", "trade_date")) -> DataFrame:
     """Sample with replacement: each row repeats a Poisson(weight) number of times.
 
-    The draw is a hash of key and seed, so a lost task redraws the same rows.  The
+    The draw is an MD5 of seed and key, so a lost task redraws the same rows.  The
     count is read off the Poisson distribution function, which needs no state
     between rows.
     """
-    draw = (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
+    draw = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     lam = F.col(weight)
     start = F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("c"), F.lit(0).alias("k"))
 

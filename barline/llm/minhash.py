@@ -196,30 +196,27 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.mapInPandas(run, "a long, b long")
 
 
+def _unsettled(stars: DataFrame) -> bool:
+    """Whether some node has two parents, or a parent of others has one itself."""
+    ends = stars.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(stars.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c > 1 or c = 1 and p = 1").isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """doc_id, component (smallest id) of every document on an edge (a, b).
 
     Union-find shrinks each partition to stars; large-star and small-star steps join those across
     partitions until nothing changes.
     """
-    stars = written(_forest(edges), "forest").filter("a <> b")
-    while True:
+    stars = written(_forest(edges), "forest")
+    while _unsettled(stars):
         both = stars.select("a", "b").union(stars.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # large star: larger neighbours move to the least one
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = written(large, "large")
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
         # small star: smaller neighbours and the node itself move to the least one
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), F.col("a"), "m")
-        after = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        after = written(after, "small")
-        # done when every node has one parent and no parent has one
-        several = after.groupBy("a").count().filter("count > 1").limit(1).count()
-        chained = 0 if several else after.select(F.col("b").alias("a")).distinct().join(after.select("a"), "a", "left_semi").limit(1).count()
-        stars = after
-        if not several and not chained:
-            break
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a").select("a", "b", "m")
+        stars = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "small")
     roots = stars.select("a", "b")
     return roots.union(roots.select(F.col("b"), F.col("b")).distinct()).toDF("doc_id", "component")
 
@@ -314,20 +311,24 @@ def _representative_components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     sets = written(_full_sets(docs, members.select("doc_id").distinct()), "sets")
     tested = written(members.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     edges = written(confirmed(tested, sets), "edges")
+    found = written(connected(edges), "components")
     rounds = iter(PARTNERS)
+    partners = next(rounds)
     while True:
-        partners = next(rounds, ALL_PARTNERS)
-        found = written(connected(edges), "components")
         placed = members.select("key", "band", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed_up = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         open_members = placed.join(mixed_up, "key").join(reps.select("doc_id", "marks", "sig", "n_shingles"), "doc_id")
         # a pair already compared was no link, so it is not compared again
         fresh = written(_further_pairs(open_members, partners).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            edges = written(edges.union(confirmed(fresh, sets)), "edges")
-            tested = written(tested.union(fresh), "pairs")
-        elif partners == ALL_PARTNERS:
+        more = written(confirmed(fresh, sets), "edges") if not fresh.isEmpty() else None
+        if more is None and partners == ALL_PARTNERS:
             return found
+        if more is not None:
+            tested = written(tested.union(fresh), "pairs")
+            if not more.isEmpty():
+                edges = written(edges.union(more), "edges")
+                found = written(connected(edges), "components")
+        partners = next(rounds, ALL_PARTNERS)
 
 
 def components(docs: DataFrame) -> DataFrame:

@@ -39,11 +39,11 @@ SIMILARITY = 0.75
 #: Share of equal one-byte signature places from which a pair is compared on full sets: 0.75 less four standard errors (0.025 as measured).
 LIKELY = 0.65
 #: Members of a bucket that are compared with each other in one task.
-BLOCK = 1000
+BLOCK = 500
 #: Likeliest partners of other components that a member takes in a bucket: in the first rounds, and at last all.
 PARTNERS, ALL_PARTNERS = (4, 64), 1 << 40
 #: Random steps are made for at most so many elements at once.
-ELEMENTS = 1 << 18
+ELEMENTS = 1 << 16
 
 
 def shingle_sets(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -270,30 +270,40 @@ def _near_pairs(rows: pa.Table, partners: int) -> pa.RecordBatch:
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(len(group), PLACES)
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     end = np.append(begin[1:], len(group))
-    lefts, rights = [], []
+    found: list[np.ndarray] = []
+    lefts, rights, pending = [], [], 0
+
+    def compare() -> None:
+        """The waiting pairs that are near enough, in their first shared band, likeliest first."""
+        i, j = np.concatenate(lefts).astype(np.int64), np.concatenate(rights).astype(np.int64)
+        wanted = (comp[i] != comp[j]) & (4 * np.minimum(size[i], size[j]) >= 3 * np.maximum(size[i], size[j]))
+        i, j = i[wanted], j[wanted]
+        for c in range(0, len(i), 20_000):
+            x, y = i[c : c + 20_000], j[c : c + 20_000]
+            agree = (sig[x] == sig[y]).mean(axis=1)
+            near = (agree >= LIKELY) & ((marks[x] == marks[y]).argmax(axis=1) == band[x])
+            found.append(np.column_stack([x[near], y[near], np.round(agree[near] * PLACES).astype(np.int64)]))
+
     for a, b in zip(begin.tolist(), end.tolist()):
         if b - a == 2:  # by far the most
             lefts.append([a])
             rights.append([a + 1])
-            continue
-        own = a + np.flatnonzero(rest[a:b] == 1)
-        others = own if kind[a] == 1 else a + np.flatnonzero(rest[a:b] == 0)
-        i, j = np.repeat(own, len(others)), np.tile(others, len(own))
-        wanted = comp[i] != comp[j]
-        if kind[a] == 1:
-            wanted &= i < j
-        i, j = i[wanted], j[wanted]
-        fits = 4 * np.minimum(size[i], size[j]) >= 3 * np.maximum(size[i], size[j])
-        lefts.append(i[fits])
-        rights.append(j[fits])
-    i, j = np.concatenate(lefts).astype(np.int64), np.concatenate(rights).astype(np.int64)
-    wanted = (comp[i] != comp[j]) & (4 * np.minimum(size[i], size[j]) >= 3 * np.maximum(size[i], size[j]))
-    i, j = i[wanted], j[wanted]
-    agree = np.concatenate([(sig[i[c : c + 20_000]] == sig[j[c : c + 20_000]]).mean(axis=1) for c in range(0, len(i), 20_000)] or [np.zeros(0)])
-    near = agree >= LIKELY
-    i, j, agree = i[near], j[near], agree[near]
-    here = np.concatenate([(marks[i[c : c + 20_000]] == marks[j[c : c + 20_000]]).argmax(axis=1) for c in range(0, len(i), 20_000)] or [np.zeros(0)]) == band[i]
-    i, j, agree = i[here], j[here], agree[here]
+            pending += 1
+        else:
+            own = a + np.flatnonzero(rest[a:b] == 1)
+            others = own if kind[a] == 1 else a + np.flatnonzero(rest[a:b] == 0)
+            i, j = np.repeat(own, len(others)), np.tile(others, len(own))
+            if kind[a] == 1:
+                i, j = i[i < j], j[i < j]
+            lefts.append(i)
+            rights.append(j)
+            pending += len(i)
+        if pending > 200_000:
+            compare()
+            lefts, rights, pending = [], [], 0
+    if pending:
+        compare()
+    i, j, agree = np.concatenate([np.zeros((0, 3), dtype=np.int64), *found]).T
     if len(i) > partners:
         order = np.lexsort((ids[j], -agree, i))
         i, j = i[order], j[order]

@@ -24,3 +24,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows that travel to Python at once in this session: texts are long, and both sides hold whole batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -33,7 +33,7 @@ from barline.llm.text import pieces, windows, within, words_of
 DEPTH = 20
 #: Suffixes of a group that one task sorts, at about 40 bytes each; and bytes of text in a batch.
 GROUP = 2_000_000
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 8 << 20
 LAST = np.iinfo(np.int64).max
 
 

@@ -41,7 +41,7 @@ LIKELY = 0.65
 #: Members of a bucket that are compared with each other in one task.
 BLOCK = 500
 #: Likeliest partners of other components that a member takes in a bucket: in the first rounds, and at last all.
-PARTNERS, ALL_PARTNERS = (4, 64), 1 << 40
+PARTNERS, ALL_PARTNERS = (1, 8), 1 << 40
 #: Random steps are made for at most so many elements at once.
 ELEMENTS = 1 << 16
 

@@ -8,10 +8,12 @@ so a group of any size never meets in one task; only group estimates (a few doze
 handled in Python.  Rows whose scaled Mahalanobis distance exceeds the cutoff are rejected.
 
 Cases: NULL and empty texts have zero words and fail the base rule; NULL language or source is
-a group of its own; groups under ``LEAST_ROWS`` rows are estimated together per language, languages
-that stay under it all together, and a rest under it is judged by the base rules alone; repeated
-rows count as often as they occur; features that do not vary get a floor under their variance;
-other columns are ignored; an empty table gives no rows.
+a group of its own; sources under ``LEAST_ROWS`` rows are estimated together per language; where those
+stay under it too, they are judged by the estimate of all rows of their language, languages under it are
+estimated all together, and if these stay under it they are judged by the estimate of the whole table; only
+a table under ``LEAST_ROWS`` rows has no estimate and is judged by the base rules alone; repeated rows count
+as often as they occur; features that do not vary get a floor under their variance; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -148,16 +150,32 @@ def core_scale(share: float, d: int) -> float:
 
 
 def grouped(stats: DataFrame) -> DataFrame:
-    """Adds ``grp``: the language and source, or a wider group where rows are few."""
+    """Adds ``grp``, the group whose estimate judges the row, and ``fits``, the groups that the row is part of.
+
+    ``grp`` is the language and source, or a wider group where rows are few; it is NULL only in a table
+    without ``LEAST_ROWS`` rows.
+    """
     sizes = stats.groupBy("lang", "source").count()
-    sizes = sizes.withColumn("own", F.col("count") >= LEAST_ROWS)
-    rest = sizes.filter("not own").groupBy("lang").agg(F.sum("count").alias("rest"))
-    names = sizes.alias("s").join(rest.alias("r"), F.expr("s.lang <=> r.lang"), "left").select(
+    langs = sizes.groupBy("lang").agg(F.sum("count").alias("rows"), F.sum(F.when(F.col("count") < LEAST_ROWS, F.col("count")).otherwise(0)).alias("few"))
+    total = langs.agg(F.sum("rows").alias("rows"), F.sum(F.when(F.col("rows") < LEAST_ROWS, F.col("rows"))).alias("rest")).first()
+    rows, rest = total["rows"] or 0, total["rest"] or 0
+    by_table = 0 < rest < LEAST_ROWS <= rows
+
+    def name(kind: str, *columns: str) -> Column:
+        return F.to_json(F.struct(F.lit(kind).alias("of"), *columns))
+
+    wide = F.when(F.col("few").between(1, LEAST_ROWS - 1) & (F.col("rows") >= LEAST_ROWS), name("language", "s.lang"))
+    names = sizes.alias("s").join(langs.alias("r"), F.expr("s.lang <=> r.lang"), "left").select(
         "s.lang", "s.source",
-        F.when(F.col("own"), F.to_json(F.struct("s.lang", "s.source"))).when(F.col("rest") >= LEAST_ROWS, F.to_json(F.struct("s.lang"))).otherwise("rest").alias("grp"),
+        F.when(F.col("count") >= LEAST_ROWS, name("source", "s.lang", "s.source"))
+        .when(F.col("few") >= LEAST_ROWS, name("small sources", "s.lang"))
+        .when(F.col("rows") >= LEAST_ROWS, name("language", "s.lang"))
+        .otherwise(F.lit("rest" if rest >= LEAST_ROWS else "table" if by_table else None).cast("string")).alias("grp"),
+        wide.alias("wide"),
     )
+    fits = F.array_distinct(F.array_compact(F.array("grp", "wide", F.lit("table" if by_table else None).cast("string"))))
     joined = stats.alias("d").join(names.alias("n"), F.expr("d.lang <=> n.lang and d.source <=> n.source"), "left")
-    return joined.select("d.*", "grp")
+    return joined.select("d.*", "grp", fits.alias("fits"))
 
 
 def distance(x: Column, mean: Column, inverse: Column, d: int) -> Column:
@@ -220,8 +238,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """Base statistics, the squared distance ``outlyingness`` and the verdict ``kept`` of every row."""
     # stored before the groups are named: both the group sizes and the rows are read from it
     stats = written(grouped(written(statistics(docs), "statistics")), "quality")
-    enough = stats.filter("grp <> 'rest'")
-    params = mcd(enough.select("grp", "x"))
+    params = mcd(stats.select(F.explode("fits").alias("grp"), "x"))
     d = len(FLOORS)
     cutoff = chi2_quantile(1 - CHANCE, d)
     out = stats.join(params, "grp", "left").withColumn("outlyingness", distance(F.col("x"), F.col("mean"), F.col("inverse"), d))

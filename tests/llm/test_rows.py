@@ -153,6 +153,26 @@ def test_quality_rules(spark, documents, prose):
     assert quality.judged(documents(rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("case", ["small source", "rare languages", "small rest"])
+def test_rows_of_small_groups_are_judged(documents, prose, case):
+    rng = random.Random(4)
+
+    def text(bad):
+        words = prose(rng.randint(60, 300)).split()
+        return " ".join(w + rng.choice(["***", "$$$", "###"]) for w in words) if bad else " ".join(words)
+
+    if case == "small source":  # its language has enough rows
+        groups = [("en", f"s{i % 2}", False) for i in range(160)] + [("en", "junk", True)] * 30
+    elif case == "rare languages":  # none has enough rows, together they have
+        groups = [(f"l{i % 4}", "s", i % 20 == 0) for i in range(160)]
+    else:  # all rare languages together have too few rows
+        groups = [("en", "s", False)] * 150 + [("en", None, False)] * 70 + [(None, "s", i < 3) for i in range(10)] + [("de", None, i < 3) for i in range(10)]
+    rows = [(i, text(bad), lang, source) for i, (lang, source, bad) in enumerate(groups)]
+    got = {r.doc_id: r for r in quality.judged(documents(rows)).collect()}
+    assert [got[i].kept for i in range(len(rows))] == [not bad for *_, bad in groups]
+    assert all(r.outlyingness is not None and not r.base_failed for r in got.values())
+
+
 def test_determinant_estimate_ignores_outliers(spark):
     import numpy as np
 

@@ -118,6 +118,36 @@ def test_benchmark_items_are_found(spark, documents, prose):
     assert decontaminate.decontaminated(docs, benchmark).columns == docs.columns
 
 
+def test_search_finds_what_a_brute_force_search_finds(spark, documents, prose):
+    """Short items and items with a quarter of their words replaced, at random places of longer texts."""
+    rng = random.Random(8)
+    items = [(i, prose(size, seed=300 + i)) for i, size in enumerate((4, 4, 6, 6, 8, 10, 10, 15, 20, 20, 30, 40))]
+    rows = []
+    for i in range(120):
+        words, item = prose(rng.randint(100, 300)).split(), items[i % 12][1].split()
+        if i % 2 and len(item) >= 15:
+            for k in rng.sample(range(len(item)), len(item) // 4):
+                item[k] = "other"
+        at = rng.randrange(len(words))
+        rows.append((i, " ".join(words[:at] + item + words[at:])))
+    docs, benchmark = documents(rows), spark.createDataFrame(items, "item_id long, text string")
+    codes = decontaminate.coded(docs, "doc_id")
+    held = decontaminate.prepared(benchmark, decontaminate.fitted(codes))
+    want = set()
+    for row in codes.collect():
+        words = np.frombuffer(row["codes"], dtype=np.uint16).tolist()
+        for item, answer in zip((c.tolist() for c in held.codes), held.answers):
+            for a in range(len(words)):
+                window = words[a : a + len(item)]
+                inside = set(window)
+                if len(inside & set(item)) < decontaminate.OVERLAP * len(set(item)) or len(inside & answer) < decontaminate.ANSWER * len(answer):
+                    continue
+                if decontaminate.common_subsequence(item, window) >= decontaminate.SUBSEQUENCE * len(item):
+                    want.add(row["doc_id"])
+    got = {r.doc_id for r in decontaminate.judged(docs, benchmark).collect() if r.contaminated}
+    assert len(want) > 80 and not want - got
+
+
 def test_pipeline_stages(spark, tmp_path, prose):
     import corpus_pipeline
 

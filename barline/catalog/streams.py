@@ -48,7 +48,7 @@ def stream_dedupe_news(t):
     folder = writers.work_folder(t.spark, "news")
     twice = news_stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     finish(jobs.dedupe_news(twice, folder))
-    return t.spark.read.parquet(f"{folder}/news")
+    return jobs.current_news(t.spark, folder)
 
 
 @query("day trade_date event_direction events", f"""

@@ -59,11 +59,48 @@ def current_bars(spark, folder: str) -> DataFrame:
     return current(spark, f"{folder}/bars", ("symbol", "trade_date"))
 
 
+def _late(rows: DataFrame, known: DataFrame | None, delay: str) -> DataFrame:
+    """Rows more than ``delay`` behind the newest publication of the batches before."""
+    if known is None:
+        return rows.limit(0)
+    newest = known.agg(F.max("newest").alias("__newest"))
+    return rows.crossJoin(F.broadcast(newest)).where(F.col("publish_time") < F.col("__newest") - F.expr(f"INTERVAL {delay}")).drop("__newest")
+
+
+def _log_late(rows: DataFrame, folder: str, batch_id: int, domain: str, delay: str) -> None:
+    """Late rows are noted in ``bad_records``; they count all the same."""
+    spark = rows.sparkSession
+    late = _late(rows, earlier_batches(spark, f"{folder}/newest", batch_id), delay)
+    write_batch(bad_records(late, domain, "late"), f"{folder}/bad_records", batch_id)
+    write_batch(rows.agg(F.max("publish_time").alias("newest")), f"{folder}/newest", batch_id)
+
+
 def dedupe_news(stream: DataFrame, folder: str, delay: str = "1 day", key: str = "news_id", processing_time: str | None = None) -> StreamingQuery:
-    """First arrival per id.  State holds the ids of the last ``delay`` only; rows later than that are dropped."""
-    once = stream.withWatermark("publish_time", delay).dropDuplicatesWithinWatermark([key])
-    writer = once.writeStream.format("parquet").option("path", f"{folder}/news").outputMode("append")
-    return _start(writer, folder, processing_time)
+    """First arrival per id to ``news``, however late it is or its repeats are.
+
+    Ids are looked up in the stored table, so no state runs out.  Rows more than ``delay`` behind the newest
+    earlier publication are noted in ``bad_records`` as well.
+    """
+
+    def dedupe(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        once = batch.dropDuplicates([key])
+        known = earlier_batches(batch.sparkSession, f"{folder}/news", batch_id)
+        if known is not None:
+            seen = known.select(F.col(key).alias("__seen")).distinct()
+            once = once.join(seen, F.col(key).eqNullSafe(F.col("__seen")), "left_anti")
+        write_batch(once, f"{folder}/news", batch_id)
+        _log_late(batch, folder, batch_id, "news", delay)
+        batch.unpersist()
+
+    return _start(stream.writeStream.foreachBatch(dedupe), folder, processing_time)
+
+
+def current_news(spark, folder: str) -> DataFrame:
+    return all_batches(spark, f"{folder}/news").drop("batch")
+
+
+COUNT_KEYS = ("day", "trade_date", "event_direction")
 
 
 def event_counts(
@@ -72,20 +109,31 @@ def event_counts(
 ) -> StreamingQuery:
     """Events per day window, trade date and direction, kept up to date while they arrive.
 
-    The calendar side is static.  State holds the windows inside the watermark;
-    changed counts go out per batch, and the newest count per key is the result.
+    The calendar side is static.  The counts of a batch are added to the stored ones of their keys, however late
+    the events are; changed counts go out per batch, and the newest count per key is the result.  Rows more than
+    ``delay`` behind the newest earlier publication are noted in ``bad_records`` as well.
     """
     work = publication_to_trade_date(stream, "publish_time", calendar)
     work = work.withColumn("event_direction", extract(F.coalesce("title", F.lit("")), F.col("content"))["event_direction"])
-    counts = work.withWatermark("publish_time", delay).groupBy(
-        F.window("publish_time", "1 day").alias("w"), "trade_date", "event_direction"
-    ).agg(F.count("*").alias("events")).select(F.col("w.start").alias("day"), "trade_date", "event_direction", "events")
-    writer = counts.writeStream.outputMode("update").foreachBatch(lambda b, i: write_batch(b, f"{folder}/counts", i))
-    return _start(writer, folder, processing_time)
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        counts = batch.groupBy(F.window("publish_time", "1 day").alias("w"), "trade_date", "event_direction").agg(F.count("*").alias("events"))
+        counts = counts.select(F.col("w.start").alias("day"), "trade_date", "event_direction", "events")
+        known = earlier_batches(batch.sparkSession, f"{folder}/counts", batch_id)
+        if known is not None:
+            before = known.groupBy(*COUNT_KEYS).agg(F.max_by("events", F.col("batch").cast("long")).alias("events"))
+            both = counts.withColumn("__new", F.lit(True)).unionByName(before.withColumn("__new", F.lit(False)))
+            counts = both.groupBy(*COUNT_KEYS).agg(F.sum("events").alias("events"), F.max("__new").alias("__new")).where("__new").drop("__new")
+        write_batch(counts, f"{folder}/counts", batch_id)
+        _log_late(batch, folder, batch_id, "events", delay)
+        batch.unpersist()
+
+    return _start(work.writeStream.foreachBatch(count), folder, processing_time)
 
 
 def current_counts(spark, folder: str) -> DataFrame:
-    return current(spark, f"{folder}/counts", ("day", "trade_date", "event_direction"))
+    return current(spark, f"{folder}/counts", COUNT_KEYS)
 
 
 def refresh_trailing(

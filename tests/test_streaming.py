@@ -63,6 +63,27 @@ def test_repeats_in_later_batches_are_quarantined(spark, tmp_path):
     assert bad == [("000001.SZ", "repeated_key")] * 2
 
 
+def test_late_files_lose_no_news_and_no_counts(spark, tmp_path):
+    """Files arrive out of order, one a batch; the last ones lie weeks behind."""
+    kind = "news_id string, publish_time timestamp, title string, content string"
+    for n, day in enumerate((20, 25, 3, 1)):
+        rows = [(f"d{day}-{i}", dt.datetime(2024, 1, day, 10 + i), "t", "c") for i in range(3)] + [("d20-0", dt.datetime(2024, 1, day, 9), "t", "c")]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    calendar = spark.createDataFrame([(dt.date(2024, 1, d),) for d in range(1, 32)], "trade_date date")
+
+    def files():
+        return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    jobs.dedupe_news(files(), str(tmp_path / "news")).awaitTermination()
+    ids = sorted(r["news_id"] for r in jobs.current_news(spark, str(tmp_path / "news")).collect())
+    assert ids == sorted(f"d{day}-{i}" for day in (20, 25, 3, 1) for i in range(3))
+    jobs.event_counts(files(), calendar, str(tmp_path / "counts")).awaitTermination()
+    counts = jobs.current_counts(spark, str(tmp_path / "counts")).groupBy(F.dayofmonth("trade_date")).agg(F.sum("events")).collect()
+    assert {r[0]: r[1] for r in counts} == {20: 4, 25: 4, 3: 4, 1: 4}
+    for folder in ("news", "counts"):
+        assert tables.all_batches(spark, str(tmp_path / folder / "bad_records")).where("error_message = 'late'").count() == 8
+
+
 def test_compacted_table_serves_a_running_stream(spark, tmp_path):
     path, target = str(tmp_path / "t"), str(tmp_path / "u")
     for i in range(3):

@@ -5,7 +5,7 @@ and after, and where the block stands.  A small decision tree, fitted to the lab
 when the operator is built, decides which blocks are the article.
 
 Cases: a NULL or empty page gives an empty text; a page without markup is one block; unclosed and
-stray tags are tolerated; scripts, styles, comments and hidden parts never make blocks; character
+stray tags are tolerated (only raw text such as a script left open reaches to the page's end); scripts, styles, comments and hidden parts never make blocks; character
 references are decoded, white space (no-break spaces too) inside a block becomes one space, and empty
 blocks vanish; repeated rows are extracted again; other columns are ignored; long pages are read whole.
 """
@@ -29,7 +29,9 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 #: Elements whose content is never text, and those that end a block (fixed values).
-SILENT = frozenset("script style noscript template svg math iframe object canvas select textarea button head title audio video".split())
+SILENT = frozenset("script style noscript template svg math iframe object canvas select textarea button title audio video".split())
+#: Those of them whose content a parser reads as raw text: without an end tag they reach to the page's end.
+RAW = frozenset("script style noscript iframe textarea title".split())
 BREAKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li "
     "main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -44,6 +46,9 @@ HINTS = frozenset(
     "subscription signup sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist reply replies respond disqus "
     "discussion share sharing social related recommended recommendations widget pagination pager login search toolbar skip print".split()
 )
+#: Page frames whose own class or id says what else is on the page, and first and last pieces of names that do so.
+FRAMES = frozenset({"html", "body", "main", "article"})
+BEFORE, AFTER = frozenset("has no with without".split()), frozenset("open closed".split())
 CONTENT = frozenset({"article", "main"})
 CONTENT_HINTS = frozenset("article content post entry story main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -121,7 +126,29 @@ class Block:
     heading: bool = False
 
 
-def _place(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+def _hinting(value: str) -> set[str]:
+    """Pieces of the names in a class or id, without names that tell of another part (has-sidebar, comments-open)."""
+    names = [[p for p in re.split(r"[^a-z0-9]+", name) if p] for name in value.split()]
+    return {p for name in names if name and not (len(name) > 1 and (name[0] in BEFORE or name[-1] in AFTER)) for p in name}
+
+
+END_OF_UNCLOSED = re.compile(rf"</?(?:{'|'.join(sorted(BREAKS - {'option', 'hr'}))})(?=[\s/>]|\Z)", re.IGNORECASE)
+
+
+def _pairs(page: str, tag: str) -> dict[int, int]:
+    """End of each element ``tag`` that has an end tag, by the place of its opening tag."""
+    opened: list[int] = []
+    ends = {}
+    for match in re.finditer(rf"<(/?){tag}(?=[\s/>]|\Z)(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)", page, re.IGNORECASE):
+        if not match[1]:
+            if not match[0].rstrip(">").rstrip().endswith("/"):
+                opened.append(match.start())
+        elif opened:
+            ends[opened.pop()] = match.end()
+    return ends
+
+
+def _place(tag: str, attributes: str, nested: bool = False) -> tuple[bool, bool, bool]:
     """Whether the element opens page furniture, article content, or a hidden part."""
     furniture, content, hidden = tag in FURNITURE, tag in CONTENT, False
     if attributes:
@@ -129,7 +156,7 @@ def _place(tag: str, attributes: str) -> tuple[bool, bool, bool]:
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
                 found = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value)))
-                furniture |= not found.isdisjoint(HINTS)
+                furniture |= (tag not in FRAMES or nested) and not _hinting(value).isdisjoint(HINTS)
                 content |= tag in ("div", "section") and not found.isdisjoint(CONTENT_HINTS)
             elif name == "role":
                 furniture |= value in ROLES
@@ -163,6 +190,7 @@ def blocks_of(page: str) -> list[Block]:
 
     scan, n = TOKEN.finditer(page), len(page)
     skip_to = 0
+    paired: dict[str, dict[int, int]] = {}
     for match in scan:
         if match.start() < skip_to:
             continue
@@ -174,8 +202,17 @@ def blocks_of(page: str) -> list[Block]:
         tag, closing = tag.lower(), match[1] == "/"
         if tag in SILENT and not closing:
             if not match[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = skip_to = end.end() if end else n
+                if tag in RAW:
+                    end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+                    at = skip_to = end.end() if end else n
+                else:
+                    if tag not in paired:
+                        paired[tag] = _pairs(page, tag)
+                    end = paired[tag].get(match.start())
+                    if end is None:  # left open: it ends where the next block begins or ends
+                        block_tag = END_OF_UNCLOSED.search(page, at)
+                        end = block_tag.start() if block_tag else n
+                    at = skip_to = end
             put(" ")
             continue
         if tag in INLINE_SPACE:
@@ -188,7 +225,7 @@ def blocks_of(page: str) -> list[Block]:
                 heading = not closing
             elif tag == "p":
                 heading = False
-        if tag in VOID or tag == "a":
+        if tag in VOID or tag in ("a", "head"):
             continue
         opens = not closing and (tag in BREAKS and tag not in ("p", "li") and tag not in HEADINGS or bool(match[3]) and any(_place(tag, match[3])))
         if not opens and not (closing and any(s[0] == tag for s in stack)):
@@ -199,7 +236,8 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[i:]
                     break
         elif not match[3].rstrip().endswith("/"):
-            furniture, content, hidden = _place(tag, match[3])
+            # an article inside an article may be a reader's comment, so its hints count
+            furniture, content, hidden = _place(tag, match[3], tag == "article" and any(s[0] == tag for s in stack))
             above = stack[-1] if stack else ("", False, False, False)
             # a header inside the article carries its title, elsewhere it is the page's
             if tag == "header" and not above[2]:

@@ -65,6 +65,22 @@ def test_main_text_of_a_page(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><meta charset=utf-8><body><article>{}</article></body></html>",
+    "<html><head><title>T</title><body><article>{}</article><header>Top</header></body></html>",
+    "<html><head class='no-sidebar'><script>a = '<body>'</script></head><body><article>{}</article></body></html>",
+    "<body><div><button>Menu</div><article>{}</article><button>Go</button></body>",
+    "<body><button>Menu<article>{}</article></body>",
+    "<body class='has-sidebar'><article>{}</article></body>",
+    "<body class='page sidebar'><main id='print'>{}</main></body>",
+    "<body><article class='post comments-open'>{}</article></body>",
+    "<body><div class='content no-sidebar'>{}</div><div class='comments'><p>A reader</p></div></body>",
+])
+def test_main_text_of_legal_pages(page):
+    text = " ".join(["some words of an article"] * 8)
+    assert html_text.main_text(page.format(f"<p>{text}</p>"), html_text.fitted()) == text
+
+
 def test_tree_fits_its_table():
     tree = html_text.fitted()
     assert tree.feature >= 0

@@ -11,7 +11,7 @@
    smallest one and linked pairs are joined by union-find.  Buckets that still hold several components
    go through two further rounds, in which members of different components whose signatures agree
    well enough to be above the threshold (four standard errors below it at least) are compared: first each with
-   its likeliest partner, then all pairs that are left.  So no link between candidates is lost, and copies cost one comparison each.
+   its likeliest partner, then all pairs that are left.  So a link between candidates is lost with a chance of 1e-7, and copies cost one comparison each.
 5. Links are confirmed on the full sets: 100 * intersection >= 75 * union.
 
 Cases: NULL, empty and blank texts have an empty set and are linked with nothing; fewer than five
@@ -36,8 +36,8 @@ SHINGLE = 5
 BANDS, ROWS = 48, 5
 PLACES = BANDS * ROWS
 SIMILARITY = 0.75
-#: Share of equal one-byte signature places from which a pair is compared on full sets: 0.75 less four standard errors (0.025 as measured).
-LIKELY = 0.65
+#: Share of equal one-byte signature places from which a pair is compared on full sets: a pair at 0.75 has less with a chance of 1e-7.
+LIKELY = 0.60
 #: Members of a bucket that are compared with each other in one task.
 BLOCK = 500
 #: Likeliest partners of other components that a member takes in a bucket: in the first round, and at last all.

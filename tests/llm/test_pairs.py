@@ -1,6 +1,7 @@
 """Near duplicates and substring dedup against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -97,6 +98,13 @@ def test_signatures_estimate_without_bias():
     assert abs(np.mean(errors)) < 0.012 and np.std(errors) < 0.035
 
 
+def test_pair_at_the_threshold_reaches_the_full_sets():
+    """Chance that too few of its places agree, if they are independent; unequal places share a byte once in 256."""
+    n, p = minhash.PLACES, minhash.SIMILARITY + (1 - minhash.SIMILARITY) / 256
+    few = math.ceil(minhash.LIKELY * n - 1e-9)
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(few)) < 1e-6
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_connected_equals_union_find(spark, seed):
     rng = random.Random(seed)

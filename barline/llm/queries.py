@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat, codes, minhash, mixing, substrings
+from barline.llm import chat, codes, hnsw, minhash, mixing, phrases, substrings
 from barline.llm.stage import small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -97,12 +97,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("severity", 6).alias("severity"), F.round("p_toxic", 6).alias("p_toxic"), "rejected")
 
 
+def op11_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.digest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_decontamination, op4_token_counts, op5_main_text, op6_near_duplicates, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity, op13_vector_codes)}
-SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op2_substring_dedup": substrings.sql(), "op6_near_duplicates": minhash.sql(), "op7_chat_turns": chat.sql(), "op13_vector_codes": codes.sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_decontamination, op4_token_counts, op5_main_text, op6_near_duplicates, op7_chat_turns, op8_secret_spans, op9_quality_rules, op10_toxicity, op11_embedding_duplicates, op12_phrases, op13_vector_codes)}
+SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op2_substring_dedup": substrings.sql(), "op6_near_duplicates": minhash.sql(), "op7_chat_turns": chat.sql(), "op11_embedding_duplicates": hnsw.sql(), "op12_phrases": phrases.sql(), "op13_vector_codes": codes.sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

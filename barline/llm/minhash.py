@@ -10,8 +10,10 @@
 4. A band bucket is never expanded into pairs.  First all members are compared with the bucket's
    smallest one and linked pairs are joined by union-find.  Buckets that still hold several components
    go through two further rounds, in which members of different components whose signatures agree
-   well enough to be above the threshold (four standard errors below it at least) are compared: first each with
-   its likeliest partner, then all pairs that are left.  So a link between candidates is lost with a chance of 1e-7, and copies cost one comparison each.
+   well enough to be above the threshold are compared: first each with its likeliest partner, then, block by block
+   inside tasks, all pairs that are left.  The full sets of a block's near members come to the task once, and
+   only a spanning forest of the links leaves it.  So a link between candidates is lost with a chance of 1e-7,
+   copies cost one comparison each, and no row stands for a pair that is none.
 5. Links are confirmed on the full sets: 100 * intersection >= 75 * union.
 
 Cases: NULL, empty and blank texts have an empty set and are linked with nothing; fewer than five
@@ -21,7 +23,7 @@ component and are kept; other columns are ignored by ``components`` and kept by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.stage import written
+from barline.llm.stage import spare_memory, written
 from barline.llm.text import mixed, pieces, windows, within, words_of
 
 SHINGLE = 5
@@ -135,6 +137,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ],
                 ["doc_id", "n_shingles", "whole_a", "whole_b", "bands", "marks", "sig"],
             )
+        spare_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, whole_a long, whole_b long, bands array<long>, marks binary, sig binary"
@@ -221,13 +224,12 @@ def connected(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("b"), F.col("b")).distinct()).toDF("doc_id", "component")
 
 
-def _further_pairs(members: DataFrame, partners: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components with likely signatures.
+def _cells(members: DataFrame) -> DataFrame:
+    """Members that are to be compared with each other, in order of their group.
 
     ``members``: key, band, doc_id, component, marks, sig, n_shingles of the buckets with several components.
     The largest component of a bucket is compared only with the others; buckets are cut into blocks, so a
-    task holds two blocks at most.  A pair counts in the first band that it shares, and of a bucket a document
-    takes its ``partners`` likeliest ones.
+    task holds two blocks at most.
     """
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
@@ -243,7 +245,11 @@ def _further_pairs(members: DataFrame, partners: int) -> DataFrame:
     from_top = F.transform(F.sequence(F.lit(0), rest_blocks - 1), lambda j: F.struct(F.lit(0).alias("kind"), j.alias("x"), i.alias("y")))
     cells = placed.select("key", "band", "doc_id", "component", "marks", "sig", "n_shingles", "rest", F.explode(F.when(F.col("rest") == 1, F.concat(with_rest, with_top)).otherwise(from_top)).alias("cell"))
     cells = cells.select(F.xxhash64("key", "cell.kind", "cell.x", "cell.y").alias("group"), F.col("cell.kind").alias("kind"), "rest", "band", "doc_id", "component", "n_shingles", "marks", "sig")
-    ordered = cells.repartition(F.col("group")).sortWithinPartitions("group")
+    return cells.repartition(F.col("group")).sortWithinPartitions("group")
+
+
+def _whole_groups(solve: Callable[[pa.Table], pa.RecordBatch]):
+    """Rows in order of their first column -> ``solve`` on tables that hold whole groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -254,17 +260,94 @@ def _further_pairs(members: DataFrame, partners: int) -> DataFrame:
             group = np.asarray(batch.column(0))
             cut = int(np.searchsorted(group, group[-1]))
             if cut:
-                yield _near_pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]), partners)
+                yield solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield _near_pairs(pa.Table.from_batches(held), partners)
+            yield solve(pa.Table.from_batches(held))
+        spare_memory()
+
+    return run
+
+
+def _further_pairs(members: DataFrame, partners: int) -> DataFrame:
+    """Near pairs (a, b) of different components; of a bucket a document takes its ``partners`` likeliest ones."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        _, a, b = _near_pairs(rows, partners)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return _cells(members).mapInArrow(_whole_groups(solve), "a long, b long").distinct()
+
+
+def _linked_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join all linked near pairs of different components, confirmed on the full sets block by block."""
+
+    def near(rows: pa.Table) -> pa.RecordBatch:
+        """Per group with near pairs one row that holds them, and one row per document of theirs."""
+        group, a, b = _near_pairs(rows, ALL_PARTNERS)
+        order = np.argsort(group, kind="stable")
+        group, a, b = group[order], a[order], b[order]
+        begin = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if len(group) else np.zeros(0, dtype=np.int64)
+        keys, ids, pairs = [], [], []
+        for x, y in zip(begin.tolist(), np.append(begin[1:], len(group)).tolist()):
+            docs = np.unique(np.concatenate([a[x:y], b[x:y]]))
+            keys += [group[x]] * (len(docs) + 1)
+            ids += [None, *docs.tolist()]
+            pairs += [np.column_stack([a[x:y], b[x:y]]).tobytes(), *[None] * len(docs)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(pairs, pa.binary())], ["group", "doc_id", "pairs"])
+
+    found = written(_cells(members).mapInArrow(_whole_groups(near), "group long, doc_id long, pairs binary"), "near")
+    nothing = F.lit(None)
+    with_sets = found.filter("doc_id is not null").select("doc_id", "group").join(sets, "doc_id").select("group", F.lit(0).alias("kind"), "doc_id", "shingles", nothing.cast("binary").alias("pairs"))
+    tests = found.filter("doc_id is null").select("group", F.lit(1).alias("kind"), nothing.cast("long").alias("doc_id"), nothing.cast("array<long>").alias("shingles"), "pairs")
+    ordered = with_sets.unionByName(tests).repartition(F.col("group")).sortWithinPartitions("group", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, {}
+        for batch in batches:
+            for group, doc, shingles, pairs in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                if group != current:
+                    current, held = group, {}
+                if doc is not None:
+                    held[doc] = shingles.values.to_numpy()
+                elif links := _spanning(np.frombuffer(pairs.as_py(), dtype=np.int64).reshape(-1, 2), held):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+        spare_memory()
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _near_pairs(rows: pa.Table, partners: int) -> pa.RecordBatch:
-    """The pairs of whole groups, all groups at once."""
+def _spanning(pairs: np.ndarray, sets: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+    """Those linked ``pairs`` that join two parts; pairs inside a part need no comparison."""
+    ids = np.array(sorted(sets), dtype=np.int64)
+    sizes = np.array([len(sets[i]) for i in ids.tolist()], dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    codes = np.unique(np.concatenate([sets[i] for i in ids.tolist()]), return_inverse=True)[1] if len(ids) else np.zeros(0, dtype=np.int64)
+    marked = np.zeros(int(codes.max(initial=-1)) + 1, dtype=bool)
+    at = np.searchsorted(ids, pairs)
+    at = at[np.lexsort((at[:, 1], at[:, 0]))]
+    begin = np.flatnonzero(np.diff(at[:, 0], prepend=-1))
+    union, out = UnionFind(), []
+    for x, y in zip(begin.tolist(), np.append(begin[1:], len(at)).tolist()):
+        a = int(at[x, 0])
+        own = codes[ends[a] : ends[a + 1]]
+        marked[own] = True
+        for c in range(x, y, 1000):
+            others = at[c : min(y, c + 1000), 1]
+            n = sizes[others]
+            where = np.repeat(ends[others] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            shared = np.add.reduceat(marked[codes[where]].astype(np.int64), np.cumsum(n) - n)
+            for b in others[100 * shared >= round(100 * SIMILARITY) * (sizes[a] + n - shared)].tolist():
+                if union.find(a) != union.find(b):
+                    union.join(a, b)
+                    out.append((int(ids[a]), int(ids[b])))
+        marked[own] = False
+    return out
+
+
+def _near_pairs(rows: pa.Table, partners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, smaller and larger id of the near pairs of whole groups; a pair counts in the first band that it shares."""
     group, kind, rest, band, ids, comp, size = (rows.column(c).to_numpy() for c in ("group", "kind", "rest", "band", "doc_id", "component", "n_shingles"))
     marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), dtype=np.uint32).reshape(len(group), BANDS)
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(len(group), PLACES)
@@ -310,7 +393,7 @@ def _near_pairs(rows: pa.Table, partners: int) -> pa.RecordBatch:
         new = np.concatenate([[True], i[1:] != i[:-1]])
         rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
         i, j = i[rank < partners], j[rank < partners]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+    return group[i], np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
 
 def _representative_components(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -322,15 +405,19 @@ def _representative_components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     tested = written(members.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     edges = written(confirmed(tested, sets), "edges")
     found = written(connected(edges), "components")
-    # few partners first, so that large groups merge early; the last round then compares all pairs that are left
+    # one partner first, so that large groups merge early; the last round then compares all pairs that are left
     for partners in (*PARTNERS, ALL_PARTNERS):
         placed = members.select("key", "band", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed_up = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         open_members = placed.join(mixed_up, "key").join(reps.select("doc_id", "marks", "sig", "n_shingles"), "doc_id")
-        # a pair already compared was no link, so it is not compared again
-        fresh = written(_further_pairs(open_members, partners).join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(fresh)
-        more = written(confirmed(fresh, sets), "edges")
+        if partners < ALL_PARTNERS:
+            # a pair already compared was no link, so it is not compared again
+            fresh = written(_further_pairs(open_members, partners).join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = tested.union(fresh)
+            more = confirmed(fresh, sets)
+        else:
+            more = _linked_in_blocks(open_members, sets)
+        more = written(more, "edges")
         if not more.isEmpty():
             edges = edges.union(more)
             found = written(connected(edges), "components")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Rows that travel to Python at once in this session: texts are long, and both sides hold whole batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def spare_memory() -> None:
+    """At a task's end: give the worker's free memory back to the system, as workers stay alive for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

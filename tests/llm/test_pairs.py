@@ -153,3 +153,22 @@ def test_repeats_equal_brute_force(documents, prose, monkeypatch, group, batch):
 
 def test_empty_table_has_no_repeats(documents):
     assert substrings.without_repeats(documents([(1, "a")]).limit(0)).count() == 0
+
+
+def test_blocks_send_a_spanning_forest_of_their_links():
+    rng = np.random.default_rng(2)
+    sets = {int(i): np.unique(rng.integers(0, 60, rng.integers(1, 60))) for i in rng.choice(1000, 60, replace=False)}
+    for i in list(sets)[:20]:
+        sets[i + 5000] = sets[i][1:] if len(sets[i]) > 1 else sets[i]
+    ids = sorted(sets)
+    pairs = np.array([(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :]])
+    linked = {(a, b) for a, b in pairs.tolist() if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    found = minhash._spanning(pairs, sets)
+    assert set(found) <= linked
+    one, two = minhash.UnionFind(), minhash.UnionFind()
+    for a, b in linked:
+        one.join(a, b)
+    for a, b in found:
+        assert two.find(a) != two.find(b)
+        two.join(a, b)
+    assert all(one.find(i) == two.find(i) for i in ids) and len(linked) >= 20

@@ -148,6 +148,42 @@ def test_search_finds_what_a_brute_force_search_finds(spark, documents, prose):
     assert len(want) > 80 and not want - got
 
 
+def test_rows_are_judged_by_their_own_text(spark, documents, prose):
+    item = prose(25, seed=5) + " gold silver bronze"
+    rows = [(None, prose(60) + " " + item), (None, prose(60)), (7, item), (7, prose(80)), (7, item), (None, None), (8, "")]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.decontaminated(documents(rows), benchmark).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted((rows[k] for k in (1, 3, 5, 6)), key=str)
+
+
+def test_directions_of_a_sample_find_the_items(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 150)
+    items = [(i, prose(30, seed=700 + i) + f" ask{i} tell{i}") for i in range(10)]
+    rows = [(i, f"{prose(150)} {items[i % 10][1] if i % 2 else prose(30)} {prose(90)}") for i in range(120)]
+    got = decontaminate.judged(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got if r.contaminated} == {(i, i % 10) for i in range(120) if i % 2}
+
+
+def test_mixing_keeps_columns_with_names_of_its_own(spark, prose):
+    rows = [(i, prose(30 + i % 7 * 40), "en", f"s{i % 3}", ("sport", "news", None)[i % 3 if i % 5 else 0], i, 0.5, "yes", 2.5) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, n_tokens long, probability double, kept string, repeat_weight double")
+    out = mixing.mixed(docs)
+    assert out.columns == [*[c for c in docs.columns if c != "topic"], "topic", "mixing_n_tokens", "mix_weight", "mixing_probability", "mixing_repeat_weight", "mixing_kept"]
+    got = out.select(*docs.columns).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == rows
+    # the margins of the input's own topics stand in the tempered shares
+    sums = {r.t: r.w for r in out.groupBy(F.coalesce("topic", F.lit("")).alias("t")).agg(F.sum(F.col("mix_weight") * F.col("mixing_n_tokens")).alias("w")).collect()}
+    tokens = {}
+    for r in rows:
+        tokens[r[4] or ""] = tokens.get(r[4] or "", 0) + len(r[1].split())
+    share = {t: n ** mixing.ALPHA["topic"] for t, n in tokens.items()}
+    assert all(abs(sums[t] / sum(sums.values()) - share[t] / sum(share.values())) < 0.01 for t in share)
+    import corpus_pipeline
+
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == [*docs.columns, "mixing_repeat_weight"] and 0 < mixed.count() < 60
+
+
 def test_pipeline_stages(spark, tmp_path, prose):
     import corpus_pipeline
 

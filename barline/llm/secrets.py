@@ -16,12 +16,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from barline.llm.stage import spare_memory
 from barline.llm.text import pieces
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -83,13 +87,22 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+#: Texts without a match hold no span of any kind: every rule and every sensitive word is named here (for Java's patterns).
+MAY_HOLD = "(?i)passw|passphrase|secret|token|key|credential|bearer|authoriz|client|(?-i)AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, int, float]]:
-    """(start, kind number, end, marginal bytes per character) of incompressible tokens that no known span covers."""
+    """(start, kind number, end, marginal bytes per character) of incompressible tokens that no known span covers.
+
+    ``known`` is in order of its starts.
+    """
     lower = text.lower()
     if not any(part in lower for part in SENSITIVE_PARTS):
         return []
-    covered = sorted((s, e) for s, _, e in known)
     out, done = [], set()
+    # known spans by their start; upto[i] is the furthest end of the first i of them, so one search tells what is covered
+    starts = [s for s, _, _ in known]
+    upto = [0, *accumulate((e for _, _, e in known), max)]
     for word in SENSITIVE.finditer(text):
         for token in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 4096)):
             start, end = token.span()
@@ -97,7 +110,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty,
                 break
             if end == word.end() + REACH + 4096 and end < len(text):
                 end = CANDIDATE.match(text, start).end()
-            if start in done or any(s < end and start < e for s, e in covered):
+            if start in done or upto[bisect_left(starts, end)] > start:
                 continue
             done.add(start)
             if mixed_token(text[start:end]):
@@ -142,6 +155,7 @@ def redacted(docs: DataFrame, mark: str = "[REDACTED]", least: float = NOVELTY)
     """The same rows and columns with every span of ``text`` replaced by ``mark``.
 
     Overlapping spans are replaced once as a whole; texts without a span stay byte for byte, NULL stays NULL.
+    Only texts that may hold a span travel to Python.
     """
 
     def clean(text: str, novelty: Novelty) -> str:
@@ -159,5 +173,7 @@ def redacted(docs: DataFrame, mark: str = "[REDACTED]", least: float = NOVELTY)
             at = batch.schema.get_field_index("text")
             texts = [clean(t, novelty) if t else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        spare_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    may_hold = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
+    return docs.filter(may_hold).mapInArrow(run, docs.schema).union(docs.filter(~may_hold))

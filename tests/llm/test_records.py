@@ -200,3 +200,23 @@ def test_determinant_estimate_ignores_outliers(spark):
     # the core holds nine tenths of the good rows instead of three quarters, so the scale is up to half too wide
     ratio = np.linalg.eigvals(np.array(row["inverse"]).reshape(3, 3) @ np.cov(good.T)).real
     assert (ratio > 0.6).all() and (ratio < 1.2).all()
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+
+    text = " ".join(f"token={i:08d}abcd and secret note Zx9{i:05d}QwErTy77Lm" for i in range(20_000))
+    start = time.process_time()
+    rules = secrets.rule_spans(text)
+    secrets.novel_spans(text, rules, secrets.Novelty())
+    assert len(rules) == 20_000 and time.process_time() - start < 60
+
+
+def test_texts_that_stay_in_the_jvm_hold_no_span(spark):
+    texts = ["plain words", "", None, "a tOKen: abcdefgh12345678", "AKIAABCDEFGHIJKL", "x" + "0123456789abcdef" * 2, "akiaabcdefghijkl", "0123456789ABCDEF" * 3, "Bearer Zx9q27QwErTy77LmPp", "my to\u212aen=abcdefgh123"]
+    held = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.col("text").rlike(secrets.MAY_HOLD).alias("may")).collect()
+    novelty = secrets.Novelty()
+    for row in held:
+        rules = secrets.rule_spans(row.text or "")
+        assert row.may or not (rules or secrets.novel_spans(row.text or "", rules, novelty))
+    assert sum(bool(r.may) for r in held) == 4

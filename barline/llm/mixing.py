@@ -12,7 +12,8 @@ DataFrame and SQL functions only.
 Cases: NULL and empty texts have 0 tokens; a NULL source, language or topic is the empty value, a
 margin of its own; margins without a target row, or with a target of 0, get weight 0; targets of
 absent values are left out and the rest scaled up; a margin without tokens keeps factor 0; repeated
-rows share one fate, as it hangs on the id; other columns stay; an empty table gives no rows.
+rows share one fate, as it hangs on the id; other columns stay, and an added column whose name is taken gets a name
+of its own (``names``); a ``topic`` column of the input is the topic; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -120,11 +121,29 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+ADDED = ("topic", "n_tokens", "mix_weight", "probability", "repeat_weight", "kept")
+
+
+def names(docs: DataFrame) -> dict[str, str]:
+    """The column that holds each added value; the input's ``topic``, where it has one, holds the topic."""
+    taken, out = {c.lower() for c in docs.columns}, {}
+    for name in ADDED:
+        new = name
+        while new.lower() in taken and name != "topic":
+            new = f"mixing_{new}"
+        taken.add(new.lower())
+        out[name] = new
+    return out
+
+
 def mixed(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, topic: Column | None = None, rate: float = RATE, narrow: bool = False) -> DataFrame:
-    """All columns of ``docs`` plus topic, n_tokens, mix_weight, probability, repeat_weight and kept.
+    """All columns of ``docs`` plus topic, n_tokens, mix_weight, probability, repeat_weight and kept, as ``names`` calls them.
 
-    With ``narrow`` the text is left out and the counted rows are stored, so that it is read once.
+    Without ``topic`` the input's column of that name is the topic, or else a register of length.  With ``narrow`` the text is left out and the counted rows are stored, so that it is read once.
     """
+    has_topic = "topic" in {c.lower() for c in docs.columns}
+    if topic is None and has_topic:
+        topic = F.col("topic")
     rows = keyed(docs, topic)
     if narrow:
         rows = written(rows.drop("text"), "mixing-rows")
@@ -136,12 +155,13 @@ def mixed(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, topic
         out = out.join(factors[m].withColumnRenamed(m, f"__{m}"), f"__{m}", "left")
     out = out.withColumn("__w", F.coalesce(weight(), F.lit(0.0)))
     out = out.withColumn("__p", F.least(F.lit(1.0), F.lit(s) * F.col("__w")))
+    named = names(docs)
     added = {
-        "topic": F.col("__topic"), "n_tokens": F.col("__tokens"), "mix_weight": F.col("__w"), "probability": F.col("__p"),
+        "topic": F.col("topic") if has_topic else F.col("__topic"), "n_tokens": F.col("__tokens"), "mix_weight": F.col("__w"), "probability": F.col("__p"),
         "repeat_weight": F.when(F.col("__p") > 0, F.lit(s) * F.col("__w") / F.col("__p")).otherwise(0.0), "kept": uniform(F.col("doc_id")) < F.col("__p"),
     }
-    own = [c for c in docs.columns if c not in added and not (narrow and c == "text")]
-    return out.select(*[F.col(f"`{c}`") for c in own], *[c.alias(n) for n, c in added.items()])
+    own = [c for c in docs.columns if c.lower() != "topic" and not (narrow and c == "text")]
+    return out.select(*[F.col(f"`{c}`") for c in own], *[c.alias(named[n]) for n, c in added.items()])
 
 
 def sql() -> str:

@@ -107,26 +107,30 @@ def config():
     }
 
 
-AUDIT = ("symbol", "trade_date", "open", "close", "pre_close", "pct_chg", "amplitude", "is_suspended")
+NUMBERS = ("open", "high", "low", "close", "volume", "amount", "turnover_rate", "pre_close", "pct_chg", "amplitude", "adj_close")
+AUDIT = ("symbol", "trade_date", *NUMBERS, "is_suspended")
 
 
-@query("column missing_share~",
-       " UNION ALL ".join(f"SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS missing_share FROM bars" for c in AUDIT),
-       "bars")
+def union_of(template: str, columns) -> str:
+    return " UNION ALL ".join(template.replace("{c}", c) for c in columns)
+
+
+@query("column missing_share~", union_of("SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS missing_share FROM bars", AUDIT), "bars")
 def profile_missing_shares(t):
-    return agg.missing_shares(t.bars, AUDIT)
+    return agg.missing_shares(t.bars, t.bars.columns)
 
 
-@query("kind column value~", """
-    SELECT 'repeated' AS kind, 'key' AS "column", count(*) - count(DISTINCT (symbol, trade_date)) AS value FROM bars
-    UNION ALL SELECT 'constant', 'data_version', 1
-    UNION ALL SELECT 'mean', 'pct_chg', avg(pct_chg) FROM bars UNION ALL SELECT 'std', 'pct_chg', stddev_samp(pct_chg) FROM bars""", "bars")
+@query("kind column value~",
+       "SELECT 'repeated' AS kind, 'key' AS \"column\", CAST(count(*) - count(DISTINCT (symbol, trade_date)) AS DOUBLE) AS value FROM bars UNION ALL SELECT 'constant', 'data_version', 1 UNION ALL "
+       + union_of("SELECT 'constant', '{c}', 1 FROM bars HAVING count(DISTINCT {c}) <= 1", AUDIT) + " UNION ALL "
+       + union_of("SELECT 'mean', '{c}', avg({c}) FROM bars UNION ALL SELECT 'std', '{c}', stddev_samp({c}) FROM bars", NUMBERS), "bars")
 def profile_quality_audit(t):
     df = t.bars.withColumn("data_version", F.lit("v1"))
+    numbers = [f.name for f in t.bars.schema.fields if f.dataType.simpleString() == "double"]
     repeated = agg.repeated_keys(df, ("symbol", "trade_date")).select(
         F.lit("repeated").alias("kind"), F.lit("key").alias("column"), F.col("repeated").cast("double").alias("value"))
-    constant = agg.near_constant(df, ("close", "volume", "data_version")).select(F.lit("constant").alias("kind"), "column", F.lit(1.0).alias("value"))
-    stats = agg.label_stats(df, ("pct_chg",))
+    constant = agg.near_constant(df, df.columns).select(F.lit("constant").alias("kind"), "column", F.lit(1.0).alias("value"))
+    stats = agg.label_stats(df, numbers)
     out = repeated.unionByName(constant)
     for k in ("mean", "std"):
         out = out.unionByName(stats.select(F.lit(k).alias("kind"), "column", F.col(k).alias("value")))

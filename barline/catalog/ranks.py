@@ -25,13 +25,13 @@ R = "(adj_close / nullif(lag(adj_close, {n}) OVER (PARTITION BY symbol ORDER BY
 @query("symbol trade_date volume_rank~",
        f"SELECT symbol, trade_date, {avg_rank('volume', 'trade_date')} AS volume_rank FROM bars", "bars")
 def pct_rank_avg(t):
-    return t.bars.withColumn("volume_rank", rank_column("volume", "trade_date"))
+    return ranking.pct_rank_large(t.bars, "volume", ["trade_date"], "volume_rank")
 
 
 @query("symbol trade_date volume_rank~",
        f"SELECT symbol, trade_date, {avg_rank('volume', 'trade_date')} AS volume_rank FROM bars", "bars")
 def pct_rank_large_groups(t):
-    return ranking.pct_rank_large(t.bars, "volume", ["trade_date"], "volume_rank")
+    return ranking.pct_rank_large(t.bars, "volume", ["trade_date"], "volume_rank", parts=50)
 
 
 @query("symbol trade_date turnover_rank_industry~",
@@ -45,7 +45,7 @@ def turnover_rank_industry(t):
 @query("symbol trade_date amount_rank_market~",
        f"SELECT symbol, trade_date, {avg_rank('amount', 'trade_date')} AS amount_rank_market FROM bars", "bars")
 def amount_rank_market(t):
-    return t.bars.withColumn("amount_rank_market", rank_column("amount", "trade_date"))
+    return ranking.pct_rank_large(t.bars, "amount", ["trade_date"], "amount_rank_market")
 
 
 @query("symbol trade_date stock_rank_in_industry~",

@@ -1,20 +1,21 @@
-"""Exact quantiles of many columns without a value map in one task.
+"""Exact quantiles of many columns without a value map or a sort of all cells.
 
-``percentile`` keeps every distinct value of a group in one buffer.  Here a first
-pass counts values per magnitude bucket (map-side combined), which tells the
-bucket and the place inside it for each wanted order statistic; a second pass
-reads only the values of those buckets.
+``percentile`` keeps every distinct value of a group in one buffer.  Here a mergeable sketch of all columns brackets
+each wanted order statistic, one conditional pass counts what lies below and inside the brackets, and only the
+values inside are ordered.  The sketch follows the data, so values that crowd in a narrow range need no more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.columns import clip, div
-from barline.operators.ranking import magnitude_bucket
+
+#: The sketch's rank error is at most rows / ACCURACY; brackets reach SLACK such errors to either side.
+ACCURACY, SLACK = 10_000, 5
 
 
 def exact_quantiles(
@@ -22,50 +23,68 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles: one row per group and column, ``q0``, ``q1``, ...
 
-    Groups and columns without any value give no row.  ``df`` is read twice;
-    materialise it first when it is costly.
+    Groups and columns without any value give no row.  ``df`` is read three times;
+    materialise it first when it is costly.  About ``2 * SLACK / ACCURACY`` of a column's values are ordered.
     """
-    keys = list(keys)
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
-    ])).alias("cell")
-    long = df.select(*keys, pairs).select(*keys, "cell.column", "cell.v").where(F.col("v").isNotNull())
-    long = long.withColumn("b", magnitude_bucket(F.col("v")))
-    group = Window.partitionBy(*keys, "column")
-    upto = group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    counts = long.groupBy(*keys, "column", "b").agg(F.count("*").alias("n")).select(
-        *keys, "column", "b", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("total")
-    )
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
-        for i, p in enumerate(probs) for side in (0, 1)
-    ])).alias("w")
-    place = F.col("w.p") * (F.col("total") - 1)
-    rank = F.when(F.col("w.side") == 0, F.floor(place)).otherwise(F.ceil(place))
-    targets = counts.select("*", wanted).select(
-        *keys, "column", "b", F.col("w.i").alias("i"), F.col("w.side").alias("side"),
-        (place - F.floor(place)).alias("frac"), rank.alias("rank"), (rank - (F.col("upto") - F.col("n"))).alias("at"),
-        "upto", "n",
-    ).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-    targets = targets.drop("upto", "n", "rank")
-    marks = targets.select(*keys, "column", "b").distinct()
-    inside = Window.partitionBy(*keys, "column", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (
-        long.join(marks, [*keys, "column", "b"], "left_semi")
-        .groupBy(*keys, "column", "b", "v").agg(F.count("*").alias("n"))
-        .withColumn("cum", F.sum("n").over(inside))
-    )
-    hits = cells.join(targets, [*keys, "column", "b"]).where(
-        (F.col("at") < F.col("cum")) & (F.col("at") >= F.col("cum") - F.col("n"))
+    keys, columns = list(keys), list(columns)
+    reach = SLACK / ACCURACY
+    marks = F.array(*[F.lit(min(1.0, max(0.0, p + side * reach))) for p in probs for side in (-1, 1)])
+    rows = df.select(*keys, F.array(*[F.col(c).cast("double") for c in columns]).alias("vs"))
+    # cells are summed up per task; no cell is shuffled but those inside the brackets
+    every = rows.select(*keys, F.posexplode("vs").alias("i", "v")).where("v IS NOT NULL")
+    sketches = every.groupBy(*keys, "i").agg(F.percentile_approx("v", marks, F.lit(ACCURACY)).alias("m"))
+    brackets = F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("of")
+    brackets = sketches.groupBy(*keys).agg(brackets) if keys else sketches.agg(brackets)
+    known = F.transform("vs", lambda v, i: F.struct(i.alias("i"), v.alias("v"), F.try_element_at("of", i).alias("m")))
+    cells = attach(rows, brackets, keys).select(*keys, F.inline(F.filter(known, lambda c: c["v"].isNotNull())))
+    slots = range(len(probs))
+
+    def low(j: int) -> Column:
+        return F.get("m", F.lit(2 * j))
+
+    def high(j: int) -> Column:
+        return F.get("m", F.lit(2 * j + 1))
+
+    v, aggs = F.col("v"), [F.count("*").alias("n")]
+    for j in slots:
+        aggs += [
+            F.count_if(v < low(j)).alias(f"below{j}"), F.count_if(v <= high(j)).alias(f"upto{j}"),
+            F.max(F.when(v < low(j), v)).alias(f"prev{j}"), F.min(F.when(v > high(j), v)).alias(f"next{j}"),
+        ]
+    listed = F.inline(F.array(*[
+        F.struct(F.lit(j).alias("j"), F.lit(float(probs[j])).alias("p"), *[F.col(f"{name}{j}").alias(name) for name in ("below", "upto", "prev", "next")]) for j in slots
+    ]))
+    stats = cells.groupBy(*keys, "i").agg(*aggs).select(*keys, "i", "n", listed)
+    place = F.col("p") * (F.col("n") - 1)
+    stats = stats.withColumns({"first": F.floor(place), "last": F.ceil(place), "frac": place - F.floor(place)})
+
+    fits = F.filter(F.array(*[F.when(v.between(low(j), high(j)), F.lit(j)) for j in slots]), lambda j: j.isNotNull())
+    cells = cells.select(*keys, "i", F.explode(fits).alias("j"), "v")
+    ordered = Window.partitionBy(*keys, "i", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.groupBy(*keys, "i", "j", "v").agg(F.count("*").alias("m")).withColumn("cum", F.sum("m").over(ordered))
+    joined = stats.join(cells, [*keys, "i", "j"], "left")
+
+    def holds(rank: str) -> Column:
+        at = F.col(rank) - F.col("below")
+        return (at < F.col("cum")) & (at >= F.col("cum") - F.col("m"))
+
+    found = joined.groupBy(*keys, "i", "j", "n", "below", "upto", "prev", "next", "first", "last", "frac").agg(
+        *[F.max(F.when(holds(rank), F.col("v"))).alias(f"v_{rank}") for rank in ("first", "last")]
     )
 
-    def quantile(i: int):
-        low = F.max(F.when((F.col("i") == i) & (F.col("side") == 0), F.col("v")))
-        high = F.max(F.when((F.col("i") == i) & (F.col("side") == 1), F.col("v")))
-        frac = F.max(F.when(F.col("i") == i, F.col("frac")))
-        return (low + (high - low) * frac).alias(f"q{i}")
+    def statistic(rank: str) -> Column:
+        """The value of that rank; the neighbours of the bracket are known as well."""
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        return (
+            F.when(F.col(rank) == F.col("below") - 1, F.col("prev")).when(F.col(rank) == F.col("upto"), F.col("next"))
+            .when((F.col(rank) < F.col("below")) | (F.col(rank) > F.col("upto")), missed).otherwise(F.col(f"v_{rank}"))
+        )
 
-    return hits.groupBy(*keys, "column").agg(*[quantile(i) for i in range(len(probs))])
+    solved = found.withColumns({"lo": statistic("first"), "hi": statistic("last")}).withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return solved.groupBy(*keys, F.get(names, F.col("i")).alias("column")).agg(
+        *[F.max(F.when(F.col("j") == j, F.col("q"))).alias(f"q{j}") for j in range(len(probs))]
+    )
 
 
 def widen(stats: DataFrame, columns: Sequence[str], values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -96,19 +115,12 @@ def winsorize(
 
 
 def group_median_fill(
-    df: DataFrame, columns: Sequence[str], group: str = "trade_date", keys: Sequence[str] = (), large: bool = False
+    df: DataFrame, columns: Sequence[str], group: str = "trade_date", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """NULL to the median of the date, else of the whole (or of the chunk), else 0.
-
-    A date holds one row per listed symbol; ``large`` takes the bucket method for
-    dates too, where a cross-section outgrows a task.
-    """
+    """NULL to the median of the date, else of the whole (or of the chunk), else 0."""
     whole = widen(exact_quantiles(df, columns, (0.5,), keys), columns, ("q0",), keys)
-    if large:
-        by_date = widen(exact_quantiles(df, columns, (0.5,), [*keys, group]), columns, ("q0",), [*keys, group])
-        by_date = by_date.select(*keys, group, *[F.col(f"{c}__q0").alias(f"{c}__d") for c in columns])
-    else:
-        by_date = df.groupBy(*keys, group).agg(*[F.median(c).alias(f"{c}__d") for c in columns])
+    by_date = widen(exact_quantiles(df, columns, (0.5,), [*keys, group]), columns, ("q0",), [*keys, group])
+    by_date = by_date.select(*keys, group, *[F.col(f"{c}__q0").alias(f"{c}__d") for c in columns])
     work = attach(df.join(by_date, [*keys, group], "left"), whole, keys)
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__d"), F.col(f"{c}__q0"), F.lit(0.0)) for c in columns}
     return work.withColumns(filled).drop(*[f"{c}__{s}" for c in columns for s in ("d", "q0")])

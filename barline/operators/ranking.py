@@ -8,54 +8,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.columns import div, pct_rank_avg
+from barline.sources.writers import staged
 
 
-def magnitude_bucket(x: Column, per_octave: int = 64) -> Column:
-    """Integer that never falls as ``x`` grows: sign and log2 step of the value.
+def in_ranges(cells: DataFrame, columns: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``cells`` in the order of ``columns`` over range partitions, with the number of each row's partition as ``__b``.
 
-    Any such bucket gives exact ranks and quantiles; a fine one keeps buckets small.
+    The bounds are drawn from the values themselves, so no value pattern crowds a partition; equal values share one.
+    The rows are staged: the numbers hold for everything that reads them.
     """
-    step = F.floor(F.log2(F.abs(x)) * per_octave) + F.lit(1100 * per_octave)
-    return F.when(x == 0, F.lit(0).cast("long")).otherwise(F.signum(x).cast("long") * step)
+    n = parts or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(cells.repartitionByRange(n, *[F.col(c) for c in columns]).withColumn("__b", F.spark_partition_id()))
 
 
-def fine_buckets(cells: DataFrame, value: str, keys: Sequence[str], parts: int = 64, levels: int = 2) -> DataFrame:
-    """Adds ``__b``, which never falls as ``value`` grows within a group of ``keys``.
+def below(cells: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    """Per group and partition, how many rows lower partitions hold (``__below``) and the group in all (``__total``).
 
-    Starts from magnitudes and cuts every bucket ``levels`` times into ``parts`` equal steps between
-    its own least and largest value, so values that crowd in a narrow range are spread as well.
+    One row for each group and partition that it touches: groups lie one behind the other, so there are at most as
+    many rows as groups and partitions together.
     """
-    keys = list(keys)
-    out = cells.withColumn("__b", magnitude_bucket(F.col(value)))
-    for _ in range(levels):
-        edges = out.groupBy(*keys, "__b").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-        share = div(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-        step = F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0)).cast("long")
-        out = out.join(edges, [*keys, "__b"]).withColumn("__b", F.col("__b") * parts + step).drop("__lo", "__hi")
-    return out
+    group = Window.partitionBy(*keys)
+    lower = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.groupBy(*keys, "__b").agg(F.sum(n).alias("__bn")).select(
+        *keys, "__b", F.coalesce(F.sum("__bn").over(lower), F.lit(0)).alias("__below"), F.sum("__bn").over(group).alias("__total"),
+    )
 
 
-def pct_rank_large(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
+def pct_rank_large(df: DataFrame, value: str, keys: Sequence[str], out: str, parts: int | None = None) -> DataFrame:
     """Same result as :func:`pct_rank_avg` for groups of any size.
 
-    Ties collapse in a partial aggregation.  Ranks are counted inside value
-    buckets and shifted by the count of all lower buckets, so a group is spread
-    over as many tasks as it has buckets.
+    Ties collapse in a partial aggregation.  The distinct values are sorted over range partitions; ranks are counted
+    inside a partition and shifted by the count of all lower ones, so a group spreads over as many tasks as it fills.
     """
     keys = list(keys)
     known = F.col(value).isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
-    cells = fine_buckets(df.where(known).groupBy(*keys, value).agg(F.count("*").alias("__n")), value, keys)
-    group = Window.partitionBy(*keys)
-    lower = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = cells.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn")).select(
-        *keys, "__b",
-        F.coalesce(F.sum("__bn").over(lower), F.lit(0)).alias("__below"),
-        F.sum("__bn").over(group).alias("__total"),
-    )
+    cells = in_ranges(df.where(known).groupBy(*keys, value).agg(F.count("*").alias("__n")), [*keys, value], parts)
     inside = Window.partitionBy(*keys, "__b").orderBy(value)
-    ranks = cells.join(buckets, [*keys, "__b"]).select(
+    ranks = cells.join(below(cells, keys, "__n"), [*keys, "__b"]).select(
         *keys, value,
         div(
             F.col("__below") + F.sum("__n").over(inside) - (F.col("__n") - 1) / F.lit(2.0), F.col("__total")
@@ -92,37 +83,33 @@ def with_industry_ranks(df: DataFrame) -> DataFrame:
     return work.drop("__one", "__m5", "__m20", "__r5", "__r20")
 
 
-def dense_ids(values: DataFrame, column: str, out: str, prefix: int = 4) -> DataFrame:
-    """Ids from 1 in lexical order for the distinct non-blank values of ``column``.
+def dense_id_table(values: DataFrame, columns: Sequence[str], parts: int | None = None) -> DataFrame:
+    """column, value and id: ids from 1 in lexical order for the distinct non-blank values of each column, in one pass."""
+    listed = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(F.col(c)).alias("value")) for c in columns])).alias("v")
+    distinct = values.select(listed).select("v.column", "v.value").where(F.col("value") != "").distinct()
+    cells = in_ranges(distinct.withColumn("__n", F.lit(1)), ["column", "value"], parts)
+    place = F.row_number().over(Window.partitionBy("column", "__b").orderBy("value"))
+    return cells.join(below(cells, ["column"], "__n"), ["column", "__b"]).select("column", "value", (F.col("__below") + place).cast("int").alias("id"))
 
-    Numbered inside prefixes and shifted by the count of all lower prefixes: only
-    the list of prefixes goes through one task.
-    """
-    head = F.substring(column, 1, prefix)
-    distinct = (
-        values.select(F.trim(F.col(column)).alias(column)).where(F.col(column) != "").distinct().withColumn("__p", head)
-    )
-    shift = distinct.groupBy("__p").agg(F.count("*").alias("__n")).select(
-        "__p",
-        F.coalesce(
-            F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("__below"),
-    )
-    rn = F.row_number().over(Window.partitionBy("__p").orderBy(column))
-    return distinct.join(shift, "__p").select(column, (F.col("__below") + rn).cast("int").alias(out))
+
+def dense_ids(values: DataFrame, column: str, out: str) -> DataFrame:
+    """Ids from 1 in lexical order for the distinct non-blank values of ``column``."""
+    return dense_id_table(values, [column]).select(F.col("value").alias(column), F.col("id").alias(out))
 
 
 def entity_ids(securities: DataFrame) -> DataFrame:
     """symbol_id, industry_id and board_id; blank or unknown is 0."""
-    one = securities.groupBy("symbol").agg(
+    one = staged(securities.groupBy("symbol").agg(
         F.first("industry", ignorenulls=False).alias("industry"), F.first("board", ignorenulls=False).alias("board")
-    )
+    ))
+    names = {"symbol": "symbol_id", "industry": "industry_id", "board": "board_id"}
+    ids = staged(dense_id_table(one, list(names)))
     out = one
-    for column, name in (("symbol", "symbol_id"), ("industry", "industry_id"), ("board", "board_id")):
-        out = out.join(dense_ids(securities, column, name), column, "left")
+    for column, name in names.items():
+        own = ids.where(F.col("column") == column).select(F.col("value").alias(column), F.col("id").alias(name))
+        out = out.join(own, column, "left")
     return out.select(
-        "symbol", "industry", "board", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("symbol_id", "industry_id", "board_id")]
+        "symbol", "industry", "board", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names.values()]
     )
 
 

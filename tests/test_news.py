@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from barline.functions import vectors
-from barline.operators import aggregates, joins, ranking
+from barline.operators import aggregates, joins, quantiles, ranking
 from barline.sources import news
 
 DAY = dt.date(2024, 1, 9)
@@ -51,9 +52,50 @@ def test_near_constant_counts_exactly(spark):
     assert got == {"b": 3, "c": 1}
 
 
-def test_crowded_values_are_spread(spark):
-    df = spark.range(20000).select(F.lit(1).alias("g"), (100 + F.col("id") / 20000).alias("x"))
-    sizes = [r["count"] for r in ranking.fine_buckets(df, "x", ["g"]).groupBy("__b").count().collect()]
-    assert max(sizes) < 0.01 * 20000 and sum(sizes) == 20000
-    ranked = ranking.pct_rank_large(df.withColumn("k", F.col("x") * 2), "x", ["g"], "r").orderBy("x").select("r").collect()
+def test_one_date_spreads_over_all_partitions(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.lit(1).alias("g"), (100 + F.col("id") / n).alias("x"))
+    cells = ranking.in_ranges(df, ["g", "x"], 20)
+    sizes = [r["count"] for r in cells.groupBy("__b").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 0.15 * n and sum(sizes) == n
+    small = df.where(F.col("x") < 100.02)
+    ranked = ranking.pct_rank_large(small.withColumn("k", F.col("x") * 2), "x", ["g"], "r", 7).orderBy("x").select("r").collect()
     assert all(abs(r["r"] - (i + 1) / 20000) < 1e-9 for i, r in enumerate(ranked))
+
+
+def test_ids_with_one_common_prefix_spread_and_stay_lexical(spark):
+    values = [f"prefix-{i:05d}" for i in range(3000)] + [" prefix-00007 ", "", None, "é", "Z"]
+    df = spark.createDataFrame([(v, "b") for v in values], "symbol string, board string")
+    got = {r["symbol"]: r["id"] for r in ranking.dense_ids(df, "symbol", "id").collect()}
+    assert got == {v: i + 1 for i, v in enumerate(sorted({v.strip() for v in values if v and v.strip()}, key=lambda v: v.encode()))}
+    both = ranking.dense_id_table(df, ["symbol", "board"], 8)
+    assert both.where("column = 'board'").collect()[0]["id"] == 1 and both.count() == len(got) + 1
+
+
+def test_quantiles_of_crowded_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    crowded = 100 + rng.random(60_000)
+    columns = {"a": crowded, "b": np.where(rng.random(60_000) < 0.4, 0.0, crowded), "c": rng.normal(0, 1e-9, 60_000), "d": np.round(crowded, 2)}
+    rows = [(i % 3, *[float(x) for x in xs], None) for i, xs in enumerate(zip(*columns.values()))] + [(9, 1.0, None, 2.0, None, None)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double, d double, e double")
+    probs = (0.0, 0.005, 0.25, 0.5, 0.995, 1.0)
+    got = {r["column"]: r for r in quantiles.exact_quantiles(df, ["a", "b", "c", "d", "e"], probs).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    for name in got:
+        own = [r[1 + "abcd".index(name)] for r in rows if r[1 + "abcd".index(name)] is not None]
+        assert np.allclose([got[name][f"q{j}"] for j in range(6)], np.quantile(own, probs), rtol=0, atol=1e-12)
+    for r in quantiles.exact_quantiles(df, ["a", "b"], (0.5, 0.01), ["g"]).collect():
+        own = [x[1 if r["column"] == "a" else 2] for x in rows if x[0] == r["g"] and x[1 if r["column"] == "a" else 2] is not None]
+        assert np.allclose([r["q0"], r["q1"]], np.quantile(own, (0.5, 0.01)), rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 99, 100, 101, 2001])
+def test_quantiles_of_few_values(spark, n):
+    import numpy as np
+
+    values = np.random.default_rng(n).integers(0, 3 * n, n).astype(float)
+    probs = (0.005, 0.25, 1 / 3, 0.5, 0.75, 0.995)
+    got = quantiles.exact_quantiles(spark.createDataFrame([(float(v),) for v in values], "v double"), ["v"], probs).first()
+    assert np.allclose([got[f"q{j}"] for j in range(6)], np.quantile(values, probs), rtol=0, atol=1e-12)

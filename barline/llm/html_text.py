@@ -6,7 +6,7 @@ when the operator is built, decides which blocks are the article.
 
 Cases: a NULL or empty page gives an empty text; a page without markup is one block; unclosed and
 stray tags are tolerated (only raw text such as a script left open reaches to the page's end); scripts, styles, comments and hidden parts never make blocks; character
-references are decoded, white space (no-break spaces too) inside a block becomes one space, and empty
+references are decoded within each piece of text (never across a tag), white space (no-break spaces too) inside a block becomes one space, and empty
 blocks vanish; repeated rows are extracted again; other columns are ignored; long pages are read whole.
 """
 
@@ -46,6 +46,23 @@ HINTS = frozenset(
     "subscription signup sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist reply replies respond disqus "
     "discussion share sharing social related recommended recommendations widget pagination pager login search toolbar skip print".split()
 )
+#: Hints at controls and lists of links, which may also stand on a wrapper or a part of an article, and elements likewise.
+SOFT = frozenset("print skip toolbar share sharing social related recommended side rail login search header masthead topbar navigation nav navbar menu".split())
+SOFT_TAGS = frozenset({"form", "fieldset"})
+PART_WORDS, PART_LINKS = 40, 0.1
+#: Elements that an opening tag ends, and the containers beyond which it does not look (fixed values).
+_CELLS, _ROWS, _TABLE = frozenset({"td", "th"}), frozenset({"td", "th", "tr"}), frozenset({"table"})
+ENDED_BY = {
+    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu", "dir"})),
+    "dd": (frozenset({"dd", "dt"}), frozenset({"dl"})),
+    "dt": (frozenset({"dd", "dt"}), frozenset({"dl"})),
+    "td": (_CELLS, _TABLE | {"tr"}),
+    "th": (_CELLS, _TABLE | {"tr"}),
+    "tr": (_ROWS, _TABLE | {"tbody", "thead", "tfoot"}),
+    "tbody": (_ROWS | {"tbody", "thead", "tfoot"}, _TABLE),
+    "thead": (_ROWS | {"tbody", "thead", "tfoot"}, _TABLE),
+    "tfoot": (_ROWS | {"tbody", "thead", "tfoot"}, _TABLE),
+}
 #: Page frames whose own class or id says what else is on the page, and first and last pieces of names that do so.
 FRAMES = frozenset({"html", "body", "main", "article"})
 BEFORE, AFTER = frozenset("has no with without".split()), frozenset("open closed".split())
@@ -122,10 +139,36 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     furniture: bool = False
+    soft: tuple[int, ...] = ()
     content: bool = False
     heading: bool = False
 
 
+@dataclass
+class Place:
+    """What an element opens: furniture for certain, furniture by its looks, article content, a hidden part."""
+
+    furniture: bool = False
+    soft: bool = False
+    part: bool = False
+    content: bool = False
+    hidden: bool = False
+
+    def tells(self) -> bool:
+        return self.furniture or self.soft or self.content or self.hidden
+
+
+@dataclass
+class Open:
+    """An open element with all that the elements around it say."""
+
+    tag: str = ""
+    furniture: bool = False
+    soft: tuple[int, ...] = ()
+    content: bool = False
+    hidden: bool = False
+
+
 def _hinting(value: str) -> set[str]:
     """Pieces of the names in a class or id, without names that tell of another part (has-sidebar, comments-open)."""
     names = [[p for p in re.split(r"[^a-z0-9]+", name) if p] for name in value.split()]
@@ -148,31 +191,51 @@ def _pairs(page: str, tag: str) -> dict[int, int]:
     return ends
 
 
-def _place(tag: str, attributes: str, nested: bool = False) -> tuple[bool, bool, bool]:
-    """Whether the element opens page furniture, article content, or a hidden part."""
-    furniture, content, hidden = tag in FURNITURE, tag in CONTENT, False
+def _place(tag: str, attributes: str, nested: bool = False) -> Place:
+    """How an element is judged by its own name and attributes.
+
+    ``part`` tells that the only hints are pieces of longer names (related-work).
+    """
+    place = Place(furniture=tag in FURNITURE - SOFT_TAGS, soft=tag in SOFT_TAGS, content=tag in CONTENT)
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
                 found = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value)))
-                furniture |= (tag not in FRAMES or nested) and not _hinting(value).isdisjoint(HINTS)
-                content |= tag in ("div", "section") and not found.isdisjoint(CONTENT_HINTS)
+                hints = _hinting(value) & HINTS if tag not in FRAMES or nested else set()
+                if hints <= SOFT:
+                    place.part |= bool(hints) and hints.isdisjoint(value.split())
+                    place.soft |= bool(hints)
+                else:
+                    place.furniture = True
+                place.content |= tag in ("div", "section") and not found.isdisjoint(CONTENT_HINTS)
             elif name == "role":
-                furniture |= value in ROLES
-                content |= value in ("main", "article")
+                place.furniture |= value in ROLES
+                place.content |= value in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                hidden = True
-    return furniture, content and not furniture, hidden
+                place.hidden = True
+    place.content &= not place.furniture
+    return place
+
+
+def _implied_ends(stack: list[Open], tag: str) -> None:
+    """Take off the elements that an opening ``tag`` ends: a paragraph by any block, items and cells by the next one."""
+    for ended, walls in ((frozenset({"p"}), BREAKS - {"p"}), ENDED_BY.get(tag, (frozenset(), BREAKS))):
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i].tag in ended:
+                del stack[i:]
+            elif stack[i].tag in walls:
+                break
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order."""
+def blocks_of(page: str) -> tuple[list[Block], list[Place]]:
+    """Text blocks in page order, and the elements that are furniture by their looks only."""
     found: list[Block] = []
     block = Block()
-    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: name, furniture, content, hidden, each with those above
+    stack: list[Open] = []
+    softs: list[Place] = []
     at, links, heading = 0, 0, False
-    state = (False, False, False)
+    state = Open()
 
     def close() -> None:
         nonlocal block
@@ -181,9 +244,10 @@ def blocks_of(page: str) -> list[Block]:
         block = Block()
 
     def put(text: str) -> None:
-        if text and not state[2]:
+        if text and not state.hidden:
+            text = html.unescape(text)
             if not block.parts:
-                block.furniture, block.content, block.heading = state[0], state[1], heading
+                block.furniture, block.soft, block.content, block.heading = state.furniture, state.soft, state.content, heading
             block.parts.append(text)
             if links:
                 block.linked.append(text)
@@ -225,39 +289,76 @@ def blocks_of(page: str) -> list[Block]:
                 heading = not closing
             elif tag == "p":
                 heading = False
+            if not closing:
+                _implied_ends(stack, tag)
+                state = stack[-1] if stack else Open()
         if tag in VOID or tag in ("a", "head"):
             continue
-        opens = not closing and (tag in BREAKS and tag not in ("p", "li") and tag not in HEADINGS or bool(match[3]) and any(_place(tag, match[3])))
-        if not opens and not (closing and any(s[0] == tag for s in stack)):
-            continue
+        opens = not closing and (tag in BREAKS and tag not in ("p", "li") and tag not in HEADINGS or bool(match[3]) and _place(tag, match[3]).tells())
         if closing:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     del stack[i:]
                     break
-        elif not match[3].rstrip().endswith("/"):
+        elif opens and not match[3].rstrip().endswith("/"):
             # an article inside an article may be a reader's comment, so its hints count
-            furniture, content, hidden = _place(tag, match[3], tag == "article" and any(s[0] == tag for s in stack))
-            above = stack[-1] if stack else ("", False, False, False)
+            place = _place(tag, match[3], tag == "article" and any(s.tag == tag for s in stack))
+            above = stack[-1] if stack else Open()
             # a header inside the article carries its title, elsewhere it is the page's
-            if tag == "header" and not above[2]:
-                furniture = True
-            stack.append((tag, above[1] or furniture, above[2] or content, above[3] or hidden))
-        state = stack[-1][1:] if stack else (False, False, False)
+            furniture = place.furniture or tag == "header" and not above.content
+            soft = above.soft
+            if place.soft and not furniture:
+                place.part &= above.content
+                soft = (*soft, len(softs))
+                softs.append(place)
+            stack.append(Open(tag, above.furniture or furniture, soft, above.content or place.content and not furniture, above.hidden or place.hidden))
+        state = stack[-1] if stack else Open()
     put(page[at:])
     close()
-    return found
+    return found, softs
+
+
+def _plain_words(rows: list[tuple[int, float, Block]]) -> float:
+    return sum(words * (1.0 - links) for words, links, _ in rows)
+
+
+def settle_soft(rows: list[tuple[int, float, Block]], softs: list[Place]) -> None:
+    """Mark the blocks of soft elements as furniture, unless what an element holds speaks for an article.  Outer elements go first."""
+    inside: list[list[int]] = [[] for _ in softs]
+    for i, (_, _, block) in enumerate(rows):
+        for number in block.soft:
+            inside[number].append(i)
+    settled: set[int] = set()
+    for number, place in enumerate(softs):
+        own = [rows[i] for i in inside[number] if not rows[i][2].furniture]
+        if not own:
+            continue
+        members = set(inside[number])
+        free = [r for i, r in enumerate(rows) if i not in members and not r[2].furniture and not r[2].soft]
+        body = [r for r in own if r[2].content and settled.issuperset(n for n in r[2].soft if n < number)]
+        words, plain = sum(r[0] for r in own), _plain_words(own)
+        if place.part and plain >= PART_WORDS and plain >= (1.0 - PART_LINKS) * words:
+            settled.add(number)
+        elif not place.part and not any(r[2].content for r in free):
+            anywhere = any(r[2].content for r in rows)
+            if _plain_words(body if anywhere else own) >= max(1.0 if anywhere else PART_WORDS, _plain_words(free)):
+                settled.add(number)
+    for _, _, block in rows:
+        block.furniture |= not settled.issuperset(block.soft)
 
 
 def main_text(page: str, tree: Node) -> str:
     texts, rows = [], []
-    for block in blocks_of(page):
-        text = " ".join(html.unescape("".join(block.parts)).split())
+    blocks, softs = blocks_of(page)
+    for block in blocks:
+        text = " ".join("".join(block.parts).split())
         if text:
             words = len(text.split(" "))
-            linked = len(html.unescape(" ".join(block.linked)).split())
+            linked = len(" ".join(block.linked).split())
             texts.append(text)
             rows.append((words, min(1.0, linked / words), block))
+    if softs:
+        settle_soft(rows, softs)
     anywhere = any(b.content and not b.furniture for _, _, b in rows)
     kept = []
     nothing = (0, 0.0, None)

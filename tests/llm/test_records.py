@@ -75,10 +75,35 @@ def test_main_text_of_a_page(spark):
     "<body class='page sidebar'><main id='print'>{}</main></body>",
     "<body><article class='post comments-open'>{}</article></body>",
     "<body><div class='content no-sidebar'>{}</div><div class='comments'><p>A reader</p></div></body>",
+    "<body><article><p class='ad'>Buy now{}</article></body>",
+    "<body><article><p class='ad'>Buy now<hr>{}</article></body>",
+    "<body><article><ul><li class='ad'>x<li>{}</ul></article></body>",
+    "<body><article><table><tr><td class='ad'>x<td>{}</table></article></body>",
+    "<body><article><dl><dt class='ad'>x<dd>{}</dl></article></body>",
+    "<body><form action='/'><nav><a href='/'>Home</a></nav><article>{}</article></form></body>",
+    "<body><form action='/'><nav><a href='/'>Home</a></nav><div>{0}</div><div>{0}</div></form></body>",
+    "<body><div class='print'><article>{}</article></div></body>",
+    "<body><div class='skip-nav-offset'><article>{}</article></div></body>",
+    "<body><article>{0}<section class='related-work'>{0}</section></article></body>",
+    "<body><article>{}<div class='related'><p>Read more of this</p></div></article></body>",
+    "<body><article>{}</article><form><p>Write to us if you have something to say about it</p></form></body>",
+    "<body><article>{}</article><div class='comments'><article class='comment'>" + "A reader writes this. " * 60 + "</article></div></body>",
 ])
 def test_main_text_of_legal_pages(page):
     text = " ".join(["some words of an article"] * 8)
-    assert html_text.main_text(page.format(f"<p>{text}</p>"), html_text.fitted()) == text
+    got = html_text.main_text(page.format(f"<p>{text}</p>"), html_text.fitted())
+    assert got == "\n".join([text] * (2 if "{0}" in page else 1))
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>a &am<b>p;</b> b &lt;i&gt; c</p></article>", "a &amp; b <i> c"),
+    ("<article><p>&amp;amp; one</p><p>two&#160;&#x41;</p></article>", "&amp; one\ntwo A"),
+    ("<body><div class='cookie-banner'><div class='content'>We use cookies here.</div></div></body>", ""),
+    ("<body><div class='ad'><div class='content'>Buy</div></div><article><p>Text of it.</p></article></body>", "Text of it."),
+    ("<article><p>One.</p><p class='share'><a href=x>Share</a><a href=y>Send</a></article>", "One."),
+])
+def test_main_text_of_small_pages(page, want):
+    assert html_text.main_text(page, html_text.fitted()) == want
 
 
 def test_tree_fits_its_table():

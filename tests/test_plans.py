@@ -47,7 +47,7 @@ def test_date_side_is_broadcast(spark, bars):
 def test_every_query_has_a_name_and_most_have_sql():
     queries, oracle = catalog.queries(), catalog.oracle_sql()
     assert len(queries) >= 200 and set(oracle) <= set(queries)
-    assert set(queries) - set(oracle) == {"diversified_selection", "fit_horizon_models"}
+    assert set(queries) - set(oracle) == {"diversified_selection"}
 
 
 def test_oracle_on_the_small_tables():

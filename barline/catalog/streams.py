@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from barline.catalog.registry import query
@@ -14,14 +15,29 @@ from barline.sources.sample_tables import weekly_bars
 from barline.streaming import jobs
 
 
+FILES = 4
+#: The parts of a table as they arrive: in order, or late ones last and one of them twice.
+ARRIVAL, MIXED, TWICE = (0, 1, 2, 3), (2, 0, 3, 1), (2, 0, 3, 1, 2)
+
+
 def finish(started):
     started.awaitTermination()
 
 
+def in_files(t, name: str, order: Column, turns: tuple[int, ...]):
+    """The whole table as a stream of files, one a batch: cut at quantiles of ``order``, a part for each number of ``turns``."""
+    rows, folder = t.raw(name), writers.work_folder(t.spark, "files")
+    cuts = rows.agg(F.percentile_approx(order, [i / FILES for i in range(1, FILES)], 100)).first()[0] or []
+    part = sum((F.when(order > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for turn in turns:
+        rows.where(part == turn).coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query("symbol trade_date close volume", f"{BROKEN} SELECT symbol, trade_date, close, volume FROM num WHERE clean AND rn = 1")
 def stream_bars_quarantine(t):
     folder = writers.work_folder(t.spark, "intake")
-    finish(jobs.bars_intake(t.stream("lineitem"), folder, broken_bars))
+    finish(jobs.bars_intake(in_files(t, "lineitem", F.col("l_orderkey"), ARRIVAL), folder, broken_bars))
     return jobs.current_bars(t.spark, folder)
 
 
@@ -33,12 +49,12 @@ def stream_bad_records(t):
     from barline.streaming.tables import all_batches
 
     folder = writers.work_folder(t.spark, "intake")
-    finish(jobs.bars_intake(t.stream("lineitem"), folder, broken_bars))
+    finish(jobs.bars_intake(in_files(t, "lineitem", F.col("l_orderkey"), ARRIVAL), folder, broken_bars))
     return all_batches(t.spark, f"{folder}/bad_records").groupBy("business_key", "error_message").agg(F.count("*").alias("n"))
 
 
-def news_stream(t):
-    return t.stream("events").select(
+def news_stream(t, turns: tuple[int, ...]):
+    return in_files(t, "events", F.col("ts").cast("timestamp").cast("long"), turns).select(
         F.col("event_id").cast("string").alias("news_id"), F.col("ts").cast("timestamp").alias("publish_time"), F.col("event_type").alias("title"),
         F.col("props").alias("content"))
 
@@ -46,7 +62,7 @@ def news_stream(t):
 @query("news_id title", "SELECT CAST(event_id AS VARCHAR) AS news_id, event_type AS title FROM events")
 def stream_dedupe_news(t):
     folder = writers.work_folder(t.spark, "news")
-    twice = news_stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    twice = news_stream(t, TWICE).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     finish(jobs.dedupe_news(twice, folder))
     return jobs.current_news(t.spark, folder)
 
@@ -58,7 +74,7 @@ def stream_dedupe_news(t):
     SELECT day, trade_date, CASE WHEN way = 'none' THEN 'neutral' ELSE way END AS event_direction, count(*) AS events FROM e GROUP BY 1, 2, 3""", "news_calendar")
 def stream_event_counts(t):
     folder = writers.work_folder(t.spark, "counts")
-    finish(jobs.event_counts(news_stream(t), t.news_calendar, folder, rules))
+    finish(jobs.event_counts(news_stream(t, MIXED), t.news_calendar, folder, rules))
     return jobs.current_counts(t.spark, folder).withColumn("day", F.to_date("day"))
 
 

@@ -3,13 +3,19 @@
 Each takes a streaming frame and a folder, and returns the started query.  The
 trigger defaults to everything that is there; pass ``processing_time`` for a
 standing job.
+
+No batch reads what all batches before it wrote: bars look up the months they touch,
+news and counts keep their keys in Spark's state store (RocksDB: on disk, change log
+in the query's folder, rebuilt elsewhere when an executor is lost), and the late log
+reads one row of the batch before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -18,7 +24,11 @@ from barline.operators.events import rule_event
 from barline.operators.rows import validate_bars
 from barline.plans.samples import returns_to_refresh
 from barline.sources.writers import bad_records
-from barline.streaming.tables import all_batches, current, earlier_batches, write_batch
+from barline.streaming.tables import all_batches, current, earlier_batches, nothing_written, previous_batch, write_batch
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _start(writer: DataStreamWriter, folder: str, processing_time: str | None) -> StreamingQuery:
@@ -27,6 +37,19 @@ def _start(writer: DataStreamWriter, folder: str, processing_time: str | None) -
     return writer.start()
 
 
+def _start_keyed(spark: SparkSession, writer: DataStreamWriter, folder: str, processing_time: str | None) -> StreamingQuery:
+    """Start with the state on disk; a query takes the setting as it is at its start, so the session's own is put back."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return _start(writer, folder, processing_time)
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+MONTH = "bar_month"
+
+
 def bars_intake(
     stream: DataFrame, folder: str, prepare: Callable[[DataFrame], DataFrame] | None = None, order: str = "seq", processing_time: str | None = None
 ) -> StreamingQuery:
@@ -41,14 +64,18 @@ def bars_intake(
         rows.persist()
         valid, bad = validate_bars(rows, order)
         flat = bad.withColumn("error_text", F.array_join("reasons", ","))
+        valid = valid.withColumn(MONTH, F.date_format("trade_date", "yyyyMM"))
         known = earlier_batches(batch.sparkSession, f"{folder}/bars", batch_id)
         if known is not None:
-            # only the keys of earlier bars are read, and only those of this batch's symbols and dates go on
-            seen = known.select("symbol", "trade_date").distinct()
+            # a month is a folder, so the lookup reads the keys of this batch's months only
+            months = [r[0] for r in rows.select(F.date_format("trade_date", "yyyyMM")).distinct().collect()]
+            seen = known.where(F.col(MONTH).cast("string").isin(months)).select("symbol", "trade_date").distinct()
             again = valid.join(seen, ["symbol", "trade_date"], "left_semi").withColumn("error_text", F.lit("repeated_key"))
-            flat = flat.unionByName(again, allowMissingColumns=True)
+            flat = flat.unionByName(again.drop(MONTH), allowMissingColumns=True)
             valid = valid.join(seen, ["symbol", "trade_date"], "left_anti")
-        write_batch(valid.drop(order), f"{folder}/bars", batch_id)
+        write_batch(valid.drop(order), f"{folder}/bars", batch_id, [MONTH])
+        # a batch without valid bars has no part; this names the columns all the same
+        write_batch(valid.drop(order).limit(0), f"{folder}/columns", 0)
         write_batch(bad_records(flat, "daily_bars", F.col("error_text")), f"{folder}/bad_records", batch_id)
         rows.unpersist()
 
@@ -56,80 +83,80 @@ def bars_intake(
 
 
 def current_bars(spark, folder: str) -> DataFrame:
-    return current(spark, f"{folder}/bars", ("symbol", "trade_date"))
-
-
-def _late(rows: DataFrame, known: DataFrame | None, delay: str) -> DataFrame:
-    """Rows more than ``delay`` behind the newest publication of the batches before."""
-    if known is None:
-        return rows.limit(0)
-    newest = known.agg(F.max("newest").alias("__newest"))
-    return rows.crossJoin(F.broadcast(newest)).where(F.col("publish_time") < F.col("__newest") - F.expr(f"INTERVAL {delay}")).drop("__newest")
+    try:
+        return current(spark, f"{folder}/bars", ("symbol", "trade_date")).drop(MONTH)
+    except AnalysisException as missing:
+        if not nothing_written(missing):
+            raise
+        return current(spark, f"{folder}/columns", ("symbol", "trade_date")).drop(MONTH)
 
 
 def _log_late(rows: DataFrame, folder: str, batch_id: int, domain: str, delay: str) -> None:
-    """Late rows are noted in ``bad_records``; they count all the same."""
+    """Rows more than ``delay`` behind the newest publication of the batches before are noted in ``bad_records``; they count all the same."""
     spark = rows.sparkSession
-    late = _late(rows, earlier_batches(spark, f"{folder}/newest", batch_id), delay)
+    known = previous_batch(spark, f"{folder}/newest", batch_id)
+    newest = rows.agg(F.max("publish_time").alias("newest"))
+    late = rows.limit(0)
+    if known is not None:
+        before = known.agg(F.max("newest").alias("__newest"))
+        late = rows.crossJoin(F.broadcast(before)).where(F.col("publish_time") < F.col("__newest") - F.expr(f"INTERVAL {delay}")).drop("__newest")
+        newest = newest.unionByName(known).agg(F.max("newest").alias("newest"))
     write_batch(bad_records(late, domain, "late"), f"{folder}/bad_records", batch_id)
-    write_batch(rows.agg(F.max("publish_time").alias("newest")), f"{folder}/newest", batch_id)
+    write_batch(newest, f"{folder}/newest", batch_id)
 
 
-def dedupe_news(stream: DataFrame, folder: str, delay: str = "1 day", key: str = "news_id", processing_time: str | None = None) -> StreamingQuery:
-    """First arrival per id to ``news``, however late it is or its repeats are.
-
-    Ids are looked up in the stored table, so no state runs out.  Rows more than ``delay`` behind the newest
-    earlier publication are noted in ``bad_records`` as well.
-    """
+def late_log(stream: DataFrame, folder: str, domain: str, delay: str = "1 day", processing_time: str | None = None) -> StreamingQuery:
+    """Notes late rows of any stream with ``publish_time`` in ``bad_records``, as a query of its own beside a keyed one."""
 
-    def dedupe(batch: DataFrame, batch_id: int) -> None:
+    def note(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        once = batch.dropDuplicates([key])
-        known = earlier_batches(batch.sparkSession, f"{folder}/news", batch_id)
-        if known is not None:
-            seen = known.select(F.col(key).alias("__seen")).distinct()
-            once = once.join(seen, F.col(key).eqNullSafe(F.col("__seen")), "left_anti")
-        write_batch(once, f"{folder}/news", batch_id)
-        _log_late(batch, folder, batch_id, "news", delay)
+        _log_late(batch, folder, batch_id, domain, delay)
         batch.unpersist()
 
-    return _start(stream.writeStream.foreachBatch(dedupe), folder, processing_time)
+    return _start(stream.writeStream.foreachBatch(note), f"{folder}/late", processing_time)
+
+
+def dedupe_news(stream: DataFrame, folder: str, key: str = "news_id", processing_time: str | None = None) -> StreamingQuery:
+    """The earliest publication per id to ``news``, however late it or its repeats arrive.
+
+    The state holds one row per id.  A batch writes the rows of the ids it touches; of equal times the first row by its
+    other values stays, a known time goes before an unknown one, and rows without id count as one id.  So the table does
+    not hang on how the rows are dealt over files or on a batch that runs again.
+    """
+    rest = [c for c in stream.columns if c != key]
+    order = F.struct(F.col("publish_time").isNull(), "publish_time", *[F.col(c) for c in sorted(rest) if c != "publish_time"])
+    first = stream.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("r")).select(key, "r.*").select(*stream.columns)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, f"{folder}/news", batch_id)
+
+    return _start_keyed(stream.sparkSession, first.writeStream.outputMode("update").foreachBatch(keep), folder, processing_time)
 
 
-def current_news(spark, folder: str) -> DataFrame:
-    return all_batches(spark, f"{folder}/news").drop("batch")
+def current_news(spark, folder: str, key: str = "news_id") -> DataFrame:
+    return current(spark, f"{folder}/news", (key,))
 
 
 COUNT_KEYS = ("day", "trade_date", "event_direction")
 
 
 def event_counts(
-    stream: DataFrame, calendar: DataFrame, folder: str, extract: Callable[[Column, Column], Column] = rule_event, delay: str = "1 day",
-    processing_time: str | None = None,
+    stream: DataFrame, calendar: DataFrame, folder: str, extract: Callable[[Column, Column], Column] = rule_event, processing_time: str | None = None,
 ) -> StreamingQuery:
     """Events per day window, trade date and direction, kept up to date while they arrive.
 
-    The calendar side is static.  The counts of a batch are added to the stored ones of their keys, however late
-    the events are; changed counts go out per batch, and the newest count per key is the result.  Rows more than
-    ``delay`` behind the newest earlier publication are noted in ``bad_records`` as well.
+    The calendar side is static.  The state holds one count per key and takes events however late they are; a batch
+    writes the counts it changed, and the newest one per key is the result.
     """
     work = publication_to_trade_date(stream, "publish_time", calendar)
     work = work.withColumn("event_direction", extract(F.coalesce("title", F.lit("")), F.col("content"))["event_direction"])
+    counts = work.groupBy(F.window("publish_time", "1 day").alias("w"), "trade_date", "event_direction").agg(F.count("*").alias("events"))
+    counts = counts.select(F.col("w.start").alias("day"), "trade_date", "event_direction", "events")
 
-    def count(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        counts = batch.groupBy(F.window("publish_time", "1 day").alias("w"), "trade_date", "event_direction").agg(F.count("*").alias("events"))
-        counts = counts.select(F.col("w.start").alias("day"), "trade_date", "event_direction", "events")
-        known = earlier_batches(batch.sparkSession, f"{folder}/counts", batch_id)
-        if known is not None:
-            before = known.groupBy(*COUNT_KEYS).agg(F.max_by("events", F.col("batch").cast("long")).alias("events"))
-            both = counts.withColumn("__new", F.lit(True)).unionByName(before.withColumn("__new", F.lit(False)))
-            counts = both.groupBy(*COUNT_KEYS).agg(F.sum("events").alias("events"), F.max("__new").alias("__new")).where("__new").drop("__new")
-        write_batch(counts, f"{folder}/counts", batch_id)
-        _log_late(batch, folder, batch_id, "events", delay)
-        batch.unpersist()
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, f"{folder}/counts", batch_id)
 
-    return _start(work.writeStream.foreachBatch(count), folder, processing_time)
+    return _start_keyed(stream.sparkSession, counts.writeStream.outputMode("update").foreachBatch(keep), folder, processing_time)
 
 
 def current_counts(spark, folder: str) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def write_batch(rows: DataFrame, path: str, batch_id: int, parts: Sequence[str] = ()) -> None:
+    """``parts`` are columns whose values become folders inside the batch; their rows are brought together first, large parts in several tasks."""
+    rows = rows.hint("rebalance", *parts) if parts else rows
+    rows.write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/batch={batch_id}")
 
 
 def all_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +32,16 @@ def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     return newest.select(*keys, "r.*")
 
 
+def previous_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The rows that the batch right before wrote, None for the first one; no other folder is listed or read."""
+    return spark.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id else None
+
+
+def nothing_written(error: AnalysisException) -> bool:
+    """No folder yet, or only batches without rows in their parts."""
+    return any(kind in str(error) for kind in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"))
+
+
 def earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """Rows of the batches before ``batch_id``, None when there is none; a batch that runs again does not see itself."""
     if batch_id == 0:
@@ -37,7 +49,7 @@ def earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame
     try:
         log = all_batches(spark, path)
     except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+        if not nothing_written(missing):
             raise
         return None
     return log.where(F.col("batch").cast("long") < batch_id)

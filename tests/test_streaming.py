@@ -49,6 +49,20 @@ def test_intake_splits_rows(spark, tmp_path):
     assert tables.all_batches(spark, f"{out}/bad_records").first()["business_key"] == "000002.SZ"
 
 
+def test_batches_without_valid_bars(spark, tmp_path):
+    day = dt.date(2024, 1, 2)
+    kind = "seq long, symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double"
+    for seq in (1, 2):
+        spark.createDataFrame([(seq, "000001", day, 10.0, 8.0, 9.0, 11.0, 5.0, 50.0)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for files in (1, 2):
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
+        out = str(tmp_path / f"out{files}")
+        jobs.bars_intake(stream, out).awaitTermination()
+        bars = jobs.current_bars(spark, out)
+        assert bars.count() == 0 and {"symbol", "trade_date", "close"} <= set(bars.columns) and jobs.MONTH not in bars.columns
+        assert tables.all_batches(spark, f"{out}/bad_records").count() == 2
+
+
 def test_repeats_in_later_batches_are_quarantined(spark, tmp_path):
     day = dt.date(2024, 1, 2)
     kind = "seq long, symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double"
@@ -80,8 +94,43 @@ def test_late_files_lose_no_news_and_no_counts(spark, tmp_path):
     jobs.event_counts(files(), calendar, str(tmp_path / "counts")).awaitTermination()
     counts = jobs.current_counts(spark, str(tmp_path / "counts")).groupBy(F.dayofmonth("trade_date")).agg(F.sum("events")).collect()
     assert {r[0]: r[1] for r in counts} == {20: 4, 25: 4, 3: 4, 1: 4}
-    for folder in ("news", "counts"):
-        assert tables.all_batches(spark, str(tmp_path / folder / "bad_records")).where("error_message = 'late'").count() == 8
+    jobs.late_log(files(), str(tmp_path / "log"), "news").awaitTermination()
+    assert tables.all_batches(spark, str(tmp_path / "log" / "bad_records")).where("error_message = 'late'").count() == 8
+    # the repeated id keeps its earliest publication, not the one that came first
+    kept = {r["news_id"]: r["publish_time"] for r in jobs.current_news(spark, str(tmp_path / "news")).collect()}
+    assert kept["d20-0"] == dt.datetime(2024, 1, 1, 9)
+
+
+def test_batches_do_not_read_the_whole_past(spark, tmp_path):
+    """Fifty one-row files: the bars lookup lists its month only, and the state of news has one row per id."""
+    kind = "news_id string, publish_time timestamp, title string, content string"
+    start = dt.datetime(2024, 1, 1)
+    for i in range(50):
+        rows = [(f"n{i}", start + dt.timedelta(days=i), "t", "c"), ("again", start + dt.timedelta(days=60 - i), str(i), "c")]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    before = spark.conf.get(jobs.STATE_STORE)
+    query = jobs.dedupe_news(files, str(tmp_path / "news"))
+    query.awaitTermination()
+    done = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(done) == 50 and all(p["numInputRows"] == 2 for p in done)
+    # a batch updates the rows it touches and no others
+    assert all(p["stateOperators"][0]["numRowsUpdated"] == 2 for p in done) and done[-1]["stateOperators"][0]["numRowsTotal"] == 51
+    assert tables.all_batches(spark, str(tmp_path / "news/news")).count() == 100
+    assert {r["news_id"]: r["title"] for r in jobs.current_news(spark, str(tmp_path / "news")).collect()}["again"] == "49"
+    assert any("rocksdb" in name.lower() for name in done[-1]["stateOperators"][0]["customMetrics"])
+    assert spark.conf.get(jobs.STATE_STORE) == before
+
+
+def test_bars_lookup_reads_the_touched_months(spark, tmp_path):
+    day = dt.date(2024, 1, 15)
+    for i in range(4):
+        rows = spark.createDataFrame([("000001.SZ", day + dt.timedelta(days=30 * i))], "symbol string, trade_date date")
+        tables.write_batch(rows.withColumn(jobs.MONTH, F.date_format("trade_date", "yyyyMM")), str(tmp_path / "bars"), i, [jobs.MONTH])
+    known = tables.earlier_batches(spark, str(tmp_path / "bars"), 4).where(F.col(jobs.MONTH).cast("string").isin(["202402"]))
+    assert known.count() == 1
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and jobs.MONTH in plan[plan.index("PartitionFilters"):].split("\n")[0]
 
 
 def test_compacted_table_serves_a_running_stream(spark, tmp_path):

@@ -146,30 +146,49 @@ def training_samples(t):
     return samples.training_samples(t.bars, t.securities, t.index_bars, t.sector_daily, t.financials)
 
 
-FULL = f"""
-    {TRAINING_PARTS}, stored AS (SELECT * REPLACE (beta_120 + 1 AS beta_120, volatility_120 * 2 AS volatility_120) FROM live), {finalize_sql('stored', 'fin')},
+#: Neighbour lists, and event vectors of all dates but Wednesdays.
+SIDES = f"""
     nb AS (WITH {SIMILARITY}, {IDS}, j AS (SELECT sim.*, coalesce(ids.symbol_id, 0) AS nid FROM sim LEFT JOIN ids ON ids.symbol = sim.neighbor_symbol)
         SELECT symbol, list(nid ORDER BY sim_rank) AS neighbor_symbol_ids, list(sim_score ORDER BY sim_rank) AS neighbor_scores FROM j GROUP BY symbol),
-    ev AS (SELECT trade_date, CAST(count(*) AS DOUBLE) AS n, CAST(max(volume) AS DOUBLE) AS most FROM bars WHERE dayofweek(trade_date) <> 3 GROUP BY 1)
-    SELECT fin.symbol, fin.trade_date, beta_120, volatility_120, roe, label_rank_score, neighbor_symbol_ids, neighbor_scores,
-        coalesce(n, 0) AS event_1, coalesce(most, 0) AS event_2, coalesce(n, 0) + coalesce(most, 0) AS event_total, 256 AS event_places
+    ev AS (SELECT trade_date, CAST(count(*) AS DOUBLE) AS n, CAST(max(volume) AS DOUBLE) AS most FROM bars WHERE dayofweek(trade_date) <> 3 GROUP BY 1)"""
+STORED = "* REPLACE (beta_120 + 1 AS beta_120, volatility_120 * 2 AS volatility_120)"
+EVENTS_OUT = "coalesce(n, 0) AS event_1, coalesce(most, 0) AS event_2, coalesce(n, 0) + coalesce(most, 0) AS event_total, 256 AS event_places"
+EVENT_SPEC = "event_1~2 event_2~2 event_total~2 event_places"
+
+
+FULL = f"""
+    {TRAINING_PARTS}, stored AS (SELECT {STORED} FROM live), {finalize_sql('stored', 'fin')},
+    {SIDES}
+    SELECT fin.symbol, fin.trade_date, beta_120, volatility_120, roe, label_rank_score, neighbor_symbol_ids, neighbor_scores, {EVENTS_OUT}
     FROM fin LEFT JOIN nb USING (symbol) LEFT JOIN ev USING (trade_date)"""
 
 
-@query("symbol trade_date beta_120~ volatility_120~ roe~ label_rank_score~ neighbor_symbol_ids[s] neighbor_scores[] event_1~2 event_2~2 event_total~2 event_places",
-       FULL, f"{USES} {PROFILE_USES}".replace("  ", " "))
+FULL_USES = f"{USES} {PROFILE_USES}".replace("  ", " ")
+
+
+@query("symbol trade_date beta_120~ volatility_120~ roe~ label_rank_score~ neighbor_symbol_ids[s] neighbor_scores[] " + EVENT_SPEC,
+       FULL, FULL_USES)
 def training_samples_full(t):
     """The whole build with stored profiles, neighbour lists and event vectors; the stored values differ from rolled ones."""
     t = t.stored()
+    events, stored, near = sides(t)
+    return with_event_parts(samples.training_samples(t.bars, t.securities, t.index_bars, t.sector_daily, t.financials, events, stored, near), "event_embedding")
+
+
+def sides(t):
+    """(event vectors, stored profiles, neighbour lists)."""
     own = profile_frame(t)
     stored = own.withColumns({"beta_120": F.col("beta_120") + 1, "volatility_120": F.col("volatility_120") * 2})
     near = similarity.neighbor_lists(similarity.company_similarity(own), entity_ids(t.securities))
     # no vector on Wednesdays, so that missing dates are met as well
     events = t.bars.where(F.dayofweek("trade_date") != 4).groupBy("trade_date").agg(
         F.array(F.count("*").cast("double"), F.max("volume").cast("double")).alias("event_embedding"))
-    out = samples.training_samples(t.bars, t.securities, t.index_bars, t.sector_daily, t.financials, events, stored, near)
-    vector = F.col("event_embedding")
-    return out.withColumns({
+    return events, stored, near
+
+
+def with_event_parts(df, column):
+    vector = F.col(column)
+    return df.withColumns({
         "event_1": vector[0], "event_2": vector[1], "event_total": F.aggregate(vector, F.lit(0.0), lambda s, x: s + x), "event_places": F.size(vector)})
 
 
@@ -182,18 +201,24 @@ def finalize_samples(t):
 LAST = "(SELECT max(trade_date) FROM bars)"
 
 
-@query(FINAL_SPEC + " sample_status",
-       f"{FEATURES}, el AS (SELECT *, 'predict_ready' AS sample_status FROM feats WHERE coalesce(list_days, 0) >= 120 "
-       f"AND NOT coalesce(is_st, false) AND NOT coalesce(is_suspended, false)), {finalize_sql('el', 'fin')} "
-       f"SELECT * REPLACE (CAST(trunc(list_days) AS INTEGER) AS list_days) FROM fin WHERE trade_date = {LAST}", USES)
+CONTEXT = f"""
+    {FEATURES}, el AS (SELECT {STORED}, 'predict_ready' AS sample_status FROM feats WHERE coalesce(list_days, 0) >= 120
+        AND NOT coalesce(is_st, false) AND NOT coalesce(is_suspended, false)), {finalize_sql('el', 'fin')}, {SIDES}"""
+
+
+@query(f"{FINAL_SPEC} sample_status neighbor_symbol_ids[s] neighbor_scores[] {EVENT_SPEC}",
+       f"{CONTEXT} SELECT fin.* REPLACE (CAST(trunc(list_days) AS INTEGER) AS list_days), neighbor_symbol_ids, neighbor_scores, {EVENTS_OUT} "
+       f"FROM fin LEFT JOIN nb USING (symbol) LEFT JOIN ev USING (trade_date) WHERE trade_date = {LAST}", FULL_USES)
 def prediction_frame(t):
-    return prediction_context(t).where("is_target")
+    return with_event_parts(prediction_context(t).where("is_target"), "event_embedding")
 
 
 def prediction_context(t):
+    """The last date with stored profiles, neighbour lists and event vectors."""
     t = t.stored()
+    events, stored, near = sides(t)
     return samples.prediction_context(
-        t.bars, t.securities, t.index_bars, t.sector_daily, t.financials, "2030-01-01"
+        t.bars, t.securities, t.index_bars, t.sector_daily, t.financials, "2030-01-01", events, stored, near
     )
 
 
@@ -204,33 +229,34 @@ SCALED = ", ".join(
     f"(coalesce({c}, (SELECT median({c}) FROM tl)) - (SELECT median({c}) FROM tl)) / "
     f"(SELECT CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) = 0 THEN 1 ELSE "
     f"quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END FROM tl)" for c in PROFILE_COLUMNS)
+PADDED = ("list_resize(coalesce(neighbor_symbol_ids, []), 10, 0) AS neighbor_symbol_ids, "
+          "list_resize(coalesce(neighbor_scores, []), 10, 0.0) AS neighbor_scores")
 PACKAGED = f"""
-    {FEATURES}, el AS (SELECT * FROM feats WHERE coalesce(list_days, 0) >= 120
-        AND NOT coalesce(is_st, false) AND NOT coalesce(is_suspended, false)), {finalize_sql('el', 'fin')},
+    {CONTEXT},
     tl AS (SELECT * REPLACE (trunc(list_days) AS list_days) FROM fin WHERE symbol IN (SELECT symbol FROM fin WHERE trade_date = {LAST})
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) <= 20),
     packed AS (SELECT symbol, trade_date, list([{SEQ_LIST}]) OVER {W} AS rows, [{TAB_LIST}] AS x_tab, [{MKT_LIST}] AS x_mkt,
         [{SCALED}] AS x_company_profile FROM tl)"""
 
 
-@query("symbol trade_date seq_sum~2 seq_rows x_tab[] x_mkt_sum~2 x_company_profile[]",
-       f"{PACKAGED} SELECT symbol, trade_date, list_sum(flatten(rows)) AS seq_sum, 20 AS seq_rows, x_tab, "
-       f"list_sum(x_mkt) AS x_mkt_sum, x_company_profile FROM packed WHERE trade_date = {LAST}", USES)
-def package_inference(t):
-    out = samples.package_inference(prediction_context(t))
+WITH_SIDES = "FROM packed LEFT JOIN nb USING (symbol) LEFT JOIN ev USING (trade_date)"
 
-    def total(c):
-        return F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
 
-    return out.withColumns({
-        "seq_sum": total(F.flatten("x_seq")), "seq_rows": F.size("x_seq"), "x_mkt_sum": total(F.col("x_mkt")),
+@query(f"symbol trade_date seq_sum~2 seq_rows seq_last[] x_tab[] x_mkt[] x_company_profile[] neighbor_symbol_ids[s] neighbor_scores[] {EVENT_SPEC}",
+       f"{PACKAGED} SELECT symbol, trade_date, list_sum(flatten(rows)) AS seq_sum, 20 AS seq_rows, rows[len(rows)] AS seq_last, x_tab, "
+       f"x_mkt, x_company_profile, {PADDED}, {EVENTS_OUT} {WITH_SIDES} WHERE trade_date = {LAST}", FULL_USES)
+def package_inference(t):
+    out = samples.package_inference(prediction_context(t))
+    out = out.withColumns({
+        "seq_sum": F.aggregate(F.flatten("x_seq"), F.lit(0.0), lambda s, x: s + x), "seq_rows": F.size("x_seq"), "seq_last": F.element_at("x_seq", -1),
     })
+    return with_event_parts(out, "x_event")
 
 
-@query("symbol trade_date avg_amount_5~2 feature_missing_rate~",
+@query("symbol trade_date avg_amount_5~2 feature_missing_rate~ neighbor_symbol_ids[s] neighbor_scores[]",
        f"{PACKAGED} SELECT symbol, trade_date, list_avg(list_transform(rows[greatest(len(rows) - 4, 1) :], lambda r: r[7])) "
-       f"* len(rows[greatest(len(rows) - 4, 1) :]) / 5 AS avg_amount_5, 0.0 AS feature_missing_rate "
-       f"FROM packed WHERE trade_date = {LAST}", USES)
+       f"* len(rows[greatest(len(rows) - 4, 1) :]) / 5 AS avg_amount_5, 0.0 AS feature_missing_rate, {PADDED} "
+       f"{WITH_SIDES} WHERE trade_date = {LAST}", FULL_USES)
 def packaged_aux(t):
     return samples.packaged_aux(samples.package_inference(prediction_context(t)))
 

@@ -359,8 +359,8 @@ def filter_prediction_eligible(t):
 
 
 @query("symbol trade_date",
-       "SELECT b.symbol, b.trade_date FROM bars b LEFT JOIN bars s ON s.symbol = b.symbol AND s.trade_date = b.trade_date "
-       "WHERE NOT coalesce(s.is_suspended, false)", "bars")
+       # symbol and date are the key of bars, so the join brings back the row's own flag
+       "SELECT symbol, trade_date FROM bars WHERE NOT coalesce(is_suspended, false)", "bars")
 def filter_not_suspended(t):
     return samples.not_suspended(t.bars.select("symbol", "trade_date"), t.bars)
 

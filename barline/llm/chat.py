@@ -175,12 +175,15 @@ def sql(template: Template = INSTRUCT) -> str:
     whens = " ".join(f"WHEN {quoted(role)} THEN {len(before) + len(after)} + {size}" for role, before, after in template.around)
     other = sum(map(len, template.other))
     learned = ", ".join(map(quoted, sorted(template.learned)))
+    allowed = ", ".join(f"({quoted(state)}, {quoted(role)})" for state, roles in NEXT.items() for role in roles)
     return f"""
 WITH raw AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-t AS (SELECT *, CASE role {whens} ELSE {other} + length({escaped('role')}) + {size} END AS n FROM raw)
+t AS (SELECT *, CASE role {whens} ELSE {other} + length({escaped('role')}) + {size} END AS n,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, (lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn), role) IN ({allowed}) AS fits FROM raw)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role IN ({learned})), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role IN ({learned})), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role IN ({learned})), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars,
+  bool_and(fits) AS valid, min(place) FILTER (NOT fits) AS bad_turn
 FROM t GROUP BY conv_id"""

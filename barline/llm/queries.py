@@ -73,7 +73,7 @@ def op7_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     out = conversation_digests(formatted_turns(rows.unionByName(probe)))
-    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "bad_turn")
 
 
 def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

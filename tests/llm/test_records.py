@@ -245,3 +245,23 @@ def test_texts_that_stay_in_the_jvm_hold_no_span(spark):
         rules = secrets.rule_spans(row.text or "")
         assert row.may or not (rules or secrets.novel_spans(row.text or "", rules, novelty))
     assert sum(bool(r.may) for r in held) == 4
+
+
+def test_machine_equals_its_sql(spark, tmp_path):
+    """Every order of up to three roles, known and unknown, against the SQL twin."""
+    import itertools
+
+    import duckdb
+
+    from barline.llm import queries
+
+    orders = [o for n in (1, 2, 3) for o in itertools.product(["system", "user", "assistant", "tool", None], repeat=n)]
+    rows = [(i, turn, role, f"t{turn}") for i, order in enumerate(orders) for turn, role in enumerate(order)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.op7_chat_turns(spark, str(tmp_path))
+    names = got.columns
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({chat.sql()})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want, key=lambda r: r[0]) and len(want) == len(orders) + 1
+    assert sum(r[names.index("valid")] for r in want) == 7

@@ -374,20 +374,64 @@ def random_scan_first_n(t):
     return selection.random_first_n(predictions(t), 10)
 
 
+PICKS = 10
+
+
 def candidates(t):
-    """Decided rows with two neighbours each: the codes before and after."""
-    df = dec.decision_utility(predictions(t))
-    df = df.withColumn("selection_utility", dec.selection_utility(df.columns))
+    """Decided rows, eligible by recommended action, with two neighbours each: the codes before and after."""
+    df = predictions(t).withColumn("__dd", F.coalesce(F.abs("risk_dd_pred_5"), F.lit(0.0)))
+    df = df.withColumn("industry_risk_dd_5_pctile", dec.industry_risk_percentile("__dd"))
+    df = dec.decision_utility(df)
+    df = df.withColumn("selection_utility", F.round(dec.selection_utility(df.columns), 9))
     code = F.substring("symbol", 1, 6).cast("int")
     return df.withColumns({
-        "symbol_id": code + 1, "eligible": F.col("u_final") > -0.2,
+        "symbol_id": code + 1, "eligible": F.col("final_action").isin(*selection.RECOMMENDED),
         "neighbor_symbol_ids": F.array(code, code + 2), "neighbor_scores": F.array(F.lit(0.9), F.lit(0.4)),
     })
 
 
-@query("trade_date pick_rank symbol adjusted~ penalty~ is_backfill", None)
+def pick_limit(kind: str) -> str:
+    return "CASE regime " + " ".join(f"WHEN '{r}' THEN {dec.buy_cap(PICKS, share)}" for r, share in dec.SELECTION[kind].items()) + " END"
+
+
+def pick_round(k: int) -> str:
+    """One greedy pick a date: ``st{k}`` holds the picks after ``k`` rounds."""
+    near = "CASE WHEN list_contains(ids, id - 1) THEN 0.09 WHEN list_contains(ids, id + 1) THEN 0.04 ELSE 0.0 END"
+    return f"""w{k} AS MATERIALIZED (SELECT pool.*, {near} AS penalty FROM pool JOIN st{k - 1} USING (trade_date)
+        WHERE NOT list_contains(syms, symbol) AND len(list_filter(inds, lambda x: x = industry)) < icap AND len(list_filter(brds, lambda x: x = board)) < bcap
+        QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY u - penalty DESC, u DESC, symbol) = 1),
+    st{k} AS MATERIALIZED (SELECT s.trade_date, icap, bcap, {', '.join(f'CASE WHEN w.symbol IS NULL THEN {c} ELSE list_append({c}, w.{v}) END AS {c}' for c, v in
+        (('syms', 'symbol'), ('ids', 'id'), ('inds', 'industry'), ('brds', 'board')))},
+        CASE WHEN w.symbol IS NULL THEN adj ELSE list_append(adj, w.u - w.penalty) END AS adj, CASE WHEN w.symbol IS NULL THEN pens ELSE list_append(pens, w.penalty) END AS pens
+        FROM st{k - 1} s LEFT JOIN w{k} w ON w.trade_date = s.trade_date)"""
+
+
+PICKED = f"""{DECIDED},
+    every AS MATERIALIZED (SELECT trade_date, symbol, CAST(substr(symbol, 1, 6) AS INTEGER) + 1 AS id, coalesce(industry_sw, 'Unknown') AS industry,
+        coalesce(board, 'Unknown') AS board, round({SELECT_U}, 9) AS u, act, regime, greatest(0, least(1, coalesce(p_5, 0))) AS p, coalesce(rnk, 0) AS r FROM fin),
+    pool AS MATERIALIZED (SELECT * FROM every WHERE act IN ('STRONG_BUY', 'BUY', 'RECOMMEND_BUY')),
+    lead_regime AS (SELECT trade_date, regime FROM (SELECT trade_date, regime, count(*) AS c FROM every GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY c DESC, regime) = 1),
+    st0 AS MATERIALIZED (SELECT trade_date, {pick_limit('industry')} AS icap, {pick_limit('board')} AS bcap, CAST([] AS VARCHAR[]) AS syms, CAST([] AS INTEGER[]) AS ids,
+        CAST([] AS VARCHAR[]) AS inds, CAST([] AS VARCHAR[]) AS brds, CAST([] AS DOUBLE[]) AS adj, CAST([] AS DOUBLE[]) AS pens FROM lead_regime),
+    {', '.join(pick_round(k) for k in range(1, PICKS + 1))},
+    chosen AS (SELECT trade_date, unnest(range(1, len(syms) + 1)) AS i, unnest(syms) AS symbol, unnest(adj) AS adjusted, unnest(pens) AS penalty FROM st{PICKS})"""
+PICK = "trade_date pick_rank symbol adjusted~ penalty~ is_backfill"
+
+
+@query(PICK, f"{PICKED} SELECT trade_date, CAST(i AS INTEGER) AS pick_rank, symbol, adjusted, penalty, false AS is_backfill FROM chosen", USES)
 def diversified_selection(t):
-    return selection.diversified_selection(candidates(t), 10)
+    return selection.diversified_selection(candidates(t), PICKS)
+
+
+@query(PICK, f"""{PICKED},
+    fill AS (SELECT e.trade_date, coalesce(len(st.syms), 0) + row_number() OVER (PARTITION BY e.trade_date ORDER BY u DESC, p DESC, r DESC, e.symbol) AS i, e.symbol, u AS adjusted
+        FROM every e JOIN st{PICKS} st ON st.trade_date = e.trade_date WHERE NOT list_contains(st.syms, e.symbol))
+    SELECT trade_date, CAST(i AS INTEGER) AS pick_rank, symbol, adjusted, penalty, false AS is_backfill FROM chosen
+    UNION ALL SELECT trade_date, CAST(i AS INTEGER), symbol, adjusted, 0.0, true FROM fill WHERE i <= {PICKS}""", USES)
+def diversified_backfill(t):
+    """Dates without enough recommended rows are filled up by utility."""
+    return selection.diversified_selection(candidates(t), PICKS, backfill=True)
 
 
 @query(SCAN, f"""

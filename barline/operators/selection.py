@@ -85,13 +85,26 @@ def dominant_regime(df: DataFrame) -> DataFrame:
     return counts.groupBy("trade_date").agg(F.min_by("market_regime", F.struct(-F.col("n"), "market_regime")).alias("regime"))
 
 
+def contenders(pool: DataFrame, n: int, penalty: float) -> DataFrame:
+    """Rows that can still be among ``n`` picks of their date, exactly.
+
+    A penalty takes ``penalty`` at most, and rows of one industry and board are blocked together.  So a row with
+    ``n`` rows of its date, industry and board that lead by more than that is never picked: all of them go first.
+    Every task sends at most ``n`` rows a group to find the bar.
+    """
+    group = ["trade_date", "industry", "board"]
+    ranked = pool.select(*group, "u").withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("u").desc())))
+    bar = ranked.where(F.col("rn") <= n).where(F.col("rn") == n).select(*group, (F.col("u") - penalty).alias("__bar"))
+    return pool.join(bar, group, "left").where(F.col("__bar").isNull() | F.col("u").isNull() | (F.col("u") >= F.col("__bar"))).drop("__bar")
+
+
 def diversified_selection(df: DataFrame, n: int, backfill: bool = False, stage_every: int = 5) -> DataFrame:
     """Greedy pick of ``n`` per date: best utility less 0.10 x the largest similarity to those picked.
 
     At most a regime-dependent share of the places goes to one industry and one
-    board.  Each round is one aggregation over all dates: every task finds its own
-    best candidate against the picks so far (a short list per date), and only these
-    meet.  No date is gathered in one task, and no candidate is left out.
+    board.  The pool is read once, for the rows that can win a place (``contenders``).  Each round is one
+    aggregation of these over all dates: every task finds its own best candidate against the picks so far (a
+    short list per date), and only these meet.  No date is gathered in one task, and no possible pick is left out.
 
     Needs symbol, symbol_id, industry_sw, board, market_regime, eligible,
     selection_utility and the neighbour lists.
@@ -112,7 +125,7 @@ def diversified_selection(df: DataFrame, n: int, backfill: bool = False, stage_e
 
     pick = "array<struct<symbol:string,id:int,industry:string,board:string,adjusted:double,penalty:double>>"
     state = regime.select("trade_date", cap("industry").alias("icap"), cap("board").alias("bcap"), F.array().cast(pick).alias("picks"))
-    pool = rows.where("eligible")
+    pool = staged(contenders(rows.where("eligible"), n, SELECTION["similarity_penalty"]))
     for turn in range(1, n + 1):
         work = pool.join(state, "trade_date")
         taken = F.exists("picks", lambda p: p["symbol"] == F.col("symbol"))

@@ -59,6 +59,18 @@ def test_diversified_pick_is_greedy(spark, n):
         assert got == greedy(group, n)
 
 
+def test_contenders_hold_every_pick(spark):
+    """A wide pool shrinks to a few rows a group, and the picks stay those of the whole pool."""
+    pdf = candidates(seed=5, dates=2, size=400)
+    pdf["selection_utility"] = np.round(np.random.default_rng(3).normal(0, 0.6, len(pdf)), 3)
+    pool = spark.createDataFrame(pdf[pdf["eligible"]]).withColumnsRenamed({"industry_sw": "industry", "selection_utility": "u"})
+    left = selection.contenders(pool, 4, SELECTION["similarity_penalty"])
+    assert left.count() < pool.count() * 0.6
+    out = selection.diversified_selection(spark.createDataFrame(pdf), 4).toPandas()
+    for day, group in pdf.groupby("trade_date"):
+        assert out[out["trade_date"] == day].sort_values("pick_rank")["symbol"].tolist() == greedy(group, 4)
+
+
 def test_backfill_reaches_n(spark):
     pdf = candidates(dates=2)
     pdf["eligible"] = pdf["symbol_id"] <= 3

@@ -1,9 +1,10 @@
 """Quality rules and robust multivariate outliers.
 
 Base statistics follow fixed rules.  The method fits a minimum-covariance-determinant estimate
-per language and source to transformed statistic vectors by concentration steps: start from
-medians and interquartile ranges, keep the ``CORE`` share of rows with the smallest distances, take
-their mean and covariance, repeat.  Every step is one or two grouped aggregates with partial sums,
+per language and source to transformed statistic vectors by concentration steps: keep the ``CORE``
+share of rows with the smallest distances, take their mean and covariance, repeat.  Several deterministic
+starts (``STARTS``) take ``SCREEN`` steps each; the one of the least determinant goes on until the determinant
+of no group falls further.  Every step is one or two grouped aggregates with partial sums,
 so a group of any size never meets in one task; only group estimates (a few dozen numbers) are
 handled in Python.  Rows whose scaled Mahalanobis distance exceeds the cutoff are rejected.
 
@@ -35,7 +36,13 @@ LEAST_WORDS = 50
 
 #: Share of a group's rows that the estimate rests on; up to the rest may be outliers.
 CORE = 0.75
-STEPS = 4
+#: Starts of the concentration steps: medians and quartile ranges; medians and the covariance of the directions
+#: from there (all rows on a unit sphere, so that no far row counts more); mean and covariance of all rows.
+STARTS = ("quartiles", "directions", "all rows")
+#: Steps of every start, and most steps of the best; fewer once the logarithm of no determinant falls by more than ``STILL``.
+SCREEN = 2
+STEPS = 10
+STILL = 1e-6
 LEAST_ROWS = 60
 #: Chance of a normal row to be rejected.
 CHANCE = 3e-6
@@ -191,54 +198,102 @@ def distance(x: Column, mean: Column, inverse: Column, d: int) -> Column:
     return total
 
 
+def _sums_by(rows: DataFrame, keys: list[str], vector: Column, d: int) -> DataFrame:
+    """n, first and second moments of ``vector`` by ``keys``."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(vector[i]) for i in range(d)]).alias("first"),
+        F.array(*[F.sum(vector[min(i, j)] * vector[max(i, j)]) for i in range(d) for j in range(d)]).alias("second"),
+    )
+
+
+_PARAMS = "grp string, start string, mean array<double>, inverse array<double>, logdet double"
+
+
 def _estimates(sums: DataFrame, floors: tuple[float, ...], scale: float) -> DataFrame:
-    """Mean and inverse covariance of each group from its sums."""
+    """Mean, inverse covariance and the logarithm of its determinant, of each group and start from its sums.
+
+    ``at`` and ``unit`` (the center and the scales of the rows that were summed) are NULL for plain rows.
+    """
     d = len(floors)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            means, inverses = [], []
-            for n, first, second in zip(frame["n"], frame["first"], frame["second"]):
-                mean = np.asarray(first) / n
-                cov = (np.asarray(second).reshape(d, d) / n - np.outer(mean, mean)) * scale
+            out = []
+            for row in frame.to_dict("records"):
+                mean = np.asarray(row["first"], dtype=float) / row["n"]
+                second = np.asarray(row["second"], dtype=float).reshape(d, d) / row["n"]
+                if row["unit"] is None:
+                    cov = (second - np.outer(mean, mean)) * scale
+                else:
+                    unit = np.asarray(row["unit"], dtype=float)
+                    mean, cov = np.asarray(row["at"], dtype=float), second * np.outer(unit, unit) * d
                 # a floor on every standard deviation, added where the core varies less
-                cov = cov + np.diag(np.maximum(0.0, np.square(floors) - np.diag(cov)))
-                means.append(mean)
-                inverses.append(np.linalg.inv(cov).ravel())
-            yield pd.DataFrame({"grp": frame["grp"], "mean": means, "inverse": inverses})
+                # and a trace everywhere, as one feature may follow from others
+                cov = cov + np.diag(np.maximum(0.0, np.square(floors) - np.diag(cov)) + 1e-6 * np.square(floors))
+                out.append((row["grp"], row["start"], mean, np.linalg.inv(cov).ravel(), np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame(out, columns=["grp", "start", "mean", "inverse", "logdet"])
 
-    return sums.mapInPandas(run, "grp string, mean array<double>, inverse array<double>")
+    return sums.mapInPandas(run, _PARAMS)
 
 
-def mcd(stats: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
-    """grp, mean, inverse of every group of ``stats`` (columns grp, x)."""
+def _starts(stats: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """grp, start, mean, inverse, logdet before the first step."""
     d = len(floors)
-    pick = [F.col("x")[i] for i in range(d)]
-    starts = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000) for c in pick]
-    start = stats.groupBy("grp").agg(*[s.alias(f"q{i}") for i, s in enumerate(starts)])
+    quartiles = [F.percentile_approx(F.col("x")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000) for i in range(d)]
+    start = stats.groupBy("grp").agg(*[q.alias(f"q{i}") for i, q in enumerate(quartiles)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i])) for i in range(d)]
-    params = start.select(
-        "grp", F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("mean"),
-        F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]).alias("inverse"),
+    start = written(start.select("grp", F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("at"), F.array(*spread).alias("unit")), "mcd-start")
+    unit = F.col("unit")
+    diagonal = start.select(
+        "grp", F.lit(STARTS[0]).alias("start"), F.col("at").alias("mean"),
+        F.array(*[1 / (unit[i] * unit[i]) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]).alias("inverse"),
+        F.lit(float("inf")).alias("logdet"),
     )
+    scaled = stats.join(start, "grp").select("grp", F.array(*[(F.col("x")[i] - F.col("at")[i]) / F.col("unit")[i] for i in range(d)]).alias("y"))
+    length = F.sqrt(F.aggregate("y", F.lit(0.0), lambda total, v: total + v * v))
+    far = scaled.withColumn("length", length).where("length > 0").select("grp", F.transform("y", lambda v: v / F.col("length")).alias("y"))
+    directions = _sums_by(far, ["grp"], F.col("y"), d).join(start, "grp").withColumn("start", F.lit(STARTS[1]))
+    none = F.lit(None).cast("array<double>")
+    plain = _sums_by(stats, ["grp"], F.col("x"), d).withColumns({"at": none, "unit": none, "start": F.lit(STARTS[2])})
+    return diagonal.unionByName(_estimates(directions.unionByName(plain), floors, 1.0).withColumn("logdet", F.lit(float("inf"))))
+
+
+def mcd(stats: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """grp, start, mean, inverse, logdet of every group of ``stats`` (columns grp, x): the start of the least determinant."""
+    d = len(floors)
+    none = F.lit(None).cast("array<double>")
+    params = written(_starts(stats, floors), "mcd")
     for step in range(STEPS):
-        params = written(params, f"mcd{step}")
-        far = stats.join(params, "grp").select("grp", "x", distance(F.col("x"), F.col("mean"), F.col("inverse"), d).alias("far"))
-        cut = written(far.groupBy("grp").agg(F.percentile_approx("far", CORE, 5000).alias("cut")), f"cut{step}")
-        core = far.join(cut, "grp").filter("far <= cut")
-        sums = core.groupBy("grp").agg(
-            F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in pick]).alias("first"),
-            F.array(*[F.sum(pick[min(i, j)] * pick[max(i, j)]) for i in range(d) for j in range(d)]).alias("second"),
+        by_group = params.groupBy("grp").agg(F.collect_list(F.struct("start", "mean", "inverse")).alias("all"))
+        # one row a start: as many copies of a row as there are starts
+        far = stats.join(by_group, "grp").select("grp", "x", F.explode("all").alias("p")).select(
+            "grp", "p.start", "x", distance(F.col("x"), F.col("p.mean"), F.col("p.inverse"), d).alias("far")
+        )
+        cut = written(far.groupBy("grp", "start").agg(F.percentile_approx("far", CORE, 5000).alias("cut")), f"cut{step}")
+        core = far.join(cut, ["grp", "start"]).filter("far <= cut")
+        sums = _sums_by(core, ["grp", "start"], F.col("x"), d).withColumns({"at": none, "unit": none})
+        after = written(_estimates(sums, floors, core_scale(CORE, d)), f"mcd{step}")
+        # a step that does not lower the determinant is not taken
+        old = params.select("grp", "start", F.struct("mean", "inverse", "logdet").alias("old"))
+        both = after.join(old, ["grp", "start"])
+        moved = both.filter(F.col("logdet") < F.col("old.logdet") - STILL)
+        better = F.col("logdet") < F.col("old.logdet")
+        params = written(
+            both.select("grp", "start", *[F.when(better, F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in ("mean", "inverse", "logdet")]), "mcd"
         )
-        params = _estimates(sums, floors, core_scale(CORE, d))
-    return written(params, "mcd")
+        if step + 1 == SCREEN:
+            best = params.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("p"))
+            params = written(best.select("grp", "p.*"), "mcd")
+        elif step >= SCREEN and moved.isEmpty():
+            break
+    return params
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Base statistics, the squared distance ``outlyingness`` and the verdict ``kept`` of every row."""
     # stored before the groups are named: both the group sizes and the rows are read from it
     stats = written(grouped(written(statistics(docs), "statistics")), "quality")
-    params = mcd(stats.select(F.explode("fits").alias("grp"), "x"))
+    params = mcd(stats.select(F.explode("fits").alias("grp"), "x")).select("grp", "mean", "inverse")
     d = len(FLOORS)
     cutoff = chi2_quantile(1 - CHANCE, d)
     out = stats.join(params, "grp", "left").withColumn("outlyingness", distance(F.col("x"), F.col("mean"), F.col("inverse"), d))

@@ -227,6 +227,33 @@ def test_determinant_estimate_ignores_outliers(spark):
     assert (ratio > 0.6).all() and (ratio < 1.2).all()
 
 
+def test_determinant_estimate_is_the_least_of_all_cores(spark):
+    """Groups small enough to try every core of three quarters of their rows."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    groups = {f"g{k}": np.vstack([rng.normal(0, 1, (9, 2)) @ [[1, 0.7], [0, 0.6]], rng.normal(6 + k, 0.4, (3, 2))]) for k in range(4)}
+    # a third of the rows far off along one axis: quartile ranges alone start wide
+    groups["wide"] = np.vstack([rng.normal(0, [0.3, 2.0], (9, 2)), rng.normal([8, 0], [0.1, 4.0], (3, 2))])
+    rows = [(g, x.tolist()) for g, xs in groups.items() for x in xs]
+    got = {r["grp"]: r for r in quality.mcd(spark.createDataFrame(rows, "grp string, x array<double>"), (1e-3,) * 2).collect()}
+    scale = quality.core_scale(quality.CORE, 2)
+    for g, xs in groups.items():
+        least = min(np.linalg.slogdet(np.cov(xs[list(core)].T, bias=True) * scale)[1] for core in itertools.combinations(range(12), 9))
+        assert abs(got[g]["logdet"] - least) < 1e-3, g
+        assert np.isclose(-np.linalg.slogdet(np.array(got[g]["inverse"]).reshape(2, 2))[1], got[g]["logdet"])
+
+
+def test_determinant_estimate_of_rows_without_spread(spark):
+    """Equal rows have no direction from their median; one feature that repeats another leaves the matrix regular."""
+    rows = [("same", [1.0, 2.0])] * 70 + [("line", [float(i), 2.0 * i]) for i in range(70)]
+    got = {r["grp"]: r for r in quality.mcd(spark.createDataFrame(rows, "grp string, x array<double>"), (0.1, 0.1)).collect()}
+    assert set(got) == {"same", "line"} and got["same"]["mean"] == [1.0, 2.0]
+    assert all(v == v for r in got.values() for v in r["inverse"])
+
+
 def test_many_secrets_in_one_text_take_linear_time():
     import time
 

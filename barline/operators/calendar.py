@@ -6,20 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sorted_dates(calendar: DataFrame) -> Column:
-    """The open dates as one sorted array (a scalar subquery, run once)."""
-    return calendar.select("trade_date").distinct().agg(F.sort_array(F.collect_list("trade_date")).alias("d")).scalar()
-
-
-def day_map(calendar: DataFrame) -> DataFrame:
-    """Each civil day of the calendar's span with the trading positions around it.
+def day_map(calendar: DataFrame, margin: int = 0) -> DataFrame:
+    """Each civil day of the calendar's span (``margin`` days wider) with the trading positions around it.
 
     ``at_or_before`` counts the open dates up to the day, ``before`` those strictly
     before it; looking up an offset is then an equi-join on the position.
     """
     dates = calendar.select("trade_date").distinct()
     span = dates.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
-    days = span.select(F.explode(F.sequence("a", "b")).alias("day"))
+    days = span.select(F.explode(F.sequence(F.date_sub("a", margin), F.date_add("b", margin))).alias("day"))
     work = days.join(dates.select(F.col("trade_date").alias("day"), F.lit(1).alias("open")), "day", "left")
     upto = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     counted = work.withColumn("at_or_before", F.count("open").over(upto))
@@ -33,17 +28,24 @@ def positions(calendar: DataFrame) -> DataFrame:
     return calendar.select("trade_date").distinct().select("trade_date", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("trade_date")).alias("position"))
 
 
+def mapped_day(day: Column, calendar: DataFrame) -> Column:
+    """The day by which ``day_map(calendar, 1)`` is looked up: days beyond the span fall on its edges."""
+    edges = calendar.agg(F.struct(F.date_sub(F.min("trade_date"), 1).alias("a"), F.date_add(F.max("trade_date"), 1).alias("b"))).scalar()
+    return F.when(day.isNotNull(), F.greatest(F.least(day, edges["b"]), edges["a"]))
+
+
 def offset_dates(df: DataFrame, column: str, calendar: DataFrame, n: int = 1, out: str | None = None) -> DataFrame:
-    """n-th open date strictly after (n > 0) or before (n < 0); NULL beyond the calendar."""
+    """n-th open date strictly after (n > 0) or before (n < 0); NULL beyond the calendar.
+
+    One hash probe of a day table per row, however long the calendar is.
+    """
     name = out or ("next_date" if n > 0 else "prev_date")
-    dates = sorted_dates(calendar)
-    work = df.withColumn("__dates", dates)
-    days = F.col(column).cast("date")
-    if n > 0:
-        rank = F.size(F.filter("__dates", lambda d: d <= days)) + n
-    else:
-        rank = F.size(F.filter("__dates", lambda d: d < days)) + n + 1
-    return work.withColumn(name, F.when(rank >= 1, F.get("__dates", rank - 1))).drop("__dates")
+    position = F.col("at_or_before") + n if n > 0 else F.col("before") + n + 1
+    spots = positions(calendar).withColumnRenamed("trade_date", name)
+    side = day_map(calendar, 1).withColumn("position", position).join(spots, "position", "left")
+    work = df.withColumn("__day", mapped_day(F.col(column).cast("date"), calendar)).drop(name)
+    # a calendar day table has a few hundred rows per year
+    return work.join(F.broadcast(side.select(F.col("day").alias("__day"), name)), "__day", "left").drop("__day")
 
 
 def publication_to_trade_date(df: DataFrame, column: str, calendar: DataFrame, close_hour: int = 15, out: str = "trade_date") -> DataFrame:
@@ -94,20 +96,13 @@ def resolve_analysis_date(requests: DataFrame, calendar: DataFrame) -> DataFrame
     known = calendar.groupBy("trade_date").agg(F.max("is_open").alias("state"))
     work = requests.withColumn("anchor", F.date_sub("today", 1))
     work = work.join(known.withColumnRenamed("trade_date", "anchor"), "anchor", "left")
-    dates = sorted_dates(calendar.where("is_open"))
-    work = work.withColumn("__dates", F.coalesce(dates, F.array().cast("array<date>")))
-
-    def last_open(day: Column) -> Column:
-        upto = F.filter("__dates", lambda d: d <= day)
-        return F.coalesce(F.try_element_at(upto, F.lit(-1)), weekday_back(day))
-
     anchor = F.col("anchor")
-    rolled = (
-        F.when(F.col("state"), anchor)
-        .when(~F.col("state"), last_open(F.date_sub(anchor, 1)))
-        .when(F.weekday(anchor) >= 5, last_open(anchor))
-        .otherwise(anchor)
-    )
-    return work.withColumn("analysis_date", F.coalesce(F.col("asked"), rolled)).drop("__dates", "anchor", "state")
-
-
+    # a day known as closed goes back from the day before it
+    work = work.withColumn("__look", F.when(~F.col("state"), F.date_sub(anchor, 1)).otherwise(anchor))
+    opened = calendar.where("is_open")
+    spots = positions(opened).select(F.col("position").alias("at_or_before"), F.col("trade_date").alias("__last"))
+    side = day_map(opened, 1).join(spots, "at_or_before").select(F.col("day").alias("__day"), "__last")
+    work = work.withColumn("__day", mapped_day(F.col("__look"), opened)).join(F.broadcast(side), "__day", "left")
+    last_open = F.coalesce("__last", weekday_back(F.col("__look")))
+    rolled = F.when(F.col("state"), anchor).when(~F.col("state") | (F.weekday(anchor) >= 5), last_open).otherwise(anchor)
+    return work.withColumn("analysis_date", F.coalesce(F.col("asked"), rolled)).drop("__day", "__look", "__last", "anchor", "state")

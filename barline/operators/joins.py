@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.operators.calendar import day_map, mapped_day
+
 
 def _day_end() -> Column:
     return F.expr("INTERVAL '23:59:59' HOUR TO SECOND")
@@ -22,10 +24,13 @@ def incomplete_symbols(securities: DataFrame, counts: DataFrame, calendar: DataF
     """
     low, high = F.lit(start).cast("date"), F.lit(end).cast("date")
     dates = calendar.select("trade_date").distinct().where(F.col("trade_date").between(low, high))
-    days = dates.agg(F.sort_array(F.collect_list("trade_date")).alias("d")).scalar()
+    total = dates.agg(F.count("*")).scalar()
+    side = day_map(dates, 1).select(F.col("day").alias("__day"), "before")
     first = F.greatest(low, F.coalesce("list_date", low))
-    due = securities.select("symbol", first.alias("first_day")).withColumn("__days", F.coalesce(days, F.array().cast("array<date>")))
-    due = due.withColumn("expected_days", F.size(F.filter("__days", lambda d: d >= F.col("first_day")))).drop("__days")
+    due = securities.select("symbol", first.alias("first_day"))
+    # a calendar day table has a few hundred rows per year
+    due = due.withColumn("__day", mapped_day(F.col("first_day"), dates)).join(F.broadcast(side), "__day", "left")
+    due = due.withColumn("expected_days", F.coalesce(total - F.col("before"), F.lit(0)).cast("int")).drop("__day", "before")
     done = due.join(counts, "symbol", "left").where(
         (F.col("expected_days") > 0) & (F.coalesce("bar_count", F.lit(0)) >= F.col("expected_days"))
     )

@@ -101,3 +101,35 @@ def test_source_order(spark):
 def test_weekday_back(spark, day, want):
     got = spark.range(1).select(calendar.weekday_back(F.lit(day).cast("date")).alias("d")).first()["d"]
     assert str(got) == want
+
+
+def test_calendar_lookups_by_day(spark):
+    """Days before, between, on and after the open dates, a NULL day and an empty calendar."""
+    import bisect
+    import datetime as dt
+
+    from barline.operators import calendar, joins
+
+    opened = [dt.date(2024, 1, d) for d in (2, 3, 4, 8, 9, 15)]
+    cal = spark.createDataFrame([(d,) for d in opened], "trade_date date")
+    asked = [dt.date(2023, 12, 1), *[dt.date(2024, 1, d) for d in range(1, 18)], dt.date(2025, 1, 1), None]
+    days = spark.createDataFrame([(d,) for d in asked], "day date")
+    for n in (1, 3, -1, -2):
+        got = {r.day: r.out for r in calendar.offset_dates(days, "day", cal, n, "out").collect()}
+        assert len(got) == len(asked)
+        for d in asked:
+            rank = None if d is None else (bisect.bisect_right(opened, d) + n - 1 if n > 0 else bisect.bisect_left(opened, d) + n)
+            assert got[d] == (opened[rank] if rank is not None and 0 <= rank < len(opened) else None)
+    plan = calendar.offset_dates(days, "day", cal, 1)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "BroadcastHashJoin" in plan
+    assert all(r.next_date is None for r in calendar.offset_dates(days, "day", cal.limit(0)).collect())
+    requests = spark.createDataFrame([(d, None) for d in asked if d], "today date, asked date")
+    known = spark.createDataFrame([(dt.date(2024, 1, d), dt.date(2024, 1, d) in opened) for d in range(2, 12)], "trade_date date, is_open boolean")
+    got = {r.today: r.analysis_date for r in calendar.resolve_analysis_date(requests, known).collect()}
+    assert got[dt.date(2024, 1, 4)] == dt.date(2024, 1, 3) and got[dt.date(2024, 1, 8)] == dt.date(2024, 1, 4)
+    assert got[dt.date(2024, 1, 12)] == dt.date(2024, 1, 9) and got[dt.date(2024, 1, 15)] == dt.date(2024, 1, 9)
+    assert got[dt.date(2024, 1, 17)] == dt.date(2024, 1, 16) and got[dt.date(2023, 12, 1)] == dt.date(2023, 11, 30)
+    listed = spark.createDataFrame([("a", dt.date(2024, 1, 4)), ("b", None), ("c", dt.date(2025, 1, 1))], "symbol string, list_date date")
+    counts = spark.createDataFrame([("a", 4), ("b", 5)], "symbol string, bar_count long")
+    rows = {r.symbol: r.expected_days for r in joins.incomplete_symbols(listed, counts, cal, "2024-01-01", "2024-12-31").collect()}
+    assert rows == {"b": 6, "c": 0}

@@ -10,6 +10,7 @@ from barline.catalog.series import BARDATE_RETURNS, BREADTH, W5, full, ret
 from barline.functions.columns import full_window, pct_rank_avg
 from barline.operators import decisions as dec
 from barline.operators import features, selection, series
+from barline.plans import scan
 from barline.plans.samples import list_days
 from barline.sources.schemas import HORIZONS
 
@@ -434,15 +435,29 @@ def diversified_backfill(t):
     return selection.diversified_selection(candidates(t), PICKS, backfill=True)
 
 
-@query(SCAN, f"""
-    {PREDS}, cov AS (SELECT trade_date, count(DISTINCT symbol) AS c FROM bars JOIN securities USING (symbol) WHERE status = 'active'
+EFFECTIVE = """cov AS (SELECT trade_date, count(DISTINCT symbol) AS c FROM bars JOIN securities USING (symbol) WHERE status = 'active'
         AND trade_date > (SELECT max(trade_date) FROM bars) - 15 GROUP BY 1),
-    eff AS (SELECT max(trade_date) AS d FROM cov WHERE c >= greatest(1, floor((SELECT max(c) FROM cov) * 0.95))),
-    pool AS (SELECT *, {TOP_P} AS tp FROM preds WHERE trade_date = (SELECT d FROM eff) AND list_days >= 120 AND NOT is_st AND NOT is_suspended), """ + scan_sql(
+    eff AS (SELECT max(trade_date) AS d FROM cov WHERE c >= greatest(1, floor((SELECT max(c) FROM cov) * 0.95)))"""
+OF_DATE = "FROM preds WHERE trade_date = (SELECT d FROM eff) AND list_days >= 120 AND NOT is_st AND NOT is_suspended"
+
+
+@query(SCAN, f"{PREDS}, {EFFECTIVE}, pool AS (SELECT *, {TOP_P} AS tp {OF_DATE}), " + scan_sql(
     P10, M10, "tp > 0.5 AND bp >= 0.5", f"bp DESC, bm DESC, {safe('signal_score')} DESC, {safe('rnk')} DESC", 10), USES)
 def quick_and_full_scan(t):
-    from barline.plans.scan import full_scan
-
-    return full_scan(predictions(t), t.bars, t.securities, n=10, horizon=10)
+    return scan.full_scan(predictions(t), t.bars, t.securities, n=10, horizon=10)
 
 
+@query(SCAN, f"{PREDS}, {EFFECTIVE}, pool AS (SELECT * {OF_DATE}), " + scan_sql(
+    P10, M10, "bp >= 0.55 AND bm > 0.01", "md5(symbol || '|' || strftime(trade_date, '%Y%m%d'))", 10), USES)
+def quick_scan(t):
+    """The quick mode.  Not ``strict``: the sample's last date has too few bars for that gate, as ``scan_gates`` reports."""
+    return scan.full_scan(predictions(t), t.bars, t.securities, n=10, horizon=10, mode="quick")
+
+
+@query("trade_date universe covered coverage_floor sample_size sample_floor passed", f"""
+    {PREDS}, {EFFECTIVE}, un AS (SELECT count(DISTINCT symbol) AS universe FROM securities WHERE status = 'active')
+    SELECT d AS trade_date, universe, c AS covered, CAST(greatest(1, floor(universe * CAST({scan.COVERED} AS DOUBLE))) AS BIGINT) AS coverage_floor, n AS sample_size,
+        CAST(greatest(1, floor(universe * CAST({scan.SAMPLED} AS DOUBLE))) AS BIGINT) AS sample_floor, covered >= coverage_floor AND sample_size >= sample_floor AS passed
+    FROM eff, un, (SELECT count(*) AS n {OF_DATE}) AS s, (SELECT c FROM cov WHERE trade_date = (SELECT d FROM eff)) AS v""", USES)
+def scan_gates(t):
+    return scan.scan_gates(predictions(t), t.bars, t.securities)

@@ -11,10 +11,10 @@ from barline.functions.columns import clip
 
 
 def market_coverage(
-    bars: DataFrame, securities: DataFrame, target: str, days: int = 14, share: float = 0.95
+    bars: DataFrame, securities: DataFrame, target: str | Column, days: int = 14, share: float = 0.95
 ) -> DataFrame:
-    """One row: the newest date of the trailing window with enough active symbols."""
-    want = F.lit(target).cast("date")
+    """One row: the newest date of the ``days`` before ``target`` (or on it) with enough active symbols."""
+    want = F.lit(target).cast("date") if isinstance(target, str) else target
     recent = bars.where((F.col("trade_date") <= want) & (F.col("trade_date") >= F.date_sub(want, days)))
     active = securities.where(F.col("status") == "active").select("symbol")
     # the natural key holds one row per symbol and date, so distinct pairs are cheap
@@ -29,8 +29,8 @@ def market_coverage(
     )
 
 
-def coverage_floor(total: int, share: float = 0.90) -> int:
-    return max(1, int(total * share))
+def coverage_floor(total: Column, share: float = 0.90) -> Column:
+    return F.greatest(F.lit(1), F.floor(total * F.lit(share))).cast("long")
 
 
 def symbol_trade_counts(bars: DataFrame, start: str, end: str) -> DataFrame:

@@ -106,6 +106,18 @@ def parse_kline_csv_strings(t):
     return out.withColumns({c: F.col(c).try_cast("double") for c in ("open", "close", "high", "low", "amount", "turnover_rate")})
 
 
+@query(BAR_SPEC, """
+    SELECT symbol, trade_date, open, high, low, close, pre_close, volume * 100 AS volume, amount, turnover_rate, amplitude, pct_chg, 'kline' AS source FROM bars""", "bars")
+def normalize_kline_bars(t):
+    """Comma-joined vendor lines to declared bars; lines with too few parts are left out."""
+    order = ("trade_date", "open", "close", "high", "low", "volume", "amount", "amplitude", "pct_chg")
+    text = vendor_text(t)
+    whole = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in order], F.lit("0"), F.col("turnover_rate"))
+    lines = text.select("symbol", whole.alias("kline"))
+    broken = text.select("symbol", F.concat_ws(",", "trade_date", "open").alias("kline"))
+    return vendors.bars_kline(lines.unionByName(broken))
+
+
 SOURCES = """
     n AS (SELECT *, CAST(substr(symbol, 1, 6) AS INTEGER) AS k FROM bars),
     u AS (SELECT symbol, trade_date, close, 0 AS prio, 'first' AS source FROM n WHERE k % 3 = 0 AND volume > 80

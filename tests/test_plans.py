@@ -69,3 +69,14 @@ def test_stored_months_prune(spark, bars, tmp_path):
     assert "volume" not in plan[plan.rindex("ReadSchema") :]
     assert len(got.inputFiles()) >= 1
     assert got.count() == rows.where("trade_date between date'2015-02-10' and date'2015-03-20'").count()
+
+
+def test_projected_scan_reads_the_known_columns_only(spark, bars, tmp_path):
+    from barline.sources import scans
+
+    bars.withColumn("note", F.lit("x")).write.parquet(str(tmp_path / "wide"))
+    got = scans.projected(spark.read.parquet(str(tmp_path / "wide")), [["symbol", "trade_date"], ["close", "absent"], ["close"]])
+    assert got.columns == ["symbol", "trade_date", "close"] and got.count() == bars.count()
+    plan = got.where("close > 5")._jdf.queryExecution().toString()
+    schema = plan[plan.rindex("ReadSchema") :]
+    assert "close" in schema and "note" not in schema and "volume" not in schema and "GreaterThan(close,5.0)" in plan

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.stage import spare_memory, written
-from barline.llm.text import mixed, pieces, words_of
+from barline.llm.text import pieces, words_of
 
 PASSAGE = 40
 BLOCK = 10
@@ -38,10 +38,8 @@ COSINE = 0.3
 SHORT = 20
 #: Least share of an item's words in the passage and its surroundings, of the item in the common subsequence, and of its answer words.
 OVERLAP, SUBSEQUENCE, ANSWER = 0.6, 0.65, 0.6
-#: Passages that the directions are fitted on, about; copies of a passage are drawn together.
-FIT_PASSAGES = 400_000
-#: Rows of matrices that travel in one piece, and passages handled at once.
-SLICE, AT_ONCE = 512, 4000
+#: Rows of matrices that travel in one piece, passages searched at once, and passages added up at once; all are fitted on.
+SLICE, AT_ONCE, FIT_PASSAGES = 512, 4000, 4000
 
 
 def coded(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -78,7 +76,7 @@ def _summed(coded_docs: DataFrame, shape: tuple[int, int], work: Callable[[np.nd
 
     Each task sends its matrix in slices of rows; slices are added up as they stream in.
     """
-    kind = "piece int, data binary"
+    kind, at_once = "piece int, data binary", FIT_PASSAGES
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape, dtype=np.float64)
@@ -86,9 +84,9 @@ def _summed(coded_docs: DataFrame, shape: tuple[int, int], work: Callable[[np.nd
             for part in _parts(batch):
                 codes, offsets = joined_codes(part.column(0))
                 starts, _ = cuts(offsets, PASSAGE)
-                for a in range(0, len(starts), AT_ONCE):
-                    own = starts[a : a + AT_ONCE]
-                    end = starts[a + AT_ONCE] if a + AT_ONCE < len(starts) else len(codes)
+                for a in range(0, len(starts), at_once):
+                    own = starts[a : a + at_once]
+                    end = starts[a + at_once] if a + at_once < len(starts) else len(codes)
                     work(codes[own[0] : end], own - own[0], total)
         yield _sliced(total)
         del total
@@ -168,16 +166,8 @@ def fitted(coded_docs: DataFrame, rank: int = RANK, extra: int = EXTRA, seed: in
     start = np.random.default_rng(seed).standard_normal((TERMS, width))
     weighed, squares = _with_zeros(start * idf[:, None]), np.append(np.square(idf), np.float32(0))
 
-    drawn = min(1.0, FIT_PASSAGES / max(n, 1))
-
     def power(codes: np.ndarray, starts: np.ndarray, total: np.ndarray) -> None:
         runs = _runs(codes, starts, PASSAGE)
-        if drawn < 1:
-            head = runs[:, :8].astype(np.uint64)
-            chance = mixed((head * mixed(np.arange(1, 9, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)) >> np.uint64(11)
-            runs = runs[chance.astype(np.float64) * 2.0**-53 < drawn]
-        if not len(runs):
-            return
         y = _projected(runs, weighed) / np.maximum(np.take(squares, runs).sum(axis=1), 1e-6)[:, None]
         passage = np.repeat(np.arange(len(runs)), PASSAGE)
         terms = runs.ravel().astype(np.uint16)  # the number TERMS still fits
@@ -196,7 +186,11 @@ def fitted(coded_docs: DataFrame, rank: int = RANK, extra: int = EXTRA, seed: in
     directions, singular, _ = np.linalg.svd(y @ half, full_matrices=False)
     squared = np.maximum(np.square(singular) - shift, 1e-6 * max(float(singular[0]) ** 2, 1e-6))
     lead = directions[:, 1 : rank + 1] / np.sqrt(squared[1 : rank + 1])
-    return Latent(idf, _with_zeros(lead * idf[:, None]))
+    latent = Latent(idf, _with_zeros(lead * idf[:, None]))
+    # the sums and their factors are freed here, on the driver too
+    del start, weighed, y, values, vectors, half, directions, lead
+    spare_memory()
+    return latent
 
 
 def common_subsequence(item: list[int], words: list[int]) -> int:
@@ -219,7 +213,6 @@ class Items:
     codes: list[np.ndarray]
     answers: list[set[int]]
     vectors: np.ndarray
-    holds: np.ndarray  # items x codes
 
 
 def prepared(benchmark: DataFrame, latent: Latent) -> Items:
@@ -227,14 +220,12 @@ def prepared(benchmark: DataFrame, latent: Latent) -> Items:
     rows = sorted((r for r in coded(benchmark, "item_id").collect() if r["codes"]), key=lambda r: (r["item_id"] is None, r["item_id"]))
     codes = [np.frombuffer(r["codes"], dtype=np.uint16) for r in rows]
     answers, vectors = [], np.zeros((len(rows), latent.directions.shape[1]), dtype=np.float32)
-    holds = np.zeros((len(rows), 1 << 16), dtype=bool)
     for i, c in enumerate(codes):
         own = np.unique(c)
         rare = own[np.argsort(-latent.idf[_terms(own)], kind="stable")]
         answers.append(set(rare[: max(1, len(rare) // 3)].tolist()))
         vectors[i] = _unit(_projected(_runs(c, np.array([0]), len(c)), latent.directions))[0]
-        holds[i, c] = True
-    return Items([r["item_id"] for r in rows], codes, answers, vectors, holds)
+    return Items([r["item_id"] for r in rows], codes, answers, vectors)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -250,7 +241,7 @@ def searched(coded_docs: DataFrame, latent: Latent, items: Items, key: str = "do
     n_of_code = np.bincount(pairs[:, 0], minlength=1 << 16)
     of_code, of_item, asked = np.cumsum(n_of_code) - n_of_code, pairs[:, 1], n_of_code > 0
 
-    def candidates(codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+    def candidates(codes: np.ndarray, offsets: np.ndarray, flat: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, item, first word, end, cosine) of passages near an item that hold one of its answer words."""
         starts, row = cuts(offsets, BLOCK)
         n = len(starts)
@@ -279,7 +270,7 @@ def searched(coded_docs: DataFrame, latent: Latent, items: Items, key: str = "do
                 found = np.flatnonzero(hit & told[here])
                 if len(found):
                     p, i = np.divmod(found, near.shape[1])
-                    yield from _overlapping(codes, offsets, row[here[p]], i, starts[here[p]], ends[last[here[p]]], near[p, i], 2 * width * BLOCK)
+                    yield from _overlapping(codes, offsets, flat, row[here[p]], i, starts[here[p]], ends[last[here[p]]], near[p, i], 2 * width * BLOCK)
 
     def _answer_words(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Blocks x items: whether a block holds an answer word of the item."""
@@ -291,13 +282,12 @@ def searched(coded_docs: DataFrame, latent: Latent, items: Items, key: str = "do
         out[np.repeat(block, n), of_item[np.repeat(first, n) + nth]] = True
         return out
 
-    def _overlapping(codes, offsets, row, item, first, last, cosine, size):
+    def _overlapping(codes, offsets, flat, row, item, first, last, cosine, size):
         # the passage and as many words around it as the item has, inside its document
         low = np.maximum(first - sizes[item], offsets[row])
         high = np.minimum(last + sizes[item], offsets[row + 1])
         # half the wanted share must be in the passage itself
         reach = np.arange(size)
-        flat = items.holds.reshape(-1)
         for a in range(0, len(item), 20_000):
             s = slice(a, a + 20_000)
             where = first[s, None] + reach
@@ -308,12 +298,16 @@ def searched(coded_docs: DataFrame, latent: Latent, items: Items, key: str = "do
                 yield int(row[j]), int(item[j]), int(low[j]), int(high[j]), float(cosine[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # which codes an item holds, items x codes: made here, so that it neither stays on the driver nor travels
+        flat = np.zeros(len(lists) << 16, dtype=bool)
+        for i, own in enumerate(items.codes):
+            flat[(i << 16) + own.astype(np.int64)] = True
         # blocks times items are held at once, so a long benchmark makes the pieces smaller
         for batch in pieces(batches, "codes", min(2 << 20, (1 << 30) // max(1, len(lists)))):
             codes, offsets = joined_codes(batch.column(1))
             best: dict[int, tuple] = {}
             if len(sizes) and len(codes):
-                for row, item, low, high, cosine in candidates(codes, offsets):
+                for row, item, low, high, cosine in candidates(codes, offsets, flat):
                     if row in best and best[row][0] == 1.0 and best[row][1] >= -item:
                         continue
                     words = codes[low:high].tolist()
@@ -332,6 +326,7 @@ def searched(coded_docs: DataFrame, latent: Latent, items: Items, key: str = "do
                 [batch.column(0), pa.array([r is not None for r in rows]), kind, pa.array([r[0] if r else None for r in rows], pa.float64()), pa.array([r[2] if r else None for r in rows], pa.float64())],
                 [key, "contaminated", "item_id", "lcs_share", "cosine"],
             )
+        del flat
         spare_memory()
 
     kind = coded_docs.schema[key].dataType.simpleString()

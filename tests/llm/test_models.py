@@ -156,6 +156,16 @@ def test_rows_are_judged_by_their_own_text(spark, documents, prose):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted((rows[k] for k in (1, 3, 5, 6)), key=str)
 
 
+def test_every_passage_counts_in_the_directions(spark, documents, prose, monkeypatch):
+    codes = decontaminate.coded(documents([(i, prose(400)) for i in range(60)]), "doc_id").cache()
+    whole = decontaminate.fitted(codes)
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 7)
+    small = decontaminate.fitted(codes)
+    np.testing.assert_array_equal(small.idf, whole.idf)
+    a, b = whole.directions[:, :8], small.directions[:, :8]
+    np.testing.assert_allclose(np.abs((a * b).sum(axis=0)), (a * a).sum(axis=0), rtol=1e-2)
+
+
 def test_directions_of_a_sample_find_the_items(spark, documents, prose, monkeypatch):
     monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 150)
     items = [(i, prose(30, seed=700 + i) + f" ask{i} tell{i}") for i in range(10)]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm.stage import folder, written
+from barline.llm.stage import batches_of, folder, spare_memory, written
 from barline.llm.substrings import packed, places, steps, unpacked
 from barline.llm.text import Words, mixed, pieces, words_of
 
@@ -43,9 +43,9 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 HEAD, SIDE_BITS, BITSET = 1 << 17, 10, 25
 SIDE = 1 << SIDE_BITS
 #: Pairs of a batch from which a tile is counted densely, dense tiles and loose pairs that a task holds.
-DENSE, TILES, LOOSE = 1 << 14, 16, 4 << 20
-#: Distinct words that a task holds, and map tasks whose tiles are added up in one step.
-WORDS, FAN = 200_000, 64
+DENSE, TILES, LOOSE = 1 << 14, 8, 2 << 20
+#: Distinct words that a task holds, map tasks whose tiles are added up in one step, and blobs that travel at once.
+WORDS, FAN, BLOBS = 100_000, 64, 16
 
 _CUTS = np.zeros(256, dtype=bool)
 _CUTS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -132,6 +132,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known.clear()
     if known:
         yield counts()
+    known.clear()
+    spare_memory()
 
 
 class Frequent:
@@ -269,6 +271,8 @@ def _pairs(frequent: Frequent, relabel: bool, keep: bool):
                     yield blobs(1, tiles.rows())
         if rows := tiles.rows():
             yield blobs(1, rows)
+        del rows
+        spare_memory()
 
     return run
 
@@ -304,6 +308,7 @@ def _added(frequent: Frequent | None, least: int):
                 total[places(gaps)] += counts
         if key is not None:
             yield solved(key)
+        spare_memory()
 
     return run
 
@@ -348,7 +353,8 @@ def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFr
     for size in range(2, longest + 1):
         frequent = Frequent.of(known)
         # the symbols stored last are one level back, but for the words
-        found, symbols = _level(symbols, frequent, size > 2, 2 < size < longest, least)
+        with batches_of(docs.sparkSession, BLOBS):
+            found, symbols = _level(symbols, frequent, size > 2, 2 < size < longest, least)
         head = known.select("lang", F.col("fp").alias("a"), F.col("n").alias("na"), "words", "firsts")
         tail = known.select("lang", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("words").alias("wb"), "lasts")
         known = written(

@@ -67,6 +67,31 @@ def test_phrases_equal_brute_force(spark, monkeypatch, head, dense, loose, words
     assert any(len(r[2].split()) == 5 for r in got) and {r[0] for r in got} >= {"en", "und", "xx"}
 
 
+def test_stored_symbols_come_in_small_batches(spark, monkeypatch):
+    pairs = phrases._pairs
+
+    def checked(*args):
+        run = pairs(*args)
+
+        def small(batches):
+            def each():
+                for batch in batches:
+                    assert batch.num_rows <= 3
+                    yield batch
+
+            return run(each())
+
+        return small
+
+    monkeypatch.setattr(phrases, "BLOBS", 3)
+    monkeypatch.setattr(phrases, "_pairs", checked)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # every language of a batch is stored as a row of its own
+    df = spark.createDataFrame([("a b c " * 4, f"l{i}") for i in range(40)], "text string, lang string").coalesce(1)
+    assert phrases.mined(df, least=4).select("lang").distinct().count() == 40
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_no_rows_and_nothing_frequent(spark):
     for rows in ([], [("a b c", "en")], [(None, None)]):
         assert phrases.top_phrases(spark.createDataFrame(rows, "text string, lang string")).collect() == []

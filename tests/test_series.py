@@ -133,3 +133,30 @@ def test_tail_and_sequence(bars):
     assert seq.where(F.size("x_seq") != 10).count() == 0
     short = seq.where("symbol = '000005.SZ'").first()["x_seq"]
     assert short[:9] == [[0.0, 0.0]] * 9
+
+
+def test_block_moments_equal_sliding_ones(spark):
+    rng = np.random.default_rng(3)
+    frames = []
+    for i, size in enumerate((40, 9, 5, 3)):
+        x, y = rng.normal(0, 1, size), rng.normal(0, 1, size)
+        if i == 0:
+            x[7], y[20], x[30:38], x[12] = np.nan, np.nan, 2.7, 1e9
+            y[22:30] = 0.1
+        frames.append(pd.DataFrame({"symbol": f"s{i}", "trade_date": pd.bdate_range("2020-01-01", periods=size).date, "x": x, "y": y}))
+    pdf = pd.concat(frames, ignore_index=True)
+    df = spark.createDataFrame(pdf).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y")})
+    out = series.rolling_moments(df, 5, {"mean": "x"}, {"dev": "x"}, {"beta": ("x", "y")})
+    got = out.orderBy("symbol", "trade_date").toPandas()
+    mean = pd.concat([g["x"].rolling(5).apply(np.mean, raw=True) for _, g in pdf.groupby("symbol")])
+    dev = pd.concat([g["x"].rolling(5).apply(lambda v: np.std(v, ddof=1), raw=True) for _, g in pdf.groupby("symbol")])
+    np.testing.assert_allclose(got["mean"].astype(float), mean, rtol=1e-12)
+    np.testing.assert_allclose(got["dev"].astype(float), dev, rtol=1e-9, atol=1e-15)
+    assert (got["dev"] == 0).any()
+    for k in range(len(pdf)):
+        part = pdf[(pdf["symbol"] == pdf["symbol"][k]) & (pdf.index <= k)].tail(5)
+        full = len(part) == 5 and part[["x", "y"]].notna().all().all() and part["y"].nunique() > 1
+        value = got["beta"][k]
+        assert full == (value is not None and not np.isnan(value))
+        if full:
+            np.testing.assert_allclose(value, np.cov(part["x"], part["y"])[0, 1] / np.var(part["y"], ddof=1), rtol=1e-9, atol=1e-12)

@@ -80,3 +80,44 @@ def test_projected_scan_reads_the_known_columns_only(spark, bars, tmp_path):
     plan = got.where("close > 5")._jdf.queryExecution().toString()
     schema = plan[plan.rindex("ReadSchema") :]
     assert "close" in schema and "note" not in schema and "volume" not in schema and "GreaterThan(close,5.0)" in plan
+
+
+def test_profile_windows_do_not_slide(spark, bars):
+    index = bars.where("symbol = '000000.SZ'").selectExpr("'000300.SH' index_code", "trade_date", "open", "close")
+    assert "RowFrame, -119, currentrow" not in plan(profiles.with_rolling_profile(bars, index))
+    assert "RowFrame, -119, currentrow" in plan(bars.withColumns(series.rolling_mean_columns(["amount"])))
+
+
+def test_block_ranking_is_dealt_out(spark):
+    from barline.operators import similarity
+
+    few = spark.range(100).coalesce(1)
+    assert similarity.spread(few, "id", per_task=4).rdd.getNumPartitions() == 25
+
+
+def test_wide_rows_are_shuffled_once_and_carry_no_vector(spark, bars):
+    from barline.plans import samples
+
+    index = bars.where("symbol = '000000.SZ'").selectExpr("'000300.SH' index_code", "trade_date", "open", "high", "low", "close", "volume", "amount")
+    names = bars.select("symbol").distinct().withColumns({c: F.lit("x") for c in ("name", "industry", "board")})
+    names = names.withColumns({"list_date": F.lit(None).cast("date"), "is_st": F.lit(False)})
+    facts = bars.limit(3).select("symbol", F.col("trade_date").alias("report_date"), F.col("trade_date").alias("asof_date"))
+    facts = facts.withColumns({c: F.lit(1.0) for c in profiles.FINANCIAL_OUT})
+    known = bars.withColumn("is_suspended", F.lit(False))
+    text = plan(samples.build_all_features(known, names, index, None, facts))
+    first = text[text.index("Exchange hashpartitioning") :].split("\n")[0]
+    assert "REPARTITION_BY_COL" in first
+    days = bars.select("trade_date").distinct().withColumn("event_embedding", F.array(F.lit(2.0)))
+    narrow, vectors = samples.event_sides(days)
+    assert narrow.columns == ["trade_date", "__event"] and len(vectors.first()["event_embedding"]) == 256
+    out = samples.with_event_vectors(narrow.limit(1).unionByName(spark.sql("SELECT DATE '1990-01-01' trade_date, -1L __event")), vectors).collect()
+    assert sorted(sum(r["event_embedding"]) for r in out) == [0.0, 2.0]
+
+
+def test_tables_are_stored_once(spark):
+    from barline.sources.sample_tables import SampleTables
+
+    tables = SampleTables(spark, SF)
+    tables.__dict__["bars"] = spark.range(3)
+    stored = tables.stored()
+    assert stored.stored() is stored

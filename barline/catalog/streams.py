@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from barline.streaming import jobs
 
 
 FILES = 4
+ROWS_PER_FILE = 250_000
 #: The parts of a table as they arrive: in order, or late ones last and one of them twice.
 ARRIVAL, MIXED, TWICE = (0, 1, 2, 3), (2, 0, 3, 1), (2, 0, 3, 1, 2)
 
@@ -25,13 +28,17 @@ def finish(started):
 
 
 def in_files(t, name: str, order: Column, turns: tuple[int, ...]):
-    """The whole table as a stream of files, one a batch: cut at quantiles of ``order``, a part for each number of ``turns``."""
+    """The whole table as a stream, a part a batch: cut at quantiles of ``order``, a part for each number of ``turns``.
+
+    A part has as many files as its rows need, so that no task writes or reads a part that grows with the table.
+    """
     rows, folder = t.raw(name), writers.work_folder(t.spark, "files")
+    files = max(1, math.ceil(rows.count() / (FILES * ROWS_PER_FILE)))
     cuts = rows.agg(F.percentile_approx(order, [i / FILES for i in range(1, FILES)], 100)).first()[0] or []
     part = sum((F.when(order > c, 1).otherwise(0) for c in cuts), F.lit(0))
     for turn in turns:
-        rows.where(part == turn).coalesce(1).write.mode("append").parquet(folder)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.where(part == turn).repartition(files).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("symbol trade_date close volume", f"{BROKEN} SELECT symbol, trade_date, close, volume FROM num WHERE clean AND rn = 1")

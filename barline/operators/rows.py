@@ -52,7 +52,11 @@ def checked_bars(df: DataFrame, order: str = "seq") -> DataFrame:
 
 def validate_bars(df: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """(valid rows, bad rows with their error lists)."""
-    checked = checked_bars(df, order)
+    return split_checked(checked_bars(df, order))
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, bad rows with their error lists) of :func:`checked_bars`."""
     extra = ["errors", "missing", "is_repeat", "is_valid"]
     valid = checked.where("is_valid").drop(*extra)
     reasons = F.concat("errors", F.transform("missing", lambda m: F.concat(F.lit("missing_"), m)),

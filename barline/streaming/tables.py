@@ -20,6 +20,12 @@ def write_batch(rows: DataFrame, path: str, batch_id: int, parts: Sequence[str]
     rows.write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/batch={batch_id}")
 
 
+def rewritten(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` as stored under ``path``, in place of those of the batch before."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def all_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
 

@@ -140,3 +140,32 @@ def test_compacted_table_serves_a_running_stream(spark, tmp_path):
     tables.compact(spark, path, target, ["k"])
     tables.write_batch(spark.createDataFrame([("a", 7)], "k string, v int"), target, 3)
     assert [tuple(r) for r in tables.current(spark, target, ["k"]).collect()] == [("a", 7)]
+
+
+def test_parts_of_a_stream_grow_in_files_not_in_size(spark, tmp_path, monkeypatch):
+    from barline.catalog import streams
+    from barline.sources.sample_tables import SampleTables
+
+    spark.range(400).repartition(8).write.parquet(str(tmp_path / "t.parquet"))
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 25)
+    monkeypatch.setattr(streams.writers, "work_folder", lambda *_: str(tmp_path / "files"))
+    stream = streams.in_files(SampleTables(spark, str(tmp_path)), "t", F.col("id"), streams.MIXED)
+    sizes = []
+    query = stream.writeStream.foreachBatch(lambda rows, _: sizes.append(rows.agg(F.count("*"), F.avg("id")).first()))
+    query.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    assert [middle // 100 for _, middle in sizes] == list(streams.MIXED) and sum(n for n, _ in sizes) == 400
+    assert len(list((tmp_path / "files").glob("*.parquet"))) == 16
+
+
+def test_a_batch_is_checked_once(spark, tmp_path, monkeypatch):
+    day, calls = dt.date(2024, 1, 2), []
+    kind = "seq long, symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double"
+    for seq in (1, 2):
+        spark.createDataFrame([(seq, "000001", day, 10.0, 12.0, 9.0, 11.0, 5.0, 50.0)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    write = jobs.write_batch
+    monkeypatch.setattr(jobs, "write_batch", lambda rows, path, *rest: (calls.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, path, *rest)))
+    files = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.bars_intake(files, str(tmp_path / "out")).awaitTermination()
+    assert len(calls) == 6 and not any("Aggregate" in text for text in calls)
+    assert spark.read.parquet(str(tmp_path / "out/checked")).select("seq").collect() == [(2,)]
+    assert tables.all_batches(spark, str(tmp_path / "out/bad_records")).count() == 1

@@ -13,6 +13,7 @@ from barline.catalog.series import full
 from barline.functions.columns import pct_rank_avg
 from barline.operators import evaluation as ev
 from barline.operators import labels, models, series, splits
+from barline.session import long_expressions
 from barline.sources.schemas import HORIZONS
 from barline.sources.writers import staged
 
@@ -126,6 +127,7 @@ STEPS = 10
 
 def training_rows(t):
     """Feature and label rows with their split; the first rows of a symbol have unknown features."""
+    long_expressions(t.spark)
     df = t.bars.withColumns(series.return_columns((1, 5, 20))).withColumns(series.volatility_columns(rows=(20,)))
     df = df.withColumn("amount_rank", pct_rank_avg("amount", "trade_date"))
     keys = ["symbol", "trade_date"]

@@ -121,3 +121,29 @@ def test_tables_are_stored_once(spark):
     tables.__dict__["bars"] = spark.range(3)
     stored = tables.stored()
     assert stored.stored() is stored
+
+
+def test_series_are_dealt_out_by_the_rows(spark):
+    from barline.sources import sample_tables
+
+    lines = spark.sql(
+        "SELECT id % 5 AS l_suppkey, timestamp'1995-01-02' + make_dt_interval(id) AS l_shipdate, id AS l_orderkey, 1 AS l_linenumber, id AS l_partkey, "
+        "2.0D + id % 3 AS l_quantity, 10.0D + id AS l_extendedprice, 0.05D AS l_discount FROM range(200)")
+    assert sample_tables.series_tasks(spark, 36_000_000) == 360
+    dealt = sample_tables.weekly_bars(lines, 7)
+    assert "hashpartitioning(symbol" in plan(dealt) and dealt.select("symbol", "close").rdd.getNumPartitions() == 7
+    assert sorted(dealt.collect(), key=str) == sorted(sample_tables.weekly_bars(lines).collect(), key=str)
+
+
+def test_predictions_shuffle_by_symbol_before_the_rank(spark, bars):
+    from barline.catalog.decisions import predictions
+    from barline.sources.sample_tables import SampleTables
+
+    tables = SampleTables(spark, "none")
+    index = bars.where("symbol = '000000.SZ'").selectExpr("'000300.SH' index_code", "trade_date", "open", "high", "low", "close", "volume", "amount")
+    names = bars.select("symbol").distinct().withColumns({c: F.lit("x") for c in ("name", "industry", "board")})
+    names = names.withColumns({"list_date": F.lit(None).cast("date"), "is_st": F.lit(False)})
+    tables.__dict__.update(bars=bars.withColumn("is_suspended", F.lit(False)), securities=names, index_bars=index, kept=True)
+    text = plan(predictions(tables).select("symbol", "rank_score_pred", "avg_amount_5", "list_days"))
+    assert text.index("Exchange hashpartitioning(trade_date") < text.index("Exchange hashpartitioning(symbol")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"

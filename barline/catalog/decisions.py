@@ -11,7 +11,7 @@ from barline.functions.columns import full_window, pct_rank_avg
 from barline.operators import decisions as dec
 from barline.operators import features, selection, series
 from barline.plans import scan
-from barline.plans.samples import list_days
+from barline.plans.samples import first_day, list_days
 from barline.session import long_expressions
 from barline.sources.schemas import HORIZONS
 
@@ -24,10 +24,8 @@ def predictions(t):
     long_expressions(t.spark)
     t = t.stored()
     df = t.bars.withColumns(series.return_columns()).withColumns(series.volatility_columns(rows=(20,)))
-    # all that goes by symbol comes before the rank by date, so that the rows are shuffled twice
-    df = df.withColumn("avg_amount_5", full_window(F.avg, "amount", 5) * 100)
-    dim = t.securities.select("symbol", "name", F.col("industry").alias("industry_sw"), "board", "list_date", "is_st")
-    df = df.join(dim, "symbol", "left").withColumn("list_days", list_days())
+    # all windows by symbol come before the rank by date, so that they share a shuffle
+    df = df.withColumns({"avg_amount_5": full_window(F.avg, "amount", 5) * 100, "__first": first_day()})
     p = {f"p_win_prob_{k}": 1.0 / (1.0 + F.exp(-4.0 * F.col(f"ret_{s}"))) for k, s in SOURCE.items()}
     mu = {f"ret_mu_pred_{k}": 0.05 * F.col(f"ret_{s}") for k, s in SOURCE.items()}
     dd = {f"risk_dd_pred_{k}": -0.02 * F.col("volatility_20") * (1 + k / 50.0) for k in HORIZONS}
@@ -38,6 +36,8 @@ def predictions(t):
         "feature_missing_rate": F.when(F.col("ret_60").isNull(), 0.2).otherwise(0.05),
         "signal_score": 0.1 * F.col("ret_10"),
     })
+    dim = t.securities.select("symbol", "name", F.col("industry").alias("industry_sw"), "board", "list_date", "is_st")
+    df = df.join(dim, "symbol", "left").withColumn("list_days", list_days(F.col("__first"))).drop("__first")
     market = features.market_features(t.bars, t.index_bars, None).withColumns(series.regime_columns())
     market = market.select("trade_date", F.col("market_volatility_5"), "limit_count_ratio", "risk_on_flag", "risk_off_flag",
                            "market_regime_score", (F.col("hs300_ret_1") / 10).alias("major_index_ret_1"))

@@ -144,6 +144,12 @@ def test_predictions_shuffle_by_symbol_before_the_rank(spark, bars):
     names = bars.select("symbol").distinct().withColumns({c: F.lit("x") for c in ("name", "industry", "board")})
     names = names.withColumns({"list_date": F.lit(None).cast("date"), "is_st": F.lit(False)})
     tables.__dict__.update(bars=bars.withColumn("is_suspended", F.lit(False)), securities=names, index_bars=index, kept=True)
-    text = plan(predictions(tables).select("symbol", "rank_score_pred", "avg_amount_5", "list_days"))
-    assert text.index("Exchange hashpartitioning(trade_date") < text.index("Exchange hashpartitioning(symbol")
+    once = predictions(tables).select("symbol", "trade_date", "rank_score_pred", "avg_amount_5", "list_days")
+    text = plan(once.select("rank_score_pred", "avg_amount_5"))
+    before_rank = text[text.index("Exchange hashpartitioning(trade_date") :]
+    assert "specifiedwindowframe(RowFrame, -4" in before_rank
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    # a security listed twice gives its rows twice and changes no rank
+    tables.__dict__["securities"] = names.unionByName(names.where("symbol = '000001.SZ'"))
+    twice = predictions(tables).select(*once.columns)
+    assert twice.count() == once.count() + 200 and sorted(twice.distinct().collect(), key=str) == sorted(once.collect(), key=str)

@@ -224,16 +224,23 @@ def connected(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("b"), F.col("b")).distinct()).toDF("doc_id", "component")
 
 
+def _mixed_buckets(members: DataFrame) -> DataFrame:
+    """key, top (the largest component), most (its members) and all (all members) of the buckets with several components."""
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")
+    )
+    return found.filter("parts > 1").drop("parts")
+
+
 def _cells(members: DataFrame) -> DataFrame:
     """Members that are to be compared with each other, in order of their group.
 
-    ``members``: key, band, doc_id, component, marks, sig, n_shingles of the buckets with several components.
-    The largest component of a bucket is compared only with the others; buckets are cut into blocks, so a
-    task holds two blocks at most.
+    ``members``: key, band, doc_id, component, marks, sig, n_shingles of the buckets with several components, and top,
+    all and most of each bucket.  The largest component of a bucket is compared only with the others; buckets are cut
+    into blocks, so a task holds two blocks at most.
     """
-    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    placed = members.join(top, "key").withColumn("rest", (F.col("component") != F.col("top")).cast("int"))
+    placed = members.withColumn("rest", (F.col("component") != F.col("top")).cast("int"))
     blocks = F.ceil(F.when(F.col("rest") == 1, F.col("all") - F.col("most")).otherwise(F.col("most")) / F.lit(BLOCK)).cast("int")
     rest_blocks = F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK)).cast("int")
     top_blocks = F.ceil(F.col("most") / F.lit(BLOCK)).cast("int")
@@ -408,7 +415,10 @@ def _representative_components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     # one partner first, so that large groups merge early; the last round then compares all pairs that are left
     for partners in (*PARTNERS, ALL_PARTNERS):
         placed = members.select("key", "band", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed_up = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        # stored, as plans that hold it several times over cost the driver more than the work itself
+        mixed_up = written(_mixed_buckets(placed), "mixed")
+        if mixed_up.isEmpty():
+            break
         open_members = placed.join(mixed_up, "key").join(reps.select("doc_id", "marks", "sig", "n_shingles"), "doc_id")
         if partners < ALL_PARTNERS:
             # a pair already compared was no link, so it is not compared again
@@ -430,7 +440,9 @@ def components(docs: DataFrame) -> DataFrame:
     filled = signed.filter("doc_id is not null and n_shingles > 0")
     classes = filled.groupBy("whole_a", "whole_b").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = filled.select("doc_id", "n_shingles", "bands", "marks", "sig").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # stored, so that the wide rows are shuffled once, not by every step that reads them
+    reps = written(reps.dropDuplicates(["doc_id"]), "reps")
     linked = written(_representative_components(docs, reps), "linked")
     named = classes.join(linked.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").select("whole_a", "whole_b", F.coalesce("component", "rep").alias("class"))
     rows = signed.select("doc_id", "n_shingles", "whole_a", "whole_b")

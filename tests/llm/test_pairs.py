@@ -155,6 +155,24 @@ def test_empty_table_has_no_repeats(documents):
     assert substrings.without_repeats(documents([(1, "a")]).limit(0)).count() == 0
 
 
+def test_steps_of_near_duplicates_read_stored_tables(spark, documents, prose, monkeypatch):
+    """Plans that hold the members and the classes several times over had up to 11 joins, and cost the driver its memory."""
+    words = prose(100).split()
+    texts = [" ".join("other" if k and i in range(9 + k, 100, 25) else w for i, w in enumerate(words)) for k in range(4)]
+    joins = []
+
+    def seen(df, name):
+        joins.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), name))
+        return written(df, name)
+
+    written = minhash.written
+    monkeypatch.setattr(minhash, "written", seen)
+    rows = minhash.components(documents(list(enumerate(texts)))).collect()
+    assert {"pairs", "near"} <= {name for _, name in joins}
+    assert max(joins)[0] <= 4, joins
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(i, i) for i in range(4)]
+
+
 def test_blocks_send_a_spanning_forest_of_their_links():
     rng = np.random.default_rng(2)
     sets = {int(i): np.unique(rng.integers(0, 60, rng.integers(1, 60))) for i in rng.choice(1000, 60, replace=False)}

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm.stage import written
@@ -43,6 +43,8 @@ STARTS = ("quartiles", "directions", "all rows")
 SCREEN = 2
 STEPS = 10
 STILL = 1e-6
+#: Accuracy of the sketch that brackets the cut of a core; the cut itself is exact.
+SKETCH = 5000
 LEAST_ROWS = 60
 #: Chance of a normal row to be rejected.
 CHANCE = 3e-6
@@ -258,20 +260,41 @@ def _starts(stats: DataFrame, floors: tuple[float, ...]) -> DataFrame:
     return diagonal.unionByName(_estimates(directions.unionByName(plain), floors, 1.0).withColumn("logdet", F.lit(float("inf"))))
 
 
+def _distances(stats: DataFrame, params: DataFrame, d: int) -> DataFrame:
+    """grp, x, far (the squared distance) and the columns of ``params``: one row a start, as many copies of a row as there are starts."""
+    by_group = params.groupBy("grp").agg(F.collect_list(F.struct(*[c for c in params.columns if c != "grp"])).alias("all"))
+    rows = stats.join(by_group, "grp").select("grp", "x", F.explode("all").alias("p"))
+    return rows.select("grp", "x", "p.*", distance(F.col("x"), F.col("p.mean"), F.col("p.inverse"), d).alias("far"))
+
+
+def _core_sums(stats: DataFrame, params: DataFrame, d: int) -> DataFrame:
+    """n, first and second moments of the ``CORE`` share of rows with the smallest distances, by group and start.
+
+    The share is exact (and all rows that tie with its last one), as a cut that is off by a few ranks would lower the
+    determinant again and again.  A sketch brackets the cut; rows under the bracket are summed as one and those inside,
+    at most 6 of ``SKETCH``, by their distance, so that only these sums are put in order.
+    """
+    sides = [F.lit(CORE - 2 / SKETCH), F.lit(CORE + 2 / SKETCH)]
+    sketch = _distances(stats, params, d).groupBy("grp", "start").agg(F.percentile_approx("far", F.array(*sides), SKETCH).alias("sides"), F.count(F.lit(1)).alias("rows"))
+    bracket = params.select("grp", "start", "mean", "inverse").join(written(sketch, "cut"), ["grp", "start"])
+    near = _distances(stats, bracket, d).filter(F.col("far") <= F.col("sides")[1])
+    inside = near.withColumn("place", F.when(F.col("far") > F.col("sides")[0], F.col("far")))
+    sums = _sums_by(inside, ["grp", "start", "rows", "place"], F.col("x"), d)
+    before = F.sum("n").over(Window.partitionBy("grp", "start").orderBy(F.asc_nulls_first("place")).rowsBetween(Window.unboundedPreceding, -1))
+    core = sums.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < F.ceil(F.lit(CORE) * F.col("rows")))
+    return core.groupBy("grp", "start").agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("first")[i]) for i in range(d)]).alias("first"),
+        F.array(*[F.sum(F.col("second")[i]) for i in range(d * d)]).alias("second"),
+    )
+
+
 def mcd(stats: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """grp, start, mean, inverse, logdet of every group of ``stats`` (columns grp, x): the start of the least determinant."""
     d = len(floors)
     none = F.lit(None).cast("array<double>")
     params = written(_starts(stats, floors), "mcd")
     for step in range(STEPS):
-        by_group = params.groupBy("grp").agg(F.collect_list(F.struct("start", "mean", "inverse")).alias("all"))
-        # one row a start: as many copies of a row as there are starts
-        far = stats.join(by_group, "grp").select("grp", "x", F.explode("all").alias("p")).select(
-            "grp", "p.start", "x", distance(F.col("x"), F.col("p.mean"), F.col("p.inverse"), d).alias("far")
-        )
-        cut = written(far.groupBy("grp", "start").agg(F.percentile_approx("far", CORE, 5000).alias("cut")), f"cut{step}")
-        core = far.join(cut, ["grp", "start"]).filter("far <= cut")
-        sums = _sums_by(core, ["grp", "start"], F.col("x"), d).withColumns({"at": none, "unit": none})
+        sums = _core_sums(stats, params, d).withColumns({"at": none, "unit": none})
         after = written(_estimates(sums, floors, core_scale(CORE, d)), f"mcd{step}")
         # a step that does not lower the determinant is not taken
         old = params.select("grp", "start", F.struct("mean", "inverse", "logdet").alias("old"))

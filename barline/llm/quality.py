@@ -4,8 +4,8 @@ Base statistics follow fixed rules.  The method fits a minimum-covariance-determ
 per language and source to transformed statistic vectors by concentration steps: keep the ``CORE``
 share of rows with the smallest distances, take their mean and covariance, repeat.  Several deterministic
 starts (``STARTS``) take ``SCREEN`` steps each; the one of the least determinant goes on until the determinant
-of no group falls further.  Every step is one or two grouped aggregates with partial sums,
-so a group of any size never meets in one task; only group estimates (a few dozen numbers) are
+of no group falls further.  Every step is two grouped aggregates with partial sums; the cut of a core is exact, and
+only the sums at the few distances around it are put in order, so a group's rows never meet in one task; only group estimates (a few dozen numbers) are
 handled in Python.  Rows whose scaled Mahalanobis distance exceeds the cutoff are rejected.
 
 Cases: NULL and empty texts have zero words and fail the base rule; NULL language or source is

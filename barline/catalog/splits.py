@@ -63,6 +63,11 @@ def won(t):
     return df.withColumn("win", labels.win(F.col("ret")))
 
 
+def stored_wins(t):
+    """The rows that weights are given to; dates, shares, mean and rows are read on their own."""
+    return writers.saved(won(t).select("symbol", "trade_date", "ret", "win"), "won")
+
+
 WEIGHTS = """
     r AS (SELECT symbol, trade_date, lead(close, 5) OVER w / nullif(lead(open) OVER w, 0) - 1 AS ret FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
     a AS (SELECT symbol, trade_date, CASE WHEN ret > 0 THEN 1 ELSE 0 END AS win, dense_rank() OVER (ORDER BY trade_date) - 1 AS i FROM r WHERE ret IS NOT NULL),
@@ -73,7 +78,7 @@ WEIGHTS = """
 
 @query("symbol trade_date weight~", WEIGHTS, "bars")
 def sample_weights(t):
-    return splits.sample_weights(won(t), "win")
+    return splits.sample_weights(stored_wins(t), "win")
 
 
 BOOTSTRAP = f"""
@@ -87,7 +92,7 @@ BOOTSTRAP = f"""
 
 @query("symbol trade_date copy", BOOTSTRAP, "bars")
 def weighted_bootstrap(t):
-    return splits.weighted_bootstrap(splits.sample_weights(won(t), "win"), "weight")
+    return splits.weighted_bootstrap(splits.sample_weights(stored_wins(t), "win"), "weight")
 
 
 @query("symbol trade_date split", f"""

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.columns import div
+from barline.functions.columns import by_date, div
 from barline.operators.aggregates import split_stats
 from barline.operators.joins import boundary_join
 from barline.operators.ranking import date_index
@@ -209,7 +209,7 @@ def sample_weights(df: DataFrame, win: str, power: float = 1.5, floor: float = 1
     dates = date_index(df)
     last = dates.agg(F.greatest(F.max("date_index"), F.lit(1)).alias("m")).scalar()
     share = df.agg(F.avg(win).alias("p")).scalar()
-    work = df.join(dates, "trade_date").withColumns({"__m": last, "__p": share})
+    work = df.join(by_date(dates), "trade_date").withColumns({"__m": last, "__p": share})
     positive = F.greatest(F.col("__p"), F.lit(1e-6))
     negative = F.greatest(F.lit(1.0) - F.col("__p"), F.lit(1e-6))
     balance = F.when(F.col(win) >= 0.5, F.lit(0.5) / positive).otherwise(F.lit(0.5) / negative)
@@ -219,12 +219,16 @@ def sample_weights(df: DataFrame, win: str, power: float = 1.5, floor: float = 1
     return work.withColumn("weight", F.greatest(div(F.col("__raw"), mean), F.lit(floor))).drop("__m", "__p", "__raw", "date_index")
 
 
+#: Steps of the Poisson distribution that are written out; few draws lie beyond them.
+NEAR = 8
+
+
 def weighted_bootstrap(df: DataFrame, weight: str, seed: int = 7, key: Sequence[str] = ("symbol", "trade_date")) -> DataFrame:
     """Sample with replacement: each row repeats a Poisson(weight) number of times.
 
     The draw is an MD5 of seed and key, so a lost task redraws the same rows.  The
     count is read off the Poisson distribution function, which needs no state
-    between rows.
+    between rows.  Its first steps are plain columns; only draws beyond them walk on.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
     draw = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
@@ -236,12 +240,19 @@ def weighted_bootstrap(df: DataFrame, weight: str, seed: int = 7, key: Sequence[
         c = s["c"] + p
         return F.struct(p.alias("p"), c.alias("c"), F.when(F.col("__u") > s["c"], i).otherwise(s["k"]).alias("k"))
 
-    work = df.withColumn("__u", draw)
+    work = df.withColumns({"__u": draw, "__p0": F.exp(-lam)}).withColumn("__c0", F.col("__p0"))
+    for i in range(1, NEAR):
+        work = work.withColumn(f"__p{i}", F.col(f"__p{i - 1}") * lam / i)
+        work = work.withColumn(f"__c{i}", F.col(f"__c{i - 1}") + F.col(f"__p{i}"))
+    near = sum(((F.col("__u") > F.col(f"__c{i}")).cast("int") for i in range(NEAR)), F.lit(0))
+    work = work.withColumn("__near", near).drop(*[f"__{x}{i}" for x in "pc" for i in range(NEAR)])
     # far enough into the tail that the draw cannot lie beyond it
     top = F.ceil(lam + 12 * F.sqrt(lam) + 24).cast("int")
     count = F.aggregate(F.sequence(F.lit(1), top), start, step)["k"]
-    work = work.withColumn("__k", count).where(F.col("__k") > 0)
-    return work.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__u", "__k")
+    work = work.withColumn("__k", F.when(F.col("__near") < NEAR, F.col("__near")).otherwise(count))
+    # no filter on the count: Spark would move it below and draw again for every step
+    copies = F.when(F.col("__k") > 0, F.sequence(F.lit(1), F.col("__k")))
+    return work.withColumn("copy", F.explode(copies)).drop("__u", "__near", "__k")
 
 
 def sequence_eligible(df: DataFrame, length: int, labels: Sequence[str], split: str = "split") -> DataFrame:

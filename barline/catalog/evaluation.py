@@ -10,12 +10,12 @@ from barline.catalog.features import LABELS
 from barline.catalog.ranks import avg_rank
 from barline.catalog.registry import query
 from barline.catalog.series import full
-from barline.functions.columns import pct_rank_avg
+from barline.functions.columns import by_date, pct_rank_avg
 from barline.operators import evaluation as ev
 from barline.operators import labels, models, series, splits
 from barline.session import long_expressions
 from barline.sources.schemas import HORIZONS
-from barline.sources.writers import staged
+from barline.sources.writers import saved
 
 USES = "bars securities index_bars"
 
@@ -128,16 +128,18 @@ STEPS = 10
 def training_rows(t):
     """Feature and label rows with their split; the first rows of a symbol have unknown features."""
     long_expressions(t.spark)
-    df = t.bars.withColumns(series.return_columns((1, 5, 20))).withColumns(series.volatility_columns(rows=(20,)))
-    df = df.withColumn("amount_rank", pct_rank_avg("amount", "trade_date"))
     keys = ["symbol", "trade_date"]
-    rows = df.select(*keys, *FEATURES).join(labels.label_table(t.bars, t.index_bars), keys)
+    # the rank by date first, while rows are narrow; one shuffle back serves features and labels
+    df = t.bars.select(*keys, "open", "close", "adj_close", pct_rank_avg("amount", "trade_date").alias("amount_rank"))
+    df = df.withColumns(series.return_columns((1, 5, 20))).withColumns(series.volatility_columns(rows=(20,)))
+    df = df.select(*keys, "open", "close", *FEATURES, labels.complete().alias("__labelled"))
+    rows = labels.with_labels(df, t.index_bars).where("__labelled").drop("__labelled", "open", "close")
     return splits.assign_split(rows, windows())
 
 
 def out_of_sample(t):
     """Rows after the training windows, scored by heads fitted inside them."""
-    rows = staged(training_rows(t.stored()))
+    rows = saved(training_rows(t.stored()), "training")
     train = splits.sample_weights(rows.where(F.col("split") == "train"), "label_win_5")
     fitted = models.fit_horizon_models(train, FEATURES, HEADS, "weight")
     return models.score_with_models(rows.where(F.col("split") != "train"), fitted)
@@ -234,7 +236,7 @@ def heads_out_of_sample(t):
     df = out_of_sample(t)
     df = df.withColumns({f"loss_{k}": F.col(f"label_bigloss_{ev.BIGLOSS_PROXY[k]}") for k in HORIZONS})
     per_date = df.groupBy("split", "trade_date").agg(*[F.avg(f"{c}_{k}").alias(f"__{c}_{k}") for c in ("rank_score_pred", "label_alpha") for k in HORIZONS])
-    df = df.join(per_date, ["split", "trade_date"])
+    df = df.join(by_date(per_date), ["split", "trade_date"])
     df = df.withColumns({f"{c}_{k}": F.col(f"{c}_{k}") - F.col(f"__{c}_{k}") for c in ("rank_score_pred", "label_alpha") for k in HORIZONS})
     rows = ev.stacked(df, {
         "prob": "p_win_prob_{k}", "target": "label_win_{k}", "score": "ret_mu_pred_{k}", "ret": "label_ret_{k}", "dd_pred": "risk_dd_pred_{k}", "dd": "label_maxdd_{k}",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barline.operators.evaluation import BIGLOSS_PROXY
 from barline.sources.schemas import HORIZONS
-from barline.sources.writers import staged
+from barline.sources.writers import saved
 
 RIDGE = 0.01
 MAX_STEPS, TOLERANCE = 30, 1e-9
@@ -130,7 +130,8 @@ def fit_horizon_models(
     places = len(features) + 1
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
     # every Newton step passes over the rows
-    rows = staged(train.select(by, w.alias("w"), F.array(F.lit(1.0), *fitted.scaled()).alias("x"), *[F.col(c).cast("double").alias(c) for c in labels]))
+    rows = train.select(by, w.alias("w"), F.array(F.lit(1.0), *fitted.scaled()).alias("x"), *[F.col(c).cast("double").alias(c) for c in labels])
+    rows = saved(rows, "fit")
 
     def penalty(matrix: np.ndarray) -> np.ndarray:
         return np.array([1e-12, *[ridge * matrix[0, 0] + 1e-12] * (places - 1)])
